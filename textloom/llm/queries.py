@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textloom.llm import forms, sitelines
+from textloom.llm import forms, language, sitelines, splitting
 from textloom.runtime import materialise, table
 
 
@@ -33,5 +33,44 @@ def p3_clean(spark: SparkSession, folder: str) -> DataFrame:
     return sitelines.without_lines(sections, places).select("section_id", "content").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_groups, p3_found, p3_clean)}
+def _languages(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    articles, sections, audit = (table(spark, folder, n) for n in ("article_extraction", "article_section", "corpus_language_audit"))
+    dictionaries = language.fit(language.sample((articles, "abstract"), (articles, "abstract_en"), (sections, "content")))
+    lines = materialise(sitelines.line_rows(sections, language.line_sizes(dictionaries), ", vi int, en int, fr int"), "lines")
+    places = sitelines.found_lines(lines, sitelines.site_documents(sections, audit))
+    audited = audit.filter("article_id is not null").select(F.col("article_id").alias("doc_id"))
+    wholes = language.of_documents(lines, places, audited.unionByName(sections.select("doc_id")))
+    both = F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("text")) for c in ("abstract_vi", "abstract_en"))))
+    values = articles.select("doc_id", both.alias("v")).select(F.struct("doc_id", "v.field").alias("at"), "v.text")
+    values = values.filter(F.length(F.regexp_replace("text", r"[\\s\\p{Z}\\p{Cf}]+", "")) > 0)
+    parts = language.stretches(values, dictionaries, "at", "text").select("key.doc_id", "key.field", "seg", "lang", "confidence")
+    return wholes, parts
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    wholes, parts = _languages(spark, folder)
+    audit = table(spark, folder, "corpus_language_audit")
+    label = F.regexp_extract(F.lower(F.trim("pdf_language")), r"^([^-]*)", 1)
+    labels = audit.filter("article_id is not null").select(F.col("article_id").alias("doc_id"), F.trim(label).alias("label")).distinct()
+    wrong = labels.join(wholes, "doc_id").filter("label is null or label != lang")
+    odd = parts.filter((F.col("seg") > 0) | (F.col("lang") != F.expr("right(field, 2)")))
+    found = wrong.select("doc_id", F.lit("pdf_language").alias("field"), F.lit(0).alias("seg"), "lang")
+    return found.unionByName(odd.select("doc_id", "field", "seg", "lang")).distinct()
+
+
+def p1_languages(spark: SparkSession, folder: str) -> DataFrame:
+    wholes, parts = _languages(spark, folder)
+    return wholes.select("doc_id", F.lit("sections").alias("field"), F.lit(0).alias("seg"), "lang", "confidence").unionByName(parts).distinct()
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    cut = splitting.split_oversized(table(spark, folder, "article_section"), table(spark, folder, "section_limits"))
+    return cut.filter("piece = 1").select(F.col("key").alias("section_id"), "forced").distinct()
+
+
+def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return splitting.split_oversized(table(spark, folder, "article_section"), table(spark, folder, "section_limits")).withColumnRenamed("key", "section_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_languages, p2_found, p2_pieces, p6_found, p6_groups, p3_found, p3_clean)}
 ORACLE: dict[str, str] = {}
