@@ -49,14 +49,13 @@ MIN_MARGIN = 0.06  # bytes saved per byte of text against the next language
 MAX_RATIO = 0.8  # encoded bytes per byte of text beyond which it is no language's
 
 _sentence = re.compile(r"(?:[.!?…]+[\"”’)]*|(?<!\d)/(?!\d))(?=\s)|\n+")
+_marks = re.compile("[\u0300-\u036f]+")
 _letters = re.compile(r"[^\W\d_]")
-_wordy = re.compile(r"(?<![^\W_])[^\W\d_]{1,}(?![^\W_])")
 
 
 def plain(text: str) -> str:
     """Without accents."""
-    low = unicodedata.normalize("NFD", text)
-    return "".join(c for c in low if not unicodedata.combining(c)).replace("đ", "d").replace("Đ", "D")
+    return _marks.sub("", unicodedata.normalize("NFD", text)).replace("đ", "d").replace("Đ", "D")
 
 
 def sentences(text: str) -> list[str]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textloom.llm import forms, language, sitelines, splitting
+from textloom.llm import forms, language, pairs, sitelines, splitting
 from textloom.runtime import materialise, table
 
 
@@ -72,5 +72,10 @@ def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split_oversized(table(spark, folder, "article_section"), table(spark, folder, "section_limits")).withColumnRenamed("key", "section_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_languages, p2_found, p2_pieces, p6_found, p6_groups, p3_found, p3_clean)}
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = pairs.defective(table(spark, folder, "tamanh_qa"), "qa_id", "patient_question", "doctor_answer")
+    return found.select(F.col("key").alias("qa_id"), "defect")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_languages, p2_found, p2_pieces, p6_found, p6_groups, p3_found, p3_clean, p7_found)}
 ORACLE: dict[str, str] = {}
