@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textloom.llm import forms, language, pairs, sitelines, splitting
+from textloom.llm import consensus, encoding, forms, language, mentions, mixing, pairs, sitelines, splitting
 from textloom.runtime import materialise, table
 
 
@@ -77,5 +77,53 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("key").alias("qa_id"), "defect")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_languages, p2_found, p2_pieces, p6_found, p6_groups, p3_found, p3_clean, p7_found)}
+def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return encoding.encoded(table(spark, folder, "documents"), "doc_id", "text").withColumnRenamed("key", "doc_id")
+
+
+def _sized(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").withColumn("at", F.struct("doc_id", "source"))
+    counts = encoding.encoded(documents, "at", "text", counts_only=True)
+    return materialise(counts.select("key.doc_id", "key.source", "n_tokens"), "token-counts")
+
+
+def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
+    drawn = mixing.mixed(_sized(spark, folder), table(spark, folder, "mix_targets"), "doc_id", "source", "n_tokens")
+    return drawn.select(F.col("key").alias("doc_id"), "source", "n_tokens", F.explode(F.sequence(F.lit(1), "repeats")).alias("epoch"))
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    sized, targets = _sized(spark, folder).dropDuplicates(["doc_id"]), table(spark, folder, "mix_targets")
+    drawn = mixing.mixed(sized, targets, "doc_id", "source", "n_tokens")
+    return mixing.shares(sized, drawn, targets, "source", "n_tokens")
+
+
+LABELS = ["DISEASE", "SYMPTOM", "CAUSE", "DIAGNOSTIC", "TREATMENT", mentions.NONE]
+
+
+def _consensus(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    articles, names = table(spark, folder, "article_extraction"), table(spark, folder, "label_names")
+    item = F.struct("document_id", "start_pos").alias("item")
+    votes = mentions.expert_votes(table(spark, folder, "expert_reviews"), articles, names)
+    settled = mentions.settled_labels(table(spark, folder, "reviewer_adjudications"), articles, names)
+    votes = consensus.prepared(votes.select(item, F.col("expert_id").alias("annotator"), "label"))
+    return consensus.consensus(votes, LABELS, settled.select(item, "label"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    items, _ = _consensus(spark, folder)
+    return items.filter("n_votes >= 3").select("item.document_id", "item.start_pos", "label")
+
+
+def p4_agreement(spark: SparkSession, folder: str) -> DataFrame:
+    items, _ = _consensus(spark, folder)
+    return items.select("item.document_id", "item.start_pos", "label", "agreement", "confidence", "n_votes")
+
+
+def p4_experts(spark: SparkSession, folder: str) -> DataFrame:
+    _, skills = _consensus(spark, folder)
+    return skills.withColumnRenamed("annotator", "expert_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_languages, p2_found, p2_pieces, p6_found, p6_groups, p3_found, p3_clean, p4_found, p4_agreement, p4_experts, p7_found, p8_ids, p9_mix, p9_shares)}
 ORACLE: dict[str, str] = {}
