@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textloom.llm import consensus, encoding, forms, language, mentions, mixing, pairs, sitelines, splitting
+from textloom.llm import consensus, encoding, forms, language, mentions, mixing, neardup, pairs, sitelines, splitting
 from textloom.runtime import materialise, table
 
 
@@ -125,5 +125,23 @@ def p4_experts(spark: SparkSession, folder: str) -> DataFrame:
     return skills.withColumnRenamed("annotator", "expert_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_languages, p2_found, p2_pieces, p6_found, p6_groups, p3_found, p3_clean, p4_found, p4_agreement, p4_experts, p7_found, p8_ids, p9_mix, p9_shares)}
+def _similar(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    articles, answers = table(spark, folder, "article_extraction"), table(spark, folder, "tamanh_qa")
+    abstracts = articles.select(F.lit("abstract").alias("field"), F.col("doc_id").alias("id"), F.col("abstract").alias("text"))
+    both = abstracts.unionByName(answers.select(F.lit("doctor_answer").alias("field"), F.col("qa_id").alias("id"), F.col("doctor_answer").alias("text")))
+    return neardup.similar_records(both, "field", "id", "text", min_words=60, t=0.5)
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    members, links = _similar(spark, folder)
+    return neardup.pairs_of(members, links).select(F.col("grp").alias("field"), F.col("a_key").alias("a_id"), F.col("b_key").alias("b_id"))
+
+
+def p5_classes(spark: SparkSession, folder: str) -> DataFrame:
+    members, links = _similar(spark, folder)
+    counts = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("links"))
+    return members.join(counts, "class_id", "left").na.fill(0, ["links"]).select(F.col("grp").alias("field"), F.col("key").alias("id"), "class_id", "links")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_languages, p2_found, p2_pieces, p6_found, p6_groups, p3_found, p3_clean, p4_found, p4_agreement, p4_experts, p5_found, p5_classes, p7_found, p8_ids, p9_mix, p9_shares)}
 ORACLE: dict[str, str] = {}
