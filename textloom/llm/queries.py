@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textloom.llm import consensus, encoding, forms, language, mentions, mixing, neardup, pairs, sitelines, splitting
+from textloom.llm import consensus, encoding, forms, language, mentions, mixing, neardup, pairs, sitelines, splitting, subjects
 from textloom.runtime import materialise, table
 
 
@@ -143,5 +143,13 @@ def p5_classes(spark: SparkSession, folder: str) -> DataFrame:
     return members.join(counts, "class_id", "left").na.fill(0, ["links"]).select(F.col("grp").alias("field"), F.col("key").alias("id"), "class_id", "links")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_languages, p2_found, p2_pieces, p6_found, p6_groups, p3_found, p3_clean, p4_found, p4_agreement, p4_experts, p5_found, p5_classes, p7_found, p8_ids, p9_mix, p9_shares)}
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p10_shares(spark, folder).select("doc_id", "subject")
+
+
+def p10_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return subjects.subject_areas(table(spark, folder, "documents"), table(spark, folder, "subject_labels"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_languages, p2_found, p2_pieces, p6_found, p6_groups, p3_found, p3_clean, p4_found, p4_agreement, p4_experts, p5_found, p5_classes, p7_found, p8_ids, p9_mix, p9_shares, p10_found, p10_shares)}
 ORACLE: dict[str, str] = {}
