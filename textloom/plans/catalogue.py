@@ -1,4 +1,4 @@
 """Every core query and the SQL it is checked against."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from textloom.plans import articles, annotation, corpus, evaluation, review, structure, texts, web  # noqa: F401
+from textloom.plans.registry import ORACLE, QUERIES  # noqa: F401
