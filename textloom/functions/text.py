@@ -142,7 +142,7 @@ def clean_layout_text(x: Column | str) -> Column:
 
 def reflow(x: Column | str) -> Column:
     """Lines joined into paragraphs: a line ends one if it ends a sentence, or the next begins a list or is blank."""
-    lines = F.transform(F.split(_c(x), "\n"), F.trim)
+    lines = F.transform(F.split(_c(x), "\n"), lambda p: F.trim(p))
     ends = lambda p: p.rlike(r"[.!?:…]$")
     listed = lambda p: p.rlike(r"^([-•*+]|\d+[.)])\s")
     last = lambda a: F.element_at(a, -1)
@@ -216,7 +216,7 @@ def noun_phrases(x: Column | str, stop: list[str], least: int = 2, most: int = 4
 
 def person_score(x: Column | str) -> Column:
     """0 to 1: how much a line looks like names of persons: capitalised words, two to six of them, few digits, separators."""
-    parts = F.filter(F.transform(F.split(_c(x), r"[,;]"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(_c(x), r"[,;]"), lambda p: F.trim(p)), lambda p: p != "")
     words = F.filter(F.split(F.trim(_c(x)), r"[\s,;]+"), lambda w: w != "")
     capital = F.size(F.filter(words, lambda w: w.rlike(r"^\p{Lu}[\p{L}\p{M}.*-]*$"))) / F.greatest(F.size(words), F.lit(1))
     fair = F.size(F.filter(parts, lambda p: F.size(F.split(p, " ")).between(2, 6))) / F.greatest(F.size(parts), F.lit(1))
@@ -235,7 +235,7 @@ def dated_name(name: Column | str) -> Column:
 
 
 def authors(x: Column | str) -> Column:
-    return F.filter(F.transform(F.split(_c(x), r"[,;]"), F.trim), lambda a: a != "")
+    return F.filter(F.transform(F.split(_c(x), r"[,;]"), lambda p: F.trim(p)), lambda a: a != "")
 
 
 def supported(value: Column | str, source: Column | str) -> Column:

@@ -97,7 +97,7 @@ def question_page(html: Column | str) -> Column:
     """struct(question, doctor, answer): of a question-and-answer page; contact and closing paragraphs dropped, the asker's name never read."""
     grab = lambda cls: plain_text(F.regexp_extract(_c(html), rf'(?is)<div[^>]*class="{cls}"[^>]*>(.*?)</div>', 1))
     body = F.regexp_extract(_c(html), r'(?is)<div[^>]*class="answer"[^>]*>(.*?)</div>', 1)
-    paragraphs = F.transform(F.regexp_extract_all(body, F.lit(r"(?is)<p[^>]*>(.*?)</p>"), F.lit(1)), plain_text)
+    paragraphs = F.transform(F.regexp_extract_all(body, F.lit(r"(?is)<p[^>]*>(.*?)</p>"), F.lit(1)), lambda p: plain_text(p))
     kept = F.filter(paragraphs, lambda p: (p != "") & ~F.lower(p).rlike(r"(hotline|tổng đài|liên hệ|website)|^(cảm ơn bạn|thân mến|trân trọng)"))
     return F.struct(grab("question").alias("question"), grab("doctor").alias("doctor"), F.array_join(kept, "\n\n").alias("answer"))
 
