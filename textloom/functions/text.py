@@ -7,6 +7,7 @@ import unicodedata
 from functools import lru_cache, reduce
 
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 WORD = r"[\p{L}\p{N}\p{M}]+"
 
@@ -26,13 +27,13 @@ def _bases() -> tuple[str, str]:
     return "".join(pairs), "".join(pairs.values())
 
 
-@F.udf("string", useArrow=True)
+@F.udf(StringType(), useArrow=True)
 def nfc(text: str | None) -> str | None:
     """Canonical composition; Spark has no such function."""
     return None if text is None else unicodedata.normalize("NFC", text)
 
 
-@F.udf("string", useArrow=True)
+@F.udf(StringType(), useArrow=True)
 def nfd(text: str | None) -> str | None:
     return None if text is None else unicodedata.normalize("NFD", text)
 
