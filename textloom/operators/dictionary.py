@@ -53,16 +53,21 @@ def candidates(texts: DataFrame, key: str, text: str, entries: DataFrame, most:
     small the optimizer broadcasts it by its size.
     """
     toks = texts.select(F.col(key).alias("key"), F.col(text).alias("__text"), S.tokens(F.lower(F.col(text)), "words").alias("w"))
-    words = toks.select("key", "__text", "w", F.posexplode("w").alias("i", "t"))
+
+    def window(t: Column, i: Column) -> Column:
+        run = F.slice("w", i + 1, most)
+        return F.struct(t["word"].alias("first"), t["start"].alias("start"), run.alias("run"), F.substring("__text", t["start"] + 1, F.element_at(run, -1)["end"] - t["start"]).alias("seen"))
+
+    words = toks.select("key", F.explode(F.transform("w", window)).alias("t")).select("key", "t.*")
     exact = entries.select(F.col("key").alias("term"), "code", "category", F.when(F.col("alias_type") == "canonical", "exact").otherwise(F.col("alias_type")).alias("matched_by") if "alias_type" in entries.columns else F.lit("exact").alias("matched_by"))
     plain = accentless_index(entries).select(F.col("plain").alias("term"), "code", "category", F.lit("accentless").alias("matched_by"))
     every = exact.unionByName(plain).withColumn("n", F.size(F.split("term", " "))).withColumn("first", F.substring_index("term", " ", 1)).filter(F.col("n") <= most)
-    met = words.join(every, F.col("t.word") == F.col("first"))
-    run = F.slice("w", F.col("i") + 1, F.col("n"))
+    met = words.join(every, "first")
+    run = F.slice("run", F.lit(1), F.col("n"))
     met = met.filter(F.array_join(F.transform(run, lambda x: x["word"]), " ") == F.col("term"))
-    start, end = F.col("t.start"), F.element_at(run, -1)["end"]
+    start, end = F.col("start"), F.element_at(run, -1)["end"]
     rank = F.element_at(F.create_map(*(x for k, v in RANK.items() for x in (F.lit(k), F.lit(v)))), F.col("matched_by"))
-    return met.select("key", start.alias("start"), end.alias("end"), F.substring("__text", start + 1, end - start).alias("text"), "term", "code", "category", "matched_by", F.coalesce(rank, F.lit(9)).alias("rank"))
+    return met.select("key", start.alias("start"), end.alias("end"), F.substring("seen", F.lit(1), end - start).alias("text"), "term", "code", "category", "matched_by", F.coalesce(rank, F.lit(9)).alias("rank"))
 
 
 def longest_matches(found: DataFrame) -> DataFrame:

@@ -21,16 +21,17 @@ TOKENS = {
 
 
 def tokens(text: Column, kind: str = "plain") -> Column:
-    """array<struct<word, start, end>>: a fold that finds each word behind the one before."""
-    words = F.regexp_extract_all(text, F.lit(TOKENS[kind]), F.lit(0))
+    """array<struct<word, start, end>>: the text is cut into tokens and gaps, whose lengths are summed in one fold."""
+    gap, begins = (r"[^\p{L}\p{N}\p{M}]+", r"^[\p{L}\p{N}\p{M}]") if kind == "words" else (r"\s+", r"^\S")
+    parts = F.regexp_extract_all(text, F.lit(f"(?:{TOKENS[kind]})|{gap}"), F.lit(0))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<word:string,start:int,end:int>>").alias("out"))
 
     def step(acc: Column, w: Column) -> Column:
-        start = F.call_function("locate", w, text, acc["at"] + 1) - 1
-        end = start + F.length(w)
-        return F.struct(end.cast("int").alias("at"), F.array_append(acc["out"], F.struct(w.alias("word"), start.cast("int").alias("start"), end.cast("int").alias("end"))).alias("out"))
+        end = (acc["at"] + F.length(w)).cast("int")
+        token = F.struct(w.alias("word"), acc["at"].alias("start"), end.alias("end"))
+        return F.struct(end.alias("at"), F.when(w.rlike(begins), F.array_append(acc["out"], token)).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(words, zero, step, lambda acc: acc["out"])
+    return F.aggregate(parts, zero, step, lambda acc: acc["out"])
 
 
 def occurrences(text: Column, term: Column) -> Column:
