@@ -1 +1,126 @@
-"""."""
+"""Evaluation of labels before review (predictions) against adjudicated ones (gold)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from textloom.operators import evaluate as E, spans as S
+from textloom.plans.annotation import _GOLD, _SYS, expert_spans, system_spans
+from textloom.plans.registry import query
+from textloom.plans.views import rows
+
+LABELS = ["DISEASE", "SYMPTOM", "CAUSE", "DIAGNOSTIC", "TREATMENT"]
+
+
+def _pred(spark, folder):
+    """Predictions of documents with gold, with ids by place and label."""
+    gold = expert_spans(spark, folder).select("doc_id").distinct()
+    p = system_spans(spark, folder).select("doc_id", "start", "end", F.col("category").alias("label")).distinct().join(gold, "doc_id", "left_semi")
+    return p.withColumn("id", F.col("start") * 100_000 + F.col("end") * 10 + F.array_position(F.array(*(F.lit(x) for x in LABELS)), F.col("label")))
+
+
+def _gold(spark, folder):
+    g = expert_spans(spark, folder)
+    return g.withColumn("id", F.col("start") * 100_000 + F.col("end") * 10 + F.array_position(F.array(*(F.lit(x) for x in LABELS)), F.col("label")))
+
+
+_P = f"(select * from {_SYS} where doc_id in (select doc_id from {_GOLD}))"
+_L = "(select unnest(['DISEASE','SYMPTOM','CAUSE','DIAGNOSTIC','TREATMENT']) as label)"
+_COUNTS = f"""(select label, count(*) filter (where p and g) as tp, count(*) filter (where p and not g) as fp, count(*) filter (where g and not p) as fn from
+(select doc_id, s, e, label, bool_or(p) p, bool_or(g) g from (select *, true p, false g from {_P} union all select *, false, true from {_GOLD}) group by 1, 2, 3, 4) group by 1)"""
+_RATES = """round(case when tp + fp > 0 then tp / (tp + fp) else 0 end, 6) as precision, round(case when tp + fn > 0 then tp / (tp + fn) else 0 end, 6) as recall, round(case when 2 * tp + fp + fn > 0 then 2 * tp / (2 * tp + fp + fn) else 0 end, 6) as f1"""
+
+
+@query(f"""with c as (select l.label, coalesce(tp, 0) tp, coalesce(fp, 0) fp, coalesce(fn, 0) fn from {_L} l left join {_COUNTS} using (label)), r as (select label, tp, fp, fn, {_RATES} from c)
+select label, cast(tp as bigint) tp, cast(fp as bigint) fp, cast(fn as bigint) fn, precision, recall, f1 from r
+union all select 'MICRO', tp, fp, fn, {_RATES} from (select cast(sum(tp) as bigint) tp, cast(sum(fp) as bigint) fp, cast(sum(fn) as bigint) fn from c)
+union all select 'MACRO', cast(sum(tp) as bigint), cast(sum(fp) as bigint), cast(sum(fn) as bigint), round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6) from r""")
+def exact_report(spark, folder):
+    """E02, A10, A11, E06, S11."""
+    return E.report(E.exact_counts(_pred(spark, folder), _gold(spark, folder), ["doc_id"]), LABELS)
+
+
+@query()
+def relaxed_report(spark, folder):
+    """Greedy matching by IoU of one half."""
+    p, g = _pred(spark, folder), _gold(spark, folder)
+    return E.report(E.matched_counts(p, g, E.relaxed_pairs(p, g, ["doc_id"])), LABELS)
+
+
+@query()
+def overlap_report(spark, folder):
+    """Any overlap counts."""
+    p, g = _pred(spark, folder), _gold(spark, folder)
+    return E.report(E.matched_counts(p, g, E.relaxed_pairs(p, g, ["doc_id"], by="overlap")), LABELS)
+
+
+@query()
+def bipartite_matches(spark, folder):
+    """The size of a maximum matching per document and label."""
+    p, g = _pred(spark, folder), _gold(spark, folder)
+    j = S.overlap_join(p, g, ["doc_id", "label"])
+    j = j.filter(S.iou(F.col("l_start"), F.col("l_end"), F.col("r_start"), F.col("r_end")) >= 0.5)
+    return S.bipartite_size(j.select("doc_id", "label", F.col("l_id").alias("l"), F.col("r_id").alias("r")), ["doc_id", "label"])
+
+
+@query(f"""select error_type, count(*) as n from (
+select 'LABEL' as error_type from {_P} p where not exists (select 1 from {_GOLD} g where (g.doc_id, g.s, g.e, g.label) = (p.doc_id, p.s, p.e, p.label)) and exists (select 1 from {_GOLD} g where (g.doc_id, g.s, g.e) = (p.doc_id, p.s, p.e)
+ and not exists (select 1 from {_P} q where (q.doc_id, q.s, q.e, q.label) = (g.doc_id, g.s, g.e, g.label)))) group by 1""")
+def label_errors(spark, folder):
+    """Predictions with a gold span's bounds and another label."""
+    return E.errors(_pred(spark, folder), _gold(spark, folder), ["doc_id"], one_to_one=False).filter("error_type = 'LABEL'").groupBy("error_type").agg(F.count("*").alias("n"))
+
+
+@query()
+def error_classes(spark, folder):
+    """Each error once."""
+    return E.errors(_pred(spark, folder), _gold(spark, folder), ["doc_id"]).groupBy("error_type").agg(F.count("*").alias("n"))
+
+
+def _patterns(spark, folder):
+    p, g = _pred(spark, folder), _gold(spark, folder)
+    e = E.errors(p, g, ["doc_id"])
+    texts = system_spans(spark, folder).select("doc_id", "start", "end", F.lower("text").alias("text")).distinct()
+    e = e.join(p.select("doc_id", F.col("id").alias("p"), F.col("label").alias("pl"), "start", "end"), ["doc_id", "p"], "left").join(g.select("doc_id", F.col("id").alias("g"), F.col("label").alias("gl")), ["doc_id", "g"], "left")
+    e = e.join(texts, ["doc_id", "start", "end"], "left").withColumn("pattern_key", E.pattern_key(F.col("error_type"), F.col("pl"), F.col("gl"), F.col("text")))
+    return e.groupBy("pattern_key").agg(F.min("error_type").alias("error_type"), F.min(F.coalesce("pl", "gl")).alias("label"), F.count("*").alias("frequency"), F.countDistinct("doc_id").alias("documents"))
+
+
+@query()
+def error_patterns(spark, folder):
+    """Error patterns with frequencies."""
+    return _patterns(spark, folder)
+
+
+@query()
+def diverse_errors(spark, folder):
+    """A varied choice of patterns for a prompt of a given length."""
+    chosen = E.diverse(_patterns(spark, folder), 20)
+    return E.within_budget(chosen, [F.desc("frequency"), F.col("pattern_key")], F.length("pattern_key"), 600).select("pattern_key", "error_type", "label", "frequency", "used")
+
+
+_ROUND = "(select document_id d, expert_id x, min(upper(trim(review_status))) v from (select distinct * from expert_reviews) where {c} group by 1, 2)"
+
+
+@query(f"""select case when b.v is null then 'NEW' when a.v is null then 'RESOLVED' when a.v = b.v then 'PERSISTENT' else 'CHANGED' end as status, count(*) as n from {_ROUND.format(c="created_at < timestamp '2023-01-01'")} b full join {_ROUND.format(c="created_at >= timestamp '2023-01-01'")} a using (d, x) group by 1""")
+def round_transitions(spark, folder):
+    """What became of each place between two rounds."""
+    r = rows(spark, folder, "expert_reviews").select("document_id", "expert_id", F.upper(F.trim("review_status")).alias("v"), "created_at")
+    cut = F.expr("timestamp_ntz '2023-01-01'")
+    t = E.transitions(r.filter(F.col("created_at") < cut), r.filter(F.col("created_at") >= cut), ["document_id", "expert_id"], "v")
+    return t.groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query(f"""select label, before, after, round(100.0 * (after - before) / before, 4) as change from (select label, count(*) filter (where src = 1) as before, count(*) filter (where src = 2) as after from (select label, 1 src from {_P} union all select label, 2 from {_GOLD}) group by 1) where before > 0""")
+def system_comparison(spark, folder):
+    """Counts of two systems side by side."""
+    p, g = _pred(spark, folder).select("label", F.lit(1).alias("src")), _gold(spark, folder).select("label", F.lit(2).alias("src"))
+    w = p.unionByName(g).groupBy("label").agg(F.count_if(F.col("src") == 1).alias("before"), F.count_if(F.col("src") == 2).alias("after")).filter("before > 0")
+    return w.withColumn("change", F.round(100.0 * (F.col("after") - F.col("before")) / F.col("before"), 4))
+
+
+@query()
+def goals(spark, folder):
+    """Goals of the report as booleans."""
+    r = exact_report(spark, folder).filter("label = 'MICRO'")
+    return r.select((F.col("precision") >= 0.78).alias("precision_met"), (F.col("recall") >= 0.82).alias("recall_met"), (F.col("f1") >= 0.8).alias("f1_met"))
