@@ -16,6 +16,11 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value evaluated once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
+
+
 @lru_cache(maxsize=1)
 def _bases() -> tuple[str, str]:
     """Letters that decompose to an ASCII letter and marks, and those letters; đ by hand, as it does not decompose."""
