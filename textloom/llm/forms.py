@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from textloom.llm.arrow import map_batches
 
 # Letters of other scripts that look like Latin ones, in pairs (letter, prototype).
-CYRILLIC = dict(zip("аверкмтснпгоухіјѕһԁԛԝѵӏ", "abepkmtchnroyxijshdqwvl"))
+CYRILLIC = dict(zip("аерсоухіјѕһԁԛԝѵӏ", "aepcoyxijshdqwvl"))
 CYRILLIC |= dict(zip("АВЕКМНОРСТУХІЈЅԌԚԜѴ", "ABEKMHOPCTYXIJSGQWV"))
 GREEK = dict(zip("αορνυικγητχωςΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aopvuikyntxwcABEZHIKMNOPTYX"))
 LATIN = {"ð": "đ", "Ð": "Đ", "Ɖ": "Đ", "ɖ": "đ", "ı": "i", "ɑ": "a", "ɡ": "g", "ⅼ": "l"}

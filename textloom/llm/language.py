@@ -45,7 +45,7 @@ SEEDS = {
 SAMPLE_ROWS = 3000  # rows that the dictionaries are fitted on, at most
 DICTIONARY_BYTES = 49_152  # of each language, at most
 SECOND_SHARE = 0.25  # of the text, from which a second language makes it mixed
-MIN_MARGIN = 0.06  # bytes saved per byte of text against the next language
+MIN_MARGIN = 0.03  # bytes saved per byte of text against the next language
 MAX_RATIO = 0.8  # encoded bytes per byte of text beyond which it is no language's
 
 _sentence = re.compile(r"(?:[.!?…]+[\"”’)]*|(?<!\d)/(?!\d))(?=\s)|\n+")
@@ -115,7 +115,7 @@ def fit(texts: list[str]) -> dict[str, bytes]:
 
     dictionaries = build({})
     pool = [" ".join(s.split()) for t in texts for s in sentences(form(t))]
-    for least in (0.2, 0.3):
+    for least in (0.2, 0.15):
         classify, found = classifier(dictionaries), {}
         for s in pool:
             name, sure = classify(s)

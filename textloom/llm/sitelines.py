@@ -1,8 +1,8 @@
 """Problem 3: lines that one site repeats in many of its documents.
 
 Each (site, line) pair is tested: its document frequency within the site against that outside, by log-likelihood
-ratio; the false-discovery rate is held by Benjamini and Hochberg's rule. Outside leaves out sites that repeat the
-line themselves, so that a line shared by several sites is found on each of them.
+ratio; the false-discovery rate is held by Benjamini and Hochberg's rule. Outside leaves out sites that have the line
+in more than one document, so that a line shared by several sites is found on each of them.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ def site_of(audit: DataFrame, doc: str = "article_id", domain: str = "source_dom
 
     Rows without a document or any host are left out; of several sites of one document the greatest counts."""
     host = F.regexp_extract(F.lower(F.trim(F.col(url))), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)
-    given = F.lower(F.trim(F.regexp_replace(F.col(domain), r"^[\s ]+|[\s ]+$", "")))
+    given = F.lower(F.trim(F.regexp_replace(F.col(domain), r"^[\s\u00a0]+|[\s\u00a0]+$", "")))
     site = F.regexp_replace(F.when(F.length(given) > 0, given).otherwise(host), r"^www\.", "")
     named = audit.select(F.col(doc).alias("doc_id"), site.alias("site"))
     return named.filter("doc_id is not null and length(site) > 0").groupBy("doc_id").agg(F.max("site").alias("site"))
@@ -68,21 +68,21 @@ def tested_lines(lines: DataFrame, docs: DataFrame, min_docs: int = 3, min_share
     """(site, line, n, site_docs, often, ratio): every line of every site with its one-sided log-likelihood ratio.
 
     often says whether it stands in at least min_docs of the site's documents and min_share of them. Outside are all
-    documents but those of the site and of sites where the line is itself often; where nothing is left outside, the
-    line counts as met once in all documents."""
-    docs = docs.filter("doc_id is not null").select("doc_id", "site")
-    sizes = docs.filter("site is not null").groupBy("site").agg(F.count("*").alias("site_docs"))
+    documents but those of the site and of other sites (documents of no site are one) that have the line in more than one document; where nothing is left
+    outside, the line counts as met once in all documents."""
+    docs = docs.filter("doc_id is not null").select("doc_id", F.coalesce("site", F.lit("")).alias("site"))
+    sizes = docs.groupBy("site").agg(F.count("*").alias("site_docs"))
     total = docs.agg(F.count("*").alias("all_docs"))  # one row
     counts = lines.select("doc_id", "line").distinct().join(docs, "doc_id").groupBy("site", "line").agg(F.count("*").alias("n"))
-    counts = counts.join(sizes, "site", "left")
-    counts = counts.withColumn("often", F.coalesce((F.col("n") >= min_docs) & (F.col("n") >= min_share * F.col("site_docs")), F.lit(False)))
+    counts = counts.join(sizes, "site").withColumn("often", (F.col("site") != "") & (F.col("n") >= min_docs) & (F.col("n") >= min_share * F.col("site_docs")))
+    shared = F.col("n") > 1
     around = counts.groupBy("line").agg(
-        F.sum(F.when(~F.col("often"), F.col("n")).otherwise(0)).alias("rare_n"),
-        F.sum(F.when(F.col("often"), F.col("site_docs")).otherwise(0)).alias("often_docs"),
+        F.sum(F.when(~shared, F.col("n")).otherwise(0)).alias("rare_n"),
+        F.sum(F.when(shared, F.col("site_docs")).otherwise(0)).alias("shared_docs"),
     )
-    tests = counts.filter("site is not null").join(around, "line").join(F.broadcast(total))
-    left = F.col("all_docs") - F.col("often_docs") - F.when(F.col("often"), 0).otherwise(F.col("site_docs"))
-    outside = F.when(left > 0, F.col("rare_n") - F.when(F.col("often"), 0).otherwise(F.col("n"))).otherwise(1)
+    tests = counts.filter("site != ''").join(around, "line").join(F.broadcast(total))
+    left = F.col("all_docs") - F.col("shared_docs") - F.when(shared, 0).otherwise(F.col("site_docs"))
+    outside = F.when(left > 0, F.col("rare_n") - F.when(shared, 0).otherwise(F.col("n"))).otherwise(1)
     a, b = F.col("n").cast("double"), F.col("site_docs").cast("double")
     k, m = outside.cast("double"), F.when(left > 0, left).otherwise(F.col("all_docs")).cast("double")
     pooled = (a + k) / (b + m)

@@ -21,13 +21,13 @@ _stretch = re.compile(r"\S+")
 
 
 def strengths(text: str) -> np.ndarray:
-    """Of cutting before position i, for i from 0 to len(text); cuts stand after white space, so that pieces joined give the text."""
+    """Of cutting before position i, for i from 0 to len(text): cuts stand at either end of white space or within it, best behind it."""
     out = np.zeros(len(text) + 1, dtype=np.int8)
     ends = np.zeros(len(text) + 1, dtype=bool)
     for m in _sentence.finditer(text):
         ends[m.end()] = True
     for m in _space.finditer(text):
-        out[m.end()] = PARAGRAPH if "\n" in m[0] else SENTENCE if ends[m.start()] else WORD
+        out[m.start() : m.end() + 1] = PARAGRAPH if "\n" in m[0] else SENTENCE if ends[m.start()] else WORD
     out[0] = 0
     return out
 
