@@ -80,7 +80,7 @@ def compact_key(x: Column | str) -> Column:
 
 def flat(x: Column | str) -> Column:
     """White space, no-break spaces included, as single spaces."""
-    return F.trim(F.regexp_replace(_c(x), "[\\s ]+", " "))
+    return F.trim(F.regexp_replace(_c(x), r"[\s\u00a0]+", " "))
 
 
 def checksum(*parts: Column | str) -> Column:
@@ -133,7 +133,7 @@ def clean_layout_text(x: Column | str) -> Column:
     """Text out of a page layout: control characters, space before punctuation, words parted at line ends, broken digit groups and slashes."""
     steps = [
         (r"[\x00-\x08\x0b\x0c\x0e-\x1f]", " "),
-        (" ", " "),
+        (r"\u00a0", " "),
         (r"(?<=\p{L})-\s*\n\s*(?=\p{Ll})", ""),
         (r"[ \t]+", " "),
         (r" +([,.;:!?%)\]])", "$1"),
