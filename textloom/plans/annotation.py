@@ -42,18 +42,18 @@ e as (select key, code, 'exact' as how from k union all select plain, code, 'acc
 select e.how as matched_by, e.code, count(*) as n, count(distinct g.doc_id) as documents from {sql_ngrams(SQL_ARTICLES, "doc_id", "abstract", MOST)} g join e on e.key = g.k group by all""")
 def dictionary_candidates(spark, folder):
     """All candidates, exact and accentless."""
-    found = D.candidates(articles(spark, folder), "doc_id", "abstract", entries(spark, folder), MOST)
+    found = D.candidates(articles(spark, folder, "abstract"), "doc_id", "abstract", entries(spark, folder), MOST)
     return found.groupBy("matched_by", "code").agg(F.count("*").alias("n"), F.countDistinct("key").alias("documents"))
 
 
 def matches(spark, folder):
-    return D.longest_matches(D.candidates(articles(spark, folder), "doc_id", "abstract", entries(spark, folder), MOST))
+    return D.longest_matches(D.candidates(articles(spark, folder, "abstract"), "doc_id", "abstract", entries(spark, folder), MOST))
 
 
 @query()
 def dictionary_matches(spark, folder):
     """The matches that stay, with a check of their offsets."""
-    m = matches(spark, folder).join(articles(spark, folder).select(F.col("doc_id").alias("key"), "abstract"), "key")
+    m = matches(spark, folder).join(articles(spark, folder, "abstract").select(F.col("doc_id").alias("key"), "abstract"), "key")
     fits = F.substring("abstract", F.col("start") + 1, F.col("end") - F.col("start")) == F.col("text")
     return m.select(F.col("key").alias("doc_id"), "start", "end", "text", "code", "category", "matched_by", fits.alias("fits"))
 
@@ -62,7 +62,7 @@ def dictionary_matches(spark, folder):
 def highlighted_articles(spark, folder):
     """Markup that is the text again once stripped."""
     m = matches(spark, folder).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "code"))).alias("spans"))
-    a = articles(spark, folder).select(F.col("doc_id").alias("key"), "abstract").join(m, "key")
+    a = articles(spark, folder, "abstract").select(F.col("doc_id").alias("key"), "abstract").join(m, "key")
     html = D.highlighted(F.col("abstract"), F.col("spans"))
     bare = F.regexp_replace(html, r"</?mark[^>]*>", "")
     return a.select(F.col("key").alias("doc_id"), html.alias("html"), (bare == T.markup_safe("abstract")).alias("same"))
@@ -73,13 +73,13 @@ _SP = f"""(select document_id as doc_id, m.start as s, m."end" as e, m.text as t
 
 def system_spans(spark, folder):
     """(doc_id, start, end, text, category, code) of original labels, each once."""
-    m = rows(spark, folder, "expert_reviews").select(F.col("document_id").alias("doc_id"), F.explode(marks("original_labels_json")).alias("m"))
+    m = rows(spark, folder, "expert_reviews", "id", "document_id", "original_labels_json").select(F.col("document_id").alias("doc_id"), F.explode(marks("original_labels_json")).alias("m"))
     return m.select("doc_id", "m.start", "m.end", "m.text", "m.category", "m.code").filter("start is not null and end > start").distinct()
 
 
 def expert_spans(spark, folder):
     """(doc_id, start, end, label): final labels of adjudications."""
-    m = rows(spark, folder, "reviewer_adjudications").select(F.col("document_id").alias("doc_id"), F.explode(marks("final_labels_json")).alias("m"))
+    m = rows(spark, folder, "reviewer_adjudications", "id", "document_id", "final_labels_json").select(F.col("document_id").alias("doc_id"), F.explode(marks("final_labels_json")).alias("m"))
     return m.select("doc_id", "m.start", "m.end", F.col("m.category").alias("label")).filter("start is not null and end > start").distinct()
 
 
@@ -130,7 +130,7 @@ from (select document_id, unnest({sql_marks("annotations_json")}) m from {_R}) r
 def offset_repair(spark, folder):
     """Offsets kept, corrected where the text stands once, or rejected."""
     m = rows(spark, folder, "expert_reviews").select(F.col("document_id").alias("doc_id"), F.explode(marks("annotations_json")).alias("m")).filter("length(m.text) > 0")
-    j = m.join(articles(spark, folder).select("doc_id", "abstract").filter("abstract is not null"), "doc_id")
+    j = m.join(articles(spark, folder, "abstract").filter("abstract is not null"), "doc_id")
     ok = F.substring("abstract", F.col("m.start") + 1, F.col("m.end") - F.col("m.start")).eqNullSafe(F.col("m.text"))
     n = F.expr("(length(abstract) - length(replace(abstract, m.text, ''))) div length(m.text)")
     return j.select(ok.alias("ok"), n.alias("n")).agg(F.count("*").alias("labels"), F.count_if("ok").alias("verbatim"), F.count_if(~F.col("ok") & (F.col("n") == 1)).alias("corrected"), F.count_if(~F.col("ok") & (F.col("n") != 1)).alias("rejected"))
@@ -138,7 +138,7 @@ def offset_repair(spark, folder):
 
 def token_rows(spark, folder):
     """(doc_id, pos, word, start, end) of abstracts with gold labels."""
-    a = articles(spark, folder).select("doc_id", "abstract").join(expert_spans(spark, folder).select("doc_id").distinct(), "doc_id", "left_semi")
+    a = articles(spark, folder, "abstract").join(expert_spans(spark, folder).select("doc_id").distinct(), "doc_id", "left_semi")
     return a.select("doc_id", F.posexplode(S.tokens(F.col("abstract"), "plain")).alias("pos", "t")).select("doc_id", "pos", "t.word", "t.start", "t.end")
 
 
@@ -176,7 +176,7 @@ from {_SP} x join (select distinct doc_id, abstract from article_extraction wher
 def record_validation(spark, folder):
     """Rules a document's set of spans breaks."""
     p = system_spans(spark, folder).select("doc_id", F.struct("start", "end", "text", F.col("category").alias("label"), "code").alias("s"))
-    sets = p.groupBy("doc_id").agg(F.sort_array(F.collect_list("s")).alias("s")).join(articles(spark, folder).select("doc_id", "abstract").filter("abstract is not null"), "doc_id")
+    sets = p.groupBy("doc_id").agg(F.sort_array(F.collect_list("s")).alias("s")).join(articles(spark, folder, "abstract").filter("abstract is not null"), "doc_id")
     return sets.select("doc_id", B.invalid(F.col("abstract"), F.col("s")).alias("rules"))
 
 
@@ -198,7 +198,7 @@ def code_chapters(spark, folder):
 @query(f"select term, code from {SQL_DICTIONARY} d where not exists (select 1 from {_GOLD} g join (select distinct doc_id, abstract from article_extraction) a using (doc_id) where lower(substring(abstract, g.s + 1, g.e - g.s)) = d.term)")
 def terms_without_gold(spark, folder):
     """Dictionary terms that no gold span shows."""
-    g = expert_spans(spark, folder).join(articles(spark, folder).select("doc_id", "abstract"), "doc_id").select(F.lower(F.substring("abstract", F.col("start") + 1, F.col("end") - F.col("start"))).alias("term"))
+    g = expert_spans(spark, folder).join(articles(spark, folder, "abstract"), "doc_id").select(F.lower(F.substring("abstract", F.col("start") + 1, F.col("end") - F.col("start"))).alias("term"))
     return R.remaining(dictionary(spark, folder), g.distinct(), "term").select("term", "code")
 
 

@@ -14,12 +14,12 @@ MOST = 5  # words of a dictionary term
 
 
 def term_hits(spark, folder):
-    """(doc_id, at, n, term): dictionary terms as runs of words of abstracts."""
-    words = articles(spark, folder).select("doc_id", F.regexp_extract_all(F.lower("abstract"), F.lit(T.WORD), F.lit(0)).alias("ws"))
-    run = lambda n: lambda i: F.struct(i.alias("at"), F.lit(n).alias("n"), F.array_join(F.slice("ws", i, n), " ").alias("term"))
-    of_size = lambda n: F.when(F.size("ws") >= n, F.transform(F.sequence(F.lit(1), F.size("ws") - n + 1), run(n))).otherwise(F.array().cast("array<struct<at:int,n:int,term:string>>"))
-    runs = F.flatten(F.array(*(of_size(n) for n in range(1, MOST + 1))))
-    return words.select("doc_id", F.explode(runs).alias("g")).select("doc_id", "g.at", "g.n", "g.term")
+    """(doc_id, at, n, term, category): dictionary terms as runs of words of abstracts. Only words that begin a term meet the dictionary."""
+    words = articles(spark, folder, "abstract").select("doc_id", F.regexp_extract_all(F.lower("abstract"), F.lit(T.WORD), F.lit(0)).alias("ws"))
+    runs = F.transform("ws", lambda w, i: F.struct(w.alias("first"), (i + 1).alias("at"), F.slice("ws", i + 1, MOST).alias("run")))
+    terms = dictionary(spark, folder).select("term", "category", F.size(F.split("term", " ")).alias("n"), F.substring_index("term", " ", 1).alias("first"))
+    met = words.select("doc_id", F.explode(runs).alias("g")).select("doc_id", "g.*").join(terms.filter(F.col("n") <= MOST), "first")
+    return met.filter(F.array_join(F.slice("run", F.lit(1), F.col("n")), " ") == F.col("term")).select("doc_id", "at", "n", "term", "category")
 
 
 @query(f"""select d.term as concept, d.category, count(*) as mentions, count(distinct g.doc_id) as documents
@@ -27,8 +27,7 @@ from {sql_ngrams(SQL_ARTICLES, "doc_id", "abstract", MOST)} g join {SQL_DICTIONA
 group by all order by documents desc, mentions desc, concept limit 50""")
 def top_concepts(spark, folder):
     """The most frequent dictionary concepts of abstracts."""
-    hits = term_hits(spark, folder).join(dictionary(spark, folder), "term")
-    counts = hits.groupBy(F.col("term").alias("concept"), "category").agg(F.count("*").alias("mentions"), F.countDistinct("doc_id").alias("documents"))
+    counts = term_hits(spark, folder).groupBy(F.col("term").alias("concept"), "category").agg(F.count("*").alias("mentions"), F.countDistinct("doc_id").alias("documents"))
     return counts.orderBy(F.desc("documents"), F.desc("mentions"), "concept").limit(50)
 
 
@@ -36,7 +35,7 @@ def top_concepts(spark, folder):
 from {sql_ngrams(SQL_ARTICLES, "doc_id", "abstract", MOST)} g join {SQL_DICTIONARY} d on d.term = g.k group by category""")
 def concept_type_distribution(spark, folder):
     """Shares of concept types."""
-    counts = term_hits(spark, folder).join(dictionary(spark, folder), "term").groupBy("category").agg(F.count("*").alias("mentions"))
+    counts = term_hits(spark, folder).groupBy("category").agg(F.count("*").alias("mentions"))
     total = counts.agg(F.sum("mentions").alias("all"))
     return counts.crossJoin(F.broadcast(total)).select("category", "mentions", F.round(F.col("mentions") / F.col("all"), 6).alias("share"))
 
@@ -45,7 +44,7 @@ def concept_type_distribution(spark, folder):
 exists(select 1 from expert_reviews r where r.document_id = a.doc_id) as is_reviewed from {SQL_ARTICLES} a""")
 def article_list_flags(spark, folder):
     """Projection, derived boolean, EXISTS as a column."""
-    a = articles(spark, folder).select("doc_id", F.col("title").alias("name"), F.coalesce(F.col("abstract") != "", F.lit(False)).alias("has_abstract"))
+    a = articles(spark, folder, "title", "abstract").select("doc_id", F.col("title").alias("name"), F.coalesce(F.col("abstract") != "", F.lit(False)).alias("has_abstract"))
     reviewed = table(spark, folder, "expert_reviews").select(F.col("document_id").alias("doc_id"))
     return R.presence(a, "doc_id", is_reviewed=reviewed)
 
@@ -80,7 +79,7 @@ def articles_with_text(spark, folder):
 @query(f"select doc_id, title from {SQL_ARTICLES} order by doc_id desc limit 20 offset 40")
 def page_slice(spark, folder):
     """A page of a total order."""
-    return R.page(articles(spark, folder).select("doc_id", "title"), [F.desc("doc_id")], 3, 20)
+    return R.page(articles(spark, folder, "title"), [F.desc("doc_id")], 3, 20)
 
 
 @query(f"""select unnest(['articles','with_abstract','audited','reviewed','adjudicated','reviewed_and_adjudicated','reviewed_only','adjudicated_only','neither']) as metric,
@@ -89,7 +88,7 @@ from (select *, doc_id in (select article_id from corpus_language_audit where ar
 def coverage_dashboard(spark, folder):
     """Presence quadrants in one scan."""
     key = lambda t, c: table(spark, folder, t).select(F.col(c).alias("doc_id"))
-    a = R.presence(articles(spark, folder).select("doc_id", "abstract"), "doc_id", u=key("corpus_language_audit", "article_id"), r=key("expert_reviews", "document_id"), j=key("reviewer_adjudications", "document_id"))
+    a = R.presence(articles(spark, folder, "abstract"), "doc_id", u=key("corpus_language_audit", "article_id"), r=key("expert_reviews", "document_id"), j=key("reviewer_adjudications", "document_id"))
     n = lambda c, name: F.count_if(c).alias(name)
     u, r, j = F.col("u"), F.col("r"), F.col("j")
     flags = a.agg(F.count("*").alias("articles"), n(F.col("abstract") != "", "with_abstract"), n(u, "audited"), n(r, "reviewed"), n(j, "adjudicated"), n(r & j, "reviewed_and_adjudicated"), n(r & ~j, "reviewed_only"), n(j & ~r, "adjudicated_only"), n(~r & ~j, "neither"))

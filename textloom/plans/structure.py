@@ -61,7 +61,7 @@ def section_validation(spark, folder):
 @query()
 def language_gate(spark, folder):
     """Assessment and admission of abstracts."""
-    a = articles(spark, folder).select("doc_id", L.assessment(F.col("abstract")).alias("a"))
+    a = articles(spark, folder, "abstract").select("doc_id", L.assessment(F.col("abstract")).alias("a"))
     return a.select("doc_id", "a.label", "a.vi_ratio", "a.en_ratio", "a.chars", L.admission(F.col("a")).alias("decision"))
 
 
@@ -86,7 +86,7 @@ def packed_sections(spark, folder):
 
 def _layout(spark, folder):
     """Layout lines of sections as they would stand on pages: 20 lines a page, a running head on each."""
-    lines = rows(spark, folder, "article_section").filter("content is not null").select("doc_id", "section_id", "ord", F.posexplode(F.split("content", "\n")).alias("i", "text"))
+    lines = rows(spark, folder, "article_section", "section_id", "doc_id", "ord", "content").filter("content is not null").select("doc_id", "section_id", "ord", F.posexplode(F.split("content", "\n")).alias("i", "text"))
     y = (F.col("i") % 20 + 1) * 40.0
     return lines.select("doc_id", F.concat_ws("-", "section_id", (F.col("i") / 20).cast("int")).alias("page"), "text", y.alias("y0"), F.lit(1000.0).alias("height"), F.when(F.col("i") == 0, 13.0).otherwise(10.0).alias("size"))
 

@@ -31,7 +31,7 @@ _S = "(select distinct * from article_section)"
 @query(f"""select doc_id, {_key("title")} as match_key, {_plain(_key("title"))} as accentless_key from {SQL_ARTICLES} where title is not null""")
 def match_keys(spark, folder):
     """T01, T02."""
-    return articles(spark, folder).filter("title is not null").select("doc_id", T.match_key("title").alias("match_key"), T.accentless_key("title").alias("accentless_key"))
+    return articles(spark, folder, "title").filter("title is not null").select("doc_id", T.match_key("title").alias("match_key"), T.accentless_key("title").alias("accentless_key"))
 
 
 _HEAD = r"""trim(regexp_replace(regexp_replace(trim(""" + _plain("lower(heading)") + r"""), '^((\d+(\.\d+)*|[ivxlc]+|[a-h])[.):\-]+\s*|\d+(\.\d+)*\s+)', ''), '[^a-z0-9]+', ' ', 'g'))"""
@@ -56,7 +56,7 @@ def category_slugs(spark, folder):
 @query(f"""select doc_id, sha256(title || chr(10) || coalesce(abstract, '')) as checksum, regexp_replace({_plain("lower(title)")}, '[^a-z0-9]+', '', 'g') as compact from {SQL_ARTICLES} where title is not null""")
 def article_checksums(spark, folder):
     """T06, T23."""
-    a = articles(spark, folder).filter("title is not null")
+    a = articles(spark, folder, "title", "abstract").filter("title is not null")
     return a.select("doc_id", T.checksum("title", F.coalesce("abstract", F.lit(""))).alias("checksum"), T.compact_key("title").alias("compact"))
 
 
@@ -73,7 +73,7 @@ def repeated_pairs(spark, folder):
 @query(rf"""select doc_id, substring(trim(regexp_replace(regexp_replace(title, '[\\/*?:"<>|\r\n\t]+', ' ', 'g'), '\s+', ' ', 'g')), 1, 60) as file_name from {SQL_ARTICLES} where title is not null""")
 def file_names(spark, folder):
     """T24."""
-    return articles(spark, folder).filter("title is not null").select("doc_id", T.file_name("title", 60).alias("file_name"))
+    return articles(spark, folder, "title").filter("title is not null").select("doc_id", T.file_name("title", 60).alias("file_name"))
 
 
 @query("""select doc_id, i as chunk, substring(text, i * 200 + 1, 200) as piece from (select distinct doc_id, text from documents where text <> ''), unnest(range(0, cast(ceil(length(text) / 200.0) as bigint))) u(i)""")
@@ -87,7 +87,7 @@ def text_chunks(spark, folder):
 (select doc_id, unnest(regexp_extract_all(abstract, '[\p{L}\p{N}\p{M}_]+|[^\p{L}\p{N}\p{M}_\s]')) w from """ + SQL_ARTICLES + ") group by 1")
 def token_counts(spark, folder):
     """Tokens with offsets, folded in the JVM."""
-    t = articles(spark, folder).select("doc_id", F.explode(S.tokens(F.col("abstract"), "plain")).alias("t"))
+    t = articles(spark, folder, "abstract").select("doc_id", F.explode(S.tokens(F.col("abstract"), "plain")).alias("t"))
     return t.groupBy("doc_id").agg(F.count("*").alias("tokens"), F.count_if(F.col("t.word").rlike(r"^[\p{L}\p{N}\p{M}_]")).alias("words"), F.sum(F.col("t.end") - F.col("t.start")).alias("characters"))
 
 
@@ -109,7 +109,7 @@ def term_occurrences(spark, folder):
 @query(f"""select doc_id, replace(replace(replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') as safe from {SQL_ARTICLES} where title is not null""")
 def markup_titles(spark, folder):
     """Escaping."""
-    return articles(spark, folder).filter("title is not null").select("doc_id", T.markup_safe("title").alias("safe"))
+    return articles(spark, folder, "title").filter("title is not null").select("doc_id", T.markup_safe("title").alias("safe"))
 
 
 @query(f"""select doc_id, list_filter(list_transform(string_split_regex(array_to_string(authors, '; '), '[,;]'), lambda x: trim(x)), lambda x: x <> '') as names from {SQL_ARTICLES} where len(authors) > 0""")
@@ -135,7 +135,7 @@ def unaccented_questions(spark, folder):
 @query(f"select doc_id, nfc_normalize(title) as composed, length(nfc_normalize(title)) as n from {SQL_ARTICLES} where title is not null")
 def composed_titles(spark, folder):
     """Unicode composition, the one text function that needs Python."""
-    return articles(spark, folder).filter("title is not null").select("doc_id", T.nfc("title").alias("composed")).withColumn("n", F.length("composed").cast("long"))
+    return articles(spark, folder, "title").filter("title is not null").select("doc_id", T.nfc("title").alias("composed")).withColumn("n", F.length("composed").cast("long"))
 
 
 @query()

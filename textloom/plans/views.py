@@ -20,12 +20,14 @@ def sql_marks(column: str) -> str:
     return f"case when json_valid({column}) then json_transform({column}, {SQL_MARKS}) end"
 
 
-def rows(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return table(spark, folder, name).distinct()
+def rows(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    """The rows of a table, copies once; only columns (which must hold the key) are read and shuffled where they are named."""
+    df = table(spark, folder, name)
+    return (df.select(*columns) if columns else df).distinct()
 
 
-def articles(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "article_extraction").dropDuplicates(["doc_id"])
+def articles(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    return rows(spark, folder, "article_extraction", "doc_id", *columns) if columns else table(spark, folder, "article_extraction").dropDuplicates(["doc_id"])
 
 
 def reviews_in_force(spark: SparkSession, folder: str) -> DataFrame:
@@ -39,7 +41,7 @@ SQL_REVIEWS = "(select * from (select distinct * from expert_reviews) r where id
 
 def dictionary(spark: SparkSession, folder: str) -> DataFrame:
     """(term, code, category): terms of the original labels of reviews, each with its most frequent code and category (ties: the least)."""
-    m = rows(spark, folder, "expert_reviews").select(F.explode(marks("original_labels_json")).alias("m")).select(F.lower("m.text").alias("term"), "m.code", "m.category")
+    m = rows(spark, folder, "expert_reviews", "id", "original_labels_json").select(F.explode(marks("original_labels_json")).alias("m")).select(F.lower("m.text").alias("term"), "m.code", "m.category")
     counts = m.filter("length(term) >= 2 and code is not null").groupBy("term", "code", "category").agg(F.count("*").alias("n"))
     return counts.groupBy("term").agg(F.min(F.struct((-F.col("n")).alias("k"), "code", "category")).alias("b")).select("term", "b.code", "b.category")
 

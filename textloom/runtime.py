@@ -56,3 +56,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), spark.sparkContext.defaultParallelism)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """checkpoint() in the shared folder: unlike materialise it keeps the partitioning, so that later groupings by it need no shuffle."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
