@@ -11,19 +11,12 @@ from operator import add
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from textloom.runtime import materialise, parallelism, shared_folder
+from textloom.runtime import cut, materialise, parallelism
 
 ROUNDS, CLOSE = 12, 1e-4  # power iteration: at most so many rounds, or until no skill moves more
 SKILL = (0.02, 0.98)  # bounds of a skill where it weighs a vote
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
-
-
 def reliabilities(votes: DataFrame, labels: list[str]) -> DataFrame:
     """(annotator, n_votes, n_met, skill, accuracy) from votes (item, annotator, label), one row per item and annotator,
     held in partitions of whole items.
@@ -71,7 +64,7 @@ def prepared(votes: DataFrame) -> DataFrame:
     """Votes (item, annotator, label) without nulls, one per item and annotator (of several the first label by name), in
     partitions of whole items and cut off from their lineage."""
     one = votes.filter("item is not null and annotator is not null and label is not null").groupBy("item", "annotator").agg(F.min("label").alias("label"))
-    return _cut(one.repartition(parallelism(one.sparkSession), "item").sortWithinPartitions("item"))
+    return cut(one.repartition(parallelism(one.sparkSession), "item").sortWithinPartitions("item"))
 
 
 def consensus(votes: DataFrame, labels: list[str], settled: DataFrame | None = None, settled_accuracy: float = 0.95) -> tuple[DataFrame, DataFrame]:
