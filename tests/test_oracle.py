@@ -49,6 +49,6 @@ def test_runs(spark, data, name):
     assert catalogue.QUERIES[name](spark, data).limit(1).count() <= 1
 
 
-@pytest.mark.parametrize("name,column", [("dictionary_matches", "fits"), ("highlighted_articles", "same"), ("question_pages", "same")])
+@pytest.mark.parametrize("name,column", [("dictionary_matches", "fits"), ("highlighted_articles", "same"), ("question_pages", "same"), ("realigned_annotations", "fits"), ("scored_tags", "same"), ("sentence_bounds", "fits"), ("augmented_texts", "fits"), ("detokenised_abstracts", "fits")])
 def test_invariants(spark, data, name, column):
     assert catalogue.QUERIES[name](spark, data).filter(f"not {column}").count() == 0

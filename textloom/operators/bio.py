@@ -83,3 +83,19 @@ def replaced_span(text: Column, spans: Column, index: Column, new: Column) -> Co
     shift = F.length(new) - (old["end"] - old["start"])
     moved = F.transform(spans, lambda s: F.struct(F.when(s["start"] == old["start"], new).otherwise(s["text"]).alias("text"), s["label"].alias("label"), F.when(s["start"] > old["start"], s["start"] + shift).otherwise(s["start"]).cast("int").alias("start"), F.when(s["start"] >= old["start"], s["end"] + shift).otherwise(s["end"]).cast("int").alias("end")))
     return F.struct(F.concat(F.substring(text, F.lit(1), old["start"]), new, F.substring(text, old["end"] + 1, F.length(text))).alias("text"), moved.alias("spans"))
+
+
+def argmax_tags(scores: Column, labels: list[str]) -> Column:
+    """The label of the greatest score of array<double>; ties to the first."""
+    return F.element_at(F.array(*(F.lit(x) for x in labels)), F.array_position(scores, F.array_max(scores)).cast("int"))
+
+
+def word_tags(pieces: DataFrame, labels: list[str]) -> DataFrame:
+    """(sent_id, word, tag) of rows (sent_id, word, piece, scores): each word's tag is that of its first piece."""
+    first = pieces.groupBy("sent_id", "word").agg(F.min(F.struct("piece", "scores")).alias("f"))
+    return first.select("sent_id", "word", argmax_tags(F.col("f.scores"), labels).alias("tag"))
+
+
+def few_shots(text: Column, answer: Column) -> Column:
+    """One example of a prompt."""
+    return F.concat(F.lit("Text: "), text, F.lit("\nLabels: "), answer)

@@ -47,6 +47,41 @@ def occurrences(text: Column, term: Column) -> Column:
     return F.when(F.length(term) > 0, F.aggregate(lengths, zero, step, lambda acc: acc["out"])).otherwise(F.array().cast("array<int>"))
 
 
+def realigned(text: Column, marks: Column) -> Column:
+    """array<struct<text, start, end, used>> of array<struct<text, start>> in order: a mark keeps its start if its text stands there; else it
+    takes the next place of its text that no mark before it of the same text took; where there is none it has null and the cursor stays.
+    A fold over the marks of one document."""
+    kind = "array<struct<text:string,start:int,end:int>>"
+
+    def step(acc: Column, m: Column) -> Column:
+        n = F.length(m["text"])
+        shown = F.coalesce((m["start"] >= 0) & (F.substring(text, m["start"] + 1, n) == m["text"]), F.lit(False))
+        after = F.coalesce(F.array_max(F.transform(F.filter(acc, lambda k: (k["text"] == m["text"]) & k["end"].isNotNull()), lambda k: k["end"])), F.lit(0))
+        next_ = F.call_function("locate", m["text"], text, after + 1) - 1
+        start = F.when(n == 0, F.lit(None).cast("int")).when(shown, m["start"]).when(next_ >= 0, next_)
+        return F.array_append(acc, F.struct(m["text"].alias("text"), start.cast("int").alias("start"), (start + n).cast("int").alias("end")))
+
+    return F.aggregate(marks, F.array().cast(kind), step)
+
+
+def whole_chunks(sizes: Column, joined: Column, budget: int) -> Column:
+    """array<int>: the chunk of each token, of at most budget units, where a token that is joined to the one before (inside an entity)
+    never begins a chunk, unless the entity alone is over the budget. sizes: units of each token; joined: booleans."""
+    n = F.size(sizes)
+    zero = F.struct(F.lit(0).alias("chunk"), F.lit(0).alias("used"), F.array().cast("array<int>").alias("out"))
+
+    def step(acc: Column, i: Column) -> Column:
+        # units up to the end of the entity that begins here
+        run = F.aggregate(F.slice(sizes, i, n), F.struct(F.lit(0).alias("k"), F.lit(0).alias("sum"), F.lit(True).alias("go")), lambda a, s: F.when(a["go"] & ((a["k"] == 0) | F.coalesce(F.get(joined, i - 1 + a["k"]), F.lit(False))), F.struct((a["k"] + 1).alias("k"), (a["sum"] + s).alias("sum"), F.lit(True).alias("go"))).otherwise(F.struct(a["k"].alias("k"), a["sum"].alias("sum"), F.lit(False).alias("go"))), lambda a: a["sum"])
+        own = F.get(sizes, i - 1)
+        inside = F.coalesce(F.get(joined, i - 1), F.lit(False))
+        full = F.when(inside, acc["used"] + own > budget).otherwise((acc["used"] > 0) & (acc["used"] + run > budget))
+        chunk = acc["chunk"] + F.when(full, 1).otherwise(0)
+        return F.struct(chunk.cast("int").alias("chunk"), F.when(full, own).otherwise(acc["used"] + own).cast("int").alias("used"), F.array_append(acc["out"], chunk.cast("int")).alias("out"))
+
+    return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), n), zero, step, lambda a: a["out"])).otherwise(F.array().cast("array<int>"))
+
+
 def overlaps(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
 

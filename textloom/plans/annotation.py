@@ -41,7 +41,7 @@ def accentless_index(spark, folder):
 e as (select key, code, 'exact' as how from k union all select plain, code, 'accentless' from idx)
 select e.how as matched_by, e.code, count(*) as n, count(distinct g.doc_id) as documents from {sql_ngrams(SQL_ARTICLES, "doc_id", "abstract", MOST)} g join e on e.key = g.k group by all""")
 def dictionary_candidates(spark, folder):
-    """All candidates, exact and accentless."""
+    """All candidates, exact and accentless."""
     found = D.candidates(articles(spark, folder, "abstract"), "doc_id", "abstract", entries(spark, folder), MOST)
     return found.groupBy("matched_by", "code").agg(F.count("*").alias("n"), F.countDistinct("key").alias("documents"))
 
@@ -60,7 +60,7 @@ def dictionary_matches(spark, folder):
 
 @query()
 def highlighted_articles(spark, folder):
-    """Markup that is the text again once stripped."""
+    """Markup that is the text again once stripped."""
     m = matches(spark, folder).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "code"))).alias("spans"))
     a = articles(spark, folder, "abstract").select(F.col("doc_id").alias("key"), "abstract").join(m, "key")
     html = D.highlighted(F.col("abstract"), F.col("spans"))

@@ -26,7 +26,7 @@ def term_hits(spark, folder):
 from {sql_ngrams(SQL_ARTICLES, "doc_id", "abstract", MOST)} g join {SQL_DICTIONARY} d on d.term = g.k
 group by all order by documents desc, mentions desc, concept limit 50""")
 def top_concepts(spark, folder):
-    """The most frequent dictionary concepts of abstracts."""
+    """The most frequent dictionary concepts of abstracts."""
     counts = term_hits(spark, folder).groupBy(F.col("term").alias("concept"), "category").agg(F.count("*").alias("mentions"), F.countDistinct("doc_id").alias("documents"))
     return counts.orderBy(F.desc("documents"), F.desc("mentions"), "concept").limit(50)
 

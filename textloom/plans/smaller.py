@@ -282,3 +282,63 @@ def ordered_layout(spark, folder):
     area = F.struct(F.lit(300.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(560.0).alias("x1"), F.lit(25.0).alias("y1"))
     o = P.reading_order(b, ["doc_id", "section_id"])
     return o.select("doc_id", "section_id", "ord", F.round(P.box_overlap(F.struct("x0", "y0", "x1", "y1"), area), 4).alias("in_table"))
+
+
+@query()
+def realigned_annotations(spark, folder):
+    """Annotations put on the next unused place of their text; fits says whether it stands there."""
+    r = rows(spark, folder, "expert_reviews", "id", "document_id", "annotations_json").select("id", F.col("document_id").alias("doc_id"), marks("annotations_json").alias("m")).filter("size(m) > 0")
+    j = r.join(articles(spark, folder, "abstract").filter("abstract is not null"), "doc_id")
+    placed = j.select("id", "abstract", F.explode(S.realigned(F.col("abstract"), F.transform("m", lambda m: F.struct(F.coalesce(m["text"], F.lit("")).alias("text"), m["start"].alias("start"))))).alias("p"))
+    return placed.select("id", "p.text", "p.start", "p.end", F.coalesce(F.substring("abstract", F.col("p.start") + 1, F.length("p.text")) == F.col("p.text"), F.col("p.start").isNull()).alias("fits"))
+
+
+@query()
+def token_chunks(spark, folder):
+    """Tokens of abstracts with gold labels in chunks of 64 units that cut no entity."""
+    from textloom.plans.annotation import token_rows
+
+    t = B.tagged(token_rows(spark, folder), expert_spans(spark, folder), ["doc_id"]).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "word", "tag"))).alias("t"))
+    sizes, joined = F.transform("t", lambda x: F.greatest(F.lit(1), (F.length(x["word"]) / 3).cast("int"))), F.transform("t", lambda x: x["tag"].startswith("I-"))
+    c = t.select("doc_id", "t", S.whole_chunks(sizes, joined, 64).alias("c")).select("doc_id", F.explode(F.arrays_zip("t", "c")).alias("x"))
+    return c.groupBy("doc_id", F.col("x.c").alias("chunk")).agg(F.count("*").alias("tokens"), F.min_by("x.t.tag", "x.t.pos").alias("first_tag"))
+
+
+@query(f"""select label, s % 5 = 0 as fifth, count(*) as n from {_SYS} where label in ('DISEASE', 'SYMPTOM') group by all""")
+def filtered_spans(spark, folder):
+    """Spans filtered by label."""
+    p = system_spans(spark, folder).select("doc_id", "start", "end", F.col("category").alias("label")).distinct().filter("label in ('DISEASE', 'SYMPTOM')")
+    return p.groupBy("label", (F.col("start") % 5 == 0).alias("fifth")).agg(F.count("*").alias("n"))
+
+
+@query()
+def prompt_examples(spark, folder):
+    """The first ten adjudicated abstracts with their labels as examples (the limit is the feature)."""
+    g = expert_spans(spark, folder).join(articles(spark, folder, "abstract").filter("abstract is not null"), "doc_id")
+    line = F.concat(F.col("label"), F.lit(": "), F.substring("abstract", F.col("start") + 1, F.col("end") - F.col("start")))
+    one = g.groupBy("doc_id").agg(F.max("abstract").alias("abstract"), F.array_join(F.sort_array(F.collect_set(line)), "; ").alias("answer"))
+    return one.orderBy("doc_id").limit(10).select("doc_id", B.few_shots(F.col("abstract"), F.col("answer")).alias("example"))
+
+
+@query()
+def scored_tags(spark, folder):
+    """Tags out of scores of pieces; here scores put the word's own tag first."""
+    from textloom.plans.annotation import token_rows
+
+    labels = ["O", *(f"{p}-{x}" for x in ("DISEASE", "SYMPTOM", "CAUSE", "DIAGNOSTIC", "TREATMENT") for p in "BI")]
+    t = B.tagged(token_rows(spark, folder), expert_spans(spark, folder), ["doc_id"])
+    scores = F.array(*(F.when(F.col("tag") == x, 1.0).otherwise(0.1) for x in labels))
+    pieces = t.select(F.col("doc_id").alias("sent_id"), F.col("pos").alias("word"), F.explode(F.sequence(F.lit(0), F.length("word") % 3)).alias("piece"), scores.alias("scores"), "tag")
+    back = B.word_tags(pieces, labels)
+    return back.join(t.select(F.col("doc_id").alias("sent_id"), F.col("pos").alias("word"), F.col("tag").alias("own")), ["sent_id", "word"]).select("sent_id", "word", "tag", (F.col("tag") == F.col("own")).alias("same"))
+
+
+@query(f"""with d as (select doc_id, abstract as t, sha256(lower(abstract)) k from {SQL_ARTICLES} where trim(abstract) <> ''), b as (select k, min(doc_id) as doc_id, count(*) as n from d group by 1)
+select doc_id % 10 < 2 as held, count(*) as n, cast(sum(n) as bigint) as with_copies from b where not exists (select 1 from d x where x.doc_id % 10 >= 2 and x.k = b.k and b.doc_id % 10 < 2) group by 1""")
+def benchmark_parts(spark, folder):
+    """A held-out part without copies and without texts of the rest."""
+    d = articles(spark, folder, "abstract").filter("trim(abstract) != ''").select("doc_id", F.sha2(F.lower("abstract"), 256).alias("k"))
+    b = d.groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).withColumn("held", F.col("doc_id") % 10 < 2)
+    rest = d.filter("doc_id % 10 >= 2").select("k").distinct().withColumn("leak", F.lit(True))
+    kept = b.join(rest, "k", "left").filter("not (held and coalesce(leak, false))")
+    return kept.groupBy("held").agg(F.count("*").alias("n"), F.sum("n").alias("with_copies"))

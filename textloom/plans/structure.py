@@ -13,7 +13,7 @@ _S = "(select distinct * from article_section)"
 
 @query()
 def section_types(spark, folder):
-    """Headings classified."""
+    """Headings classified."""
     s = rows(spark, folder, "article_section").filter("heading is not null").groupBy("heading", "canonical_type").agg(F.count("*").alias("n"))
     return s.withColumn("found", P.section_type(F.col("heading"))).select("heading", "canonical_type", "n", F.col("found.type").alias("found_type"), "found.confidence")
 
@@ -67,7 +67,7 @@ def language_gate(spark, folder):
 
 @query()
 def gate_review(spark, folder):
-    """The gate over bodies against stored decisions."""
+    """The gate over bodies against stored decisions."""
     body = rows(spark, folder, "article_section").groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "section_id", "content"))), lambda s: F.coalesce(s["content"], F.lit(""))), "\n").alias("body"))
     a = articles(spark, folder).select("doc_id", "abstract", "source_pdf").join(body, "doc_id")
     decision = L.admission(L.assessment(L.text_to_assess(F.col("body"), F.col("abstract"))))

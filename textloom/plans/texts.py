@@ -72,7 +72,7 @@ def repeated_pairs(spark, folder):
 
 @query(rf"""select doc_id, substring(trim(regexp_replace(regexp_replace(title, '[\\/*?:"<>|\r\n\t]+', ' ', 'g'), '\s+', ' ', 'g')), 1, 60) as file_name from {SQL_ARTICLES} where title is not null""")
 def file_names(spark, folder):
-    """T24."""
+    """S19, T24."""
     return articles(spark, folder, "title").filter("title is not null").select("doc_id", T.file_name("title", 60).alias("file_name"))
 
 

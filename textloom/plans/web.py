@@ -83,7 +83,7 @@ def page_links(spark, folder):
 
 @query()
 def question_pages(spark, folder):
-    """Pages read back; the flag says whether the question is that of the row."""
+    """Pages read back; the flag says whether the question is that of the row."""
     parsed = pages(spark, folder).select("qa_id", W.question_page("html").alias("p"), W.page_title("html").alias("title"))
     q = rows(spark, folder, "tamanh_qa").select("qa_id", T.flat("patient_question").alias("asked"))
     return parsed.join(q, "qa_id").select("qa_id", "p.question", "p.doctor", "p.answer", "title", (F.col("p.question") == F.col("asked")).alias("same"))

@@ -13,7 +13,7 @@ from textloom.operators import bio
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, keep_broken: bool = False) -> DataFrame:
-    """JSON lines by an explicit schema; blank lines and a byte order mark are skipped. Broken lines are dropped, or kept with
+    """JSON lines by an explicit schema; blank lines and a byte order mark are skipped. Broken lines are dropped, or kept with
     their text in _corrupt and an id in _invalid."""
     lines = spark.read.text(path).select(F.regexp_replace("value", "^﻿", "").alias("value")).filter("length(trim(value)) > 0")
     parsed = lines.select(F.from_json("value", T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())]), {"columnNameOfCorruptRecord": "_corrupt"}).alias("r"), "value")
@@ -25,11 +25,12 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, keep_broken
 
 
 def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
+    """S04, S22."""
     df.write.mode("append" if append else "overwrite").json(path)
 
 
 def polymorphic_entities(record: str = "value"):
-    """Entities out of a line that holds them as entities, as output_text (JSON in a string, perhaps fenced) or in contents."""
+    """Entities out of a line that holds them as entities, as output_text (JSON in a string, perhaps fenced) or in contents."""
     kind = "array<struct<text:string,label:string,start:int,end:int>>"
     direct = F.from_json(F.get_json_object(record, "$.entities"), kind)
     fenced = F.regexp_replace(F.get_json_object(record, "$.output_text"), r"^\s*```(?:json)?\s*|\s*```\s*$", "")
@@ -39,14 +40,14 @@ def polymorphic_entities(record: str = "value"):
 
 
 def tuning_record(instruction: str, prompt, answer):
-    """A supervised tuning record as JSON: instruction, the user's and the model's turn."""
+    """A supervised tuning record as JSON: instruction, the user's and the model's turn."""
     part = lambda c: F.array(F.struct(c.alias("text")))
     turn = lambda role, c: F.struct(F.lit(role).alias("role"), part(c).alias("parts"))
     return F.to_json(F.struct(F.struct(part(F.lit(instruction)).alias("parts")).alias("systemInstruction"), F.array(turn("user", prompt), turn("model", answer)).alias("contents")))
 
 
 def read_conll(spark: SparkSession, path: str, strict: list[str] | None = None) -> DataFrame:
-    """(sent_id, pos, token, tag) of column text: the last column is the tag, blank lines part sentences (they are read as records, so any
+    """(sent_id, pos, token, tag) of column text: the last column is the tag, blank lines part sentences (they are read as records, so any
     number of files is read in parallel). With strict, tags other than O, IGN, B-x and I-x of these labels go to column issue."""
     blocks = spark.read.option("lineSep", "\n\n").text(path).withColumn("file", F.input_file_name())
     rows = blocks.filter("length(trim(value)) > 0").select(F.sha2(F.concat_ws("|", "file", "value"), 256).alias("sent_id"), F.posexplode(F.filter(F.split("value", r"\r?\n"), lambda x: F.length(F.trim(x)) > 0)).alias("pos", "line"))
@@ -58,7 +59,7 @@ def read_conll(spark: SparkSession, path: str, strict: list[str] | None = None)
 
 
 def read_standoff(annotations: DataFrame, texts: DataFrame, keep: list[str] | None = None, window: int = 200) -> DataFrame:
-    """(doc_id, text, label, start, end, issue) of annotations (doc_id, ann) against texts (doc_id, text).
+    """(doc_id, text, label, start, end, issue) of annotations (doc_id, ann) against texts (doc_id, text).
 
     Parted spans are left out as DISCONTINUOUS_EXCLUDED. Text that does not stand at its offsets is looked for within window characters,
     then in the whole text, where it must stand once (OFFSET_CORRECTED); else TEXT_MISMATCH."""
@@ -81,21 +82,22 @@ def read_standoff(annotations: DataFrame, texts: DataFrame, keep: list[str] | No
 
 
 def write_texts(df: DataFrame, path: str, partition: list[str], column: str) -> None:
-    """Texts in folders by partition columns, one line per row."""
+    """Texts in folders by partition columns, one line per row."""
     df.select(*partition, F.col(column).alias("value")).write.mode("overwrite").partitionBy(*partition).text(path)
 
 
 def write_standoff(df: DataFrame, path: str) -> None:
-    """Standoff lines of df (doc_id, spans) in folders by document."""
+    """Standoff lines of df (doc_id, spans) in folders by document."""
     write_texts(df.select("doc_id", bio.standoff(F.col("spans")).alias("ann")), path, ["doc_id"], "ann")
 
 
 def write_report(df: DataFrame, path: str) -> None:
+    """A report of few rows as one file."""
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
 def markdown(df: DataFrame, order: list[str]) -> str:
-    """A small result (a report of fixed labels; at most 10,000 rows) as a table in Markdown."""
+    """A small result (a report of fixed labels; at most 10,000 rows) as a table in Markdown."""
     rows = df.orderBy(*order).limit(10_001).collect()
     if len(rows) > 10_000:
         raise ValueError("not a report: more than 10,000 rows")
@@ -104,7 +106,7 @@ def markdown(df: DataFrame, order: list[str]) -> str:
 
 
 def read_binaries(spark: SparkSession, path: str, magic: bytes = b"%PDF", most: int = 50 << 20) -> DataFrame:
-    """(path, length, sha256, reason) of files: reason is null for one of the right kind and size."""
+    """(path, length, sha256, reason) of files: reason is null for one of the right kind and size."""
     files = spark.read.format("binaryFile").load(path)
     head = F.substring("content", 1, len(magic))
     reason = F.when(F.col("length") == 0, "EMPTY").when(F.col("length") > most, "TOO_LARGE").when(head != F.lit(bytearray(magic)), "WRONG_KIND")
@@ -112,12 +114,12 @@ def read_binaries(spark: SparkSession, path: str, magic: bytes = b"%PDF", most:
 
 
 def unprocessed(files: DataFrame, index: DataFrame) -> DataFrame:
-    """Files whose digest the index of processed ones does not hold; equal files once."""
+    """Files whose digest the index of processed ones does not hold; equal files once."""
     return files.filter("reason is null").dropDuplicates(["sha256"]).join(index.select("sha256"), "sha256", "left_anti")
 
 
 def read_dictionary(spark: SparkSession, path: str, required: list[str], header_row: int = 1) -> DataFrame:
-    """A dictionary sheet as CSV, all columns strings; header_row counts from 1. Missing columns raise."""
+    """A dictionary sheet as CSV, all columns strings; header_row counts from 1. Missing columns raise."""
     if header_row == 1:
         df = spark.read.option("header", True).option("inferSchema", False).option("multiLine", True).csv(path)
     else:
@@ -131,7 +133,7 @@ def read_dictionary(spark: SparkSession, path: str, required: list[str], header_
 
 
 def wrapped_rows(df: DataFrame, order: str, code: str, text: str, pattern: str = r"^650\d{4}$") -> DataFrame:
-    """(code, text): rows of a table whose cells wrapped over lines; a row without a code goes on with the one before. One table of a printed
+    """(code, text): rows of a table whose cells wrapped over lines; a row without a code goes on with the one before. One table of a printed
     dictionary is read in order, so it is one window."""
     w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     named = df.withColumn("__c", F.last(F.when(F.col(code).rlike(pattern), F.col(code)), ignorenulls=True).over(w)).filter("__c is not null")
@@ -139,7 +141,7 @@ def wrapped_rows(df: DataFrame, order: str, code: str, text: str, pattern: str =
 
 
 def write_manifest(path: str, version: str, artefacts: dict[str, str]) -> dict:
-    """A manifest with digest, size and version of local files, put in place at once."""
+    """A manifest with digest, size and version of local files, put in place at once."""
     made = {"version": version, "artefacts": {}}
     for name, file in artefacts.items():
         with open(file, "rb") as f:
@@ -153,7 +155,7 @@ def write_manifest(path: str, version: str, artefacts: dict[str, str]) -> dict:
 
 
 def verified(path: str, folder: str) -> dict:
-    """The manifest at path, its files checked; a difference raises."""
+    """The manifest at path, its files checked; a difference raises."""
     with open(path, encoding="utf-8") as f:
         made = json.load(f)
     for name, a in made["artefacts"].items():
