@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -196,6 +197,7 @@ def line_sizes(dictionaries: dict[str, bytes]):
     def extra():
         classify = classifier(dictionaries)
 
+        @lru_cache(maxsize=1 << 15)  # lines of a site come again and again
         def measure(raw: str) -> tuple[int, int, int]:
             sizes = {"vi": 0, "en": 0, "fr": 0}
             for s in sentences(form(raw)):
