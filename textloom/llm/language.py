@@ -127,11 +127,15 @@ def fit(texts: list[str]) -> dict[str, bytes]:
 
 
 def sample(*columns: tuple[DataFrame, str], rows: int = SAMPLE_ROWS) -> list[str]:
-    """At most rows texts, chosen by hash, shared out evenly among the columns."""
+    """At most rows texts, chosen by hash, shared out evenly among the columns. Rows are thinned by hash before they are ordered, so
+    that what reaches the driver does not grow with the partitions."""
     out: list[str] = []
     for df, name in columns:
-        picked = df.select(F.substring(F.col(name), 1, 4000).alias("t")).filter("length(trim(t)) > 0").orderBy(F.xxhash64("t")).limit(rows // len(columns))
-        out += [r.t for r in picked.collect()]
+        share = rows // len(columns)
+        kept = min(1.0, 4 * share / max(df.count(), 1))
+        picked = df.select(F.substring(F.col(name), 1, 4000).alias("t")).filter("length(trim(t)) > 0").withColumn("h", F.xxhash64("t"))
+        picked = picked.filter(F.pmod("h", F.lit(1 << 31)) <= int(kept * (1 << 31)))
+        out += [r.t for r in picked.orderBy("h", "t").limit(share).collect()]
     return out
 
 
