@@ -59,8 +59,15 @@ def parallelism(spark: SparkSession) -> int:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """checkpoint() in the shared folder: unlike materialise it keeps the partitioning, so that later groupings by it need no shuffle."""
+    """checkpoint() in the shared folder: unlike materialise it keeps the partitioning, so that later groupings by it need no shuffle.
+    A plan that adapts while it runs does not tell its partitioning, so this one is fixed before."""
+    spark, key = df.sparkSession, "spark.sql.adaptive.enabled"
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        return df.checkpoint()
+    finally:
+        spark.conf.set(key, before)
