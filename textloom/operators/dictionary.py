@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from textloom.functions import text as T
 from textloom.operators import spans as S
+from textloom.runtime import materialise
 
 # Match ranks (smaller is surer) and priorities of sources (greater wins).
 RANK = {"exact": 0, "abbreviation": 1, "alias": 2, "clinical_form": 2, "accentless": 3}
@@ -45,23 +46,29 @@ def accentless_index(entries: DataFrame) -> DataFrame:
     return one.filter("targets = 1").select("plain", "b.key", "b.code", "b.category")
 
 
-def candidates(texts: DataFrame, key: str, text: str, entries: DataFrame, most: int = 5) -> DataFrame:
+def with_longest(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """texts with most: the words of the longest of terms (n), a frame of one row; 1 where there are none."""
+    return texts.crossJoin(F.broadcast(terms.agg(F.coalesce(F.max("n"), F.lit(1)).alias("most"))))
+
+
+def candidates(texts: DataFrame, key: str, text: str, entries: DataFrame) -> DataFrame:
     """(key, start, end, text, term, code, category, matched_by, rank) of dictionary terms in texts.
 
     Words are met by the first word of a term, then compared whole, so that runs that begin no term are never formed. A run that is itself
-    without accents also meets the accentless index. The dictionary's first words join the text's words; where the dictionary is
-    small the optimizer broadcasts it by its size.
+    without accents also meets the accentless index. The dictionary's first words join the text's words; it is
+    written first, so that the optimizer knows its size and broadcasts a small one instead of shuffling words with their runs. A run is as long as the dictionary's longest term, so that no term is left out.
     """
     toks = texts.select(F.col(key).alias("key"), F.col(text).alias("__text"), S.tokens(F.lower(F.col(text)), "words").alias("w"))
 
     def window(t: Column, i: Column) -> Column:
-        run = F.slice("w", i + 1, most)
+        run = F.slice("w", i + 1, F.col("most"))
         return F.struct(t["word"].alias("first"), t["start"].alias("start"), run.alias("run"), F.substring("__text", t["start"] + 1, F.element_at(run, -1)["end"] - t["start"]).alias("seen"))
 
-    words = toks.select("key", F.explode(F.transform("w", window)).alias("t")).select("key", "t.*")
     exact = entries.select(F.col("key").alias("term"), "code", "category", F.when(F.col("alias_type") == "canonical", "exact").otherwise(F.col("alias_type")).alias("matched_by") if "alias_type" in entries.columns else F.lit("exact").alias("matched_by"))
     plain = accentless_index(entries).select(F.col("plain").alias("term"), "code", "category", F.lit("accentless").alias("matched_by"))
-    every = exact.unionByName(plain).withColumn("n", F.size(F.split("term", " "))).withColumn("first", F.substring_index("term", " ", 1)).filter(F.col("n") <= most)
+    every = exact.unionByName(plain).withColumn("n", F.size(F.split("term", " "))).withColumn("first", F.substring_index("term", " ", 1))
+    every = materialise(every, "terms")
+    words = with_longest(toks, every).select("key", F.explode(F.transform("w", window)).alias("t")).select("key", "t.*")
     met = words.join(every, "first")
     run = F.slice("run", F.lit(1), F.col("n"))
     met = met.filter(F.array_join(F.transform(run, lambda x: x["word"]), " ") == F.col("term"))

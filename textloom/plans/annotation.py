@@ -11,7 +11,7 @@ from textloom.plans.views import SQL_ARTICLES, SQL_DICTIONARY, articles, diction
 
 _R = "(select distinct * from expert_reviews)"
 _J = "(select distinct * from reviewer_adjudications)"
-MOST = 5
+MOST = 5  # words of a dictionary term that the SQL looks for; the queries look for all terms
 
 
 def entries(spark, folder):
@@ -42,12 +42,12 @@ e as (select key, code, 'exact' as how from k union all select plain, code, 'acc
 select e.how as matched_by, e.code, count(*) as n, count(distinct g.doc_id) as documents from {sql_ngrams(SQL_ARTICLES, "doc_id", "abstract", MOST)} g join e on e.key = g.k group by all""")
 def dictionary_candidates(spark, folder):
     """All candidates, exact and accentless."""
-    found = D.candidates(articles(spark, folder, "abstract"), "doc_id", "abstract", entries(spark, folder), MOST)
+    found = D.candidates(articles(spark, folder, "abstract"), "doc_id", "abstract", entries(spark, folder))
     return found.groupBy("matched_by", "code").agg(F.count("*").alias("n"), F.countDistinct("key").alias("documents"))
 
 
 def matches(spark, folder):
-    return D.longest_matches(D.candidates(articles(spark, folder, "abstract"), "doc_id", "abstract", entries(spark, folder), MOST))
+    return D.longest_matches(D.candidates(articles(spark, folder, "abstract"), "doc_id", "abstract", entries(spark, folder)))
 
 
 @query()

@@ -5,20 +5,21 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.operators import relational as R
+from textloom.operators import dictionary as D, relational as R
 from textloom.plans.registry import query
 from textloom.plans.views import SQL_ARTICLES, SQL_DICTIONARY, articles, dictionary, rows, sql_ngrams
-from textloom.runtime import table
+from textloom.runtime import materialise, table
 
-MOST = 5  # words of a dictionary term
+MOST = 5  # words of a dictionary term that the SQL looks for; the queries look for all terms
 
 
 def term_hits(spark, folder):
     """(doc_id, at, n, term, category): dictionary terms as runs of words of abstracts. Only words that begin a term meet the dictionary."""
     words = articles(spark, folder, "abstract").select("doc_id", F.regexp_extract_all(F.lower("abstract"), F.lit(T.WORD), F.lit(0)).alias("ws"))
-    runs = F.transform("ws", lambda w, i: F.struct(w.alias("first"), (i + 1).alias("at"), F.slice("ws", i + 1, MOST).alias("run")))
+    runs = F.transform("ws", lambda w, i: F.struct(w.alias("first"), (i + 1).alias("at"), F.slice("ws", i + 1, F.col("most")).alias("run")))
     terms = dictionary(spark, folder).select("term", "category", F.size(F.split("term", " ")).alias("n"), F.substring_index("term", " ", 1).alias("first"))
-    met = words.select("doc_id", F.explode(runs).alias("g")).select("doc_id", "g.*").join(terms.filter(F.col("n") <= MOST), "first")
+    terms = materialise(terms, "terms")  # read twice; its size is then known, and a small one is broadcast instead of shuffling words
+    met = D.with_longest(words, terms).select("doc_id", F.explode(runs).alias("g")).select("doc_id", "g.*").join(terms, "first")
     return met.filter(F.array_join(F.slice("run", F.lit(1), F.col("n")), " ") == F.col("term")).select("doc_id", "at", "n", "term", "category")
 
 
