@@ -16,7 +16,9 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_groups(spark: SparkSession, folder: str) -> DataFrame:
-    return forms.look_alikes(table(spark, folder, "tamanh_qa"), "qa_identifier", "doctor_answer")
+    named = lambda name, key, field: table(spark, folder, name).select(F.struct(F.lit(field).alias("field"), F.col(key).alias("key")).alias("at"), F.col(field).alias("text"))
+    both = named("article_section", "section_id", "content").unionByName(named("tamanh_qa", "qa_identifier", "doctor_answer"))
+    return forms.look_alikes(both, "at", "text").select("key.field", "key.key", "skeleton_id", "members")
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
