@@ -23,6 +23,11 @@ from textloom.llm import forms, sitelines
         ("µg cm² 37°C “x” – … 👍🏽 👩‍⚕️", "µg cm² 37°C “x” – … 👍🏽 👩‍⚕️"),
         ("a\tb\nc\r\n", "a\tb\nc\r\n"),
         ("Москва", "Москва"),
+        ("там, вот и кот", "там, вот и кот"),
+        ("кhám тốt", "khám tốt"),
+        ("𝐛ệnh 𝑣à ⅻ ℍà ⓐn", "bệnh và xii Hà an"),
+        ("bệոh Ꭺn ᴛim", "bệnh An tim"),
+        ("x ∈ ℕ, № 5, ℃, ™, ℹ", "x ∈ N, № 5, ℃, ™, ℹ"),
     ],
 )
 def test_form(text, expected):
@@ -35,6 +40,16 @@ def test_skeletons_meet():
     assert forms.skeleton("bạn") != forms.skeleton("bán")
 
 
+def test_the_skeleton_decides(spark, monkeypatch):
+    """Without prototypes no look-alike is proposed."""
+    df = spark.createDataFrame([("a", "Вạn"), ("b", "Bạn")], "k string, t string")
+    assert [r.key for r in forms.differing(df, "k", "t").collect()] == ["a"]
+    assert forms.skeleton("𝐁ạn") == forms.skeleton("Вạn") == forms.skeleton("Ᏼạn")
+    step = forms.skeleton
+    monkeypatch.setattr(forms, "skeleton", lambda t: forms.unicodedata.normalize("NFD", t))
+    assert forms.form("Вạn") == "Вạn" and step("Вạn") != forms.skeleton("Вạn")
+
+
 def test_differing_nulls_copies_and_other_columns(spark):
     rows = [("a", None, 1), ("b", "", 1), ("c", "x\u00a0y", 1), ("c", "x\u00a0y", 1), ("d", "xy", 1), (None, "x\u00a0y", 1), ("e", "x" * 50_000 + "\u2003", 1)]
     df = spark.createDataFrame(rows, "key string, text string, form int")
@@ -90,6 +105,29 @@ def test_repeated_lines_by_brute_force(spark):
     assert clean["k400"] is None
 
 
+def line_table(spark, has):
+    """has: {site: (documents, {line: documents with it})}"""
+    docs, lines, d = [], [], 0
+    for site, (n, own) in has.items():
+        for i in range(n):
+            d += 1
+            docs.append((d, site))
+            lines += [(d, int(line)) for line, k in own.items() if i < k] + [(d, 10_000 + d)]
+    return spark.createDataFrame(lines, "doc_id long, line long"), spark.createDataFrame(docs, "doc_id long, site string")
+
+
+def test_the_test_decides(spark):
+    """A line that passes the shares on one small site, while all others have it nearly as often, fails the test; those that several or all
+    sites repeat are found on each."""
+    has = {f"s{i}": (100, {1: 19, 2: 60 if i < 6 else 1, 4: 50}) for i in range(9)}
+    has["few"] = (40, {1: 9, 2: 12, 3: 12, 4: 20})
+    lines, docs = line_table(spark, has)
+    often = {(r.site, r.line) for r in sitelines.line_counts(lines, docs).filter("often").collect()}
+    got = {(r.site, r.line) for r in sitelines.repeated_lines(lines, docs).collect()}
+    assert ("few", 1) in often
+    assert got == often - {("few", 1)} == {("few", 2), ("few", 3), ("few", 4), *((f"s{i}", 2) for i in range(6)), *((f"s{i}", 4) for i in range(9))}
+
+
 def test_no_sites_and_one_site(spark):
     s = spark.createDataFrame([(d, f"k{d}", f"chung\nriêng {'abcde'[d]}") for d in range(5)], "doc_id long, section_id string, content string")
     none = spark.createDataFrame([], "article_id long, source_domain string, source_url string")

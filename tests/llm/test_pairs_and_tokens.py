@@ -79,6 +79,17 @@ def test_ids_are_those_of_the_library():
         assert np.frombuffer(ids(s), dtype=np.int32).tolist() == t.encode(s, add_special_tokens=False).ids, repr(s)
 
 
+def test_forced_pairs_cut_texts_of_any_script():
+    ranks = encoding.ranks_of(encoding.vocabulary())
+    cuts, inside = encoding.forced_cuts(ranks), encoding.inner_pairs(ranks)
+    text = "Người bệnh được khám tại viện, không sốt. Патиент 患者です qzxvqj"
+    raw = text.encode()
+    at = cuts(raw).tolist()
+    assert len(at) > len(text.split()) and all(not inside[raw[i - 1], raw[i]] for i in at)
+    assert [len(t) for t in ranks if any(not inside[a, b] for a, b in zip(t, t[1:]))] == []
+    assert cuts(b"").tolist() == [] and cuts(b"a").tolist() == []
+
+
 def test_ids_of_empty_and_null(spark):
     df = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, "ab", 0), (3, "ab", 0), (4, "dài " * 30_000, 0)], "doc_id long, text string, ids int")
     got = sorted((r.key, len(r.ids)) for r in encoding.encoded(df, "doc_id", "text").collect())

@@ -1,13 +1,13 @@
 """Problem 8: token ids of every text by a public byte-level tokenizer.
 
-Byte pairs that stand inside no token of the vocabulary force a boundary: no merge can reach across. Texts are cut there, where the
-pre-tokenizer's pattern cannot notice the cut, fragments are encoded on their own (each distinct one once a task) and joined.
+Byte pairs that stand inside no token of the vocabulary force a boundary: no merge can reach across. Every text is cut at all such
+pairs where the pre-tokenizer's pattern cannot notice the cut, fragments are encoded on their own (each distinct one once a task) and joined.
 """
 
 from __future__ import annotations
 
 import base64
-import re
+import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,13 +17,21 @@ from pyspark.sql import DataFrame, functions as F, types as T
 FOLDER, VOCABULARY = "/opt/tokenizers", "byte_bpe_50k"
 #: The pre-tokenizer's pattern of the vocabulary (fixed value, as published with it).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-KEPT = 200_000  # distinct fragments a task remembers
-LONG = 400  # characters from which a fragment without blanks is cut at forced boundaries between letters too
+KEPT = 400_000  # distinct fragments a task remembers
+VOCABULARY_BYTES = 64 << 20  # of a vocabulary file, at most: it is sent to all executors
 
 
-def ranks_of(folder: str, name: str) -> dict[bytes, int]:
-    with open(f"{folder}/{name}.tiktoken", "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+def vocabulary(folder: str = FOLDER, name: str = VOCABULARY) -> bytes:
+    """The vocabulary file, read where the driver runs; executors get it from there and need no such folder."""
+    path = f"{folder}/{name}.tiktoken"
+    if os.path.getsize(path) > VOCABULARY_BYTES:
+        raise ValueError(f"{path} is larger than {VOCABULARY_BYTES} bytes")
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def ranks_of(raw: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
 
 
 def inner_pairs(tokens) -> np.ndarray:
@@ -36,44 +44,55 @@ def inner_pairs(tokens) -> np.ndarray:
     return table
 
 
-def encoder(folder: str = FOLDER, name: str = VOCABULARY) -> Callable[[str], bytes]:
+def forced_cuts(tokens) -> Callable[[bytes], np.ndarray]:
+    """text in UTF-8 -> positions of its forced cuts.
+
+    A pair inside no token forces a cut, unless the pattern could read the two sides otherwise than the whole: after a blank (blanks
+    belong to what follows or to one another), before an apostrophe that may end a run of signs, and inside a character."""
+    table = ~inner_pairs(tokens)
+    table[:, 0x80:0xC0] = False
+    table[[*range(0x09, 0x0E), *range(0x1C, 0x21)], :] = False
+    word = np.zeros(256, dtype=bool)
+    word[[*b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"]] = True
+    table[~word, ord("'")] = False
+
+    def cuts(raw: bytes) -> np.ndarray:
+        b = np.frombuffer(raw, dtype=np.uint8)
+        at = np.flatnonzero(table[b[:-1], b[1:]]) + 1
+        wide = b[at - 1] >= 0x80
+        if wide.any():  # after a blank of several bytes
+            one, two, three = b[at - 1], b[np.maximum(at - 2, 0)], b[np.maximum(at - 3, 0)]
+            blank = (two == 0xC2) & ((one == 0x85) | (one == 0xA0))
+            blank |= (three == 0xE1) & (two == 0x9A) & (one == 0x80)
+            blank |= (three == 0xE2) & (two == 0x80) & ((one <= 0x8A) | (one == 0xA8) | (one == 0xA9) | (one == 0xAF))
+            blank |= (three == 0xE2) & (two == 0x81) & (one == 0x9F)
+            blank |= (three == 0xE3) & (two == 0x80) & (one == 0x80)
+            at = at[~(blank & wide)]
+        return at
+
+    return cuts
+
+
+def encoder(raw_vocabulary: bytes | None = None, name: str = VOCABULARY) -> Callable[[str], bytes]:
     """text -> its ids as 32-bit integers in bytes."""
     import tiktoken
 
-    ranks = ranks_of(folder, name)
+    ranks = ranks_of(raw_vocabulary if raw_vocabulary is not None else vocabulary(name=name))
     encode = tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    inside = inner_pairs(ranks)
-    blank = np.zeros(256, dtype=bool)
-    blank[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
-    # A blank with no token where it follows another sign: before it, the pattern always begins a new piece.
-    forced = [c for c in " \n\r\t" if not inside[~blank, ord(c)].any()]
-    cuts = re.compile(rf"(?<=\S)(?=[{''.join(forced)}])") if forced else None
-    letters = re.compile("(?<=[a-zA-Z])(?=[a-zA-Z])")
-    kept: dict[str, bytes] = {}
-
-    def plain(fragment: str) -> bytes:
-        return np.array(encode(fragment), dtype=np.int32).tobytes()
-
-    def inside_letters(fragment: str) -> bytes:
-        out, at = [], 0
-        for m in letters.finditer(fragment):
-            i = m.start()
-            if not inside[ord(fragment[i - 1]), ord(fragment[i])]:
-                out.append(plain(fragment[at:i]))
-                at = i
-        return b"".join([*out, plain(fragment[at:])])
+    cuts, kept = forced_cuts(ranks), {}
 
     def ids(text: str) -> bytes:
-        out = []
-        for f in cuts.split(text) if cuts else [text]:
-            got = kept.get(f)
+        raw = text.encode()
+        ends, out, at = cuts(raw).tolist(), [], 0
+        ends.append(len(raw))
+        for end in ends:
+            fragment = raw[at:end]
+            at = end
+            got = kept.get(fragment)
             if got is None:
-                if len(f) > LONG:
-                    out.append(inside_letters(f))
-                    continue
                 if len(kept) >= KEPT:
                     kept.clear()
-                got = kept[f] = plain(f)
+                got = kept[fragment] = np.array(encode(fragment.decode()), dtype=np.int32).tobytes()
             out.append(got)
         return b"".join(out)
 
@@ -84,9 +103,10 @@ def encoded(df: DataFrame, key: str, text: str, folder: str = FOLDER, name: str
     """(key, ids): one row per row of df, without special tokens; an empty list for empty and null texts. With counts_only
     (key, n_tokens). Strings of special tokens inside a text are ordinary text. Nothing is shuffled; other columns are not read."""
     schema = T.StructType([T.StructField("key", df.schema[key].dataType), T.StructField("n_tokens", T.LongType()) if counts_only else T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    held = df.sparkSession.sparkContext.broadcast(vocabulary(folder, name))  # at most VOCABULARY_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = encoder(folder, name)
+        ids = encoder(held.value, name)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)

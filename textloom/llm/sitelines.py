@@ -1,8 +1,10 @@
 """Problem 3: lines that one site repeats in many of its documents.
 
 Each (site, line) pair is tested: its document frequency within the site against that outside, by log-likelihood
-ratio; the false-discovery rate is held by Benjamini and Hochberg's rule. Outside leaves out sites that have the line
-in more than one document, so that a line shared by several sites is found on each of them.
+ratio; the false-discovery rate is held by Benjamini and Hochberg's rule. Outside are all documents of other sites. As a line that several
+sites repeat hides its excess on one behind the others, those suspected of repeating it are left out: at first where it stands in the stated
+share of the documents, then also where it is found in excess, until no more are. A line that passes the shares by chance, while other
+sites have it nearly as often, is not in excess. Documents of no known site are neither within nor outside.
 """
 
 from __future__ import annotations
@@ -58,52 +60,68 @@ def _cut(bins: list[tuple[int, int]], tests: int, rate: float) -> float:
     """The least log-likelihood ratio that the false-discovery rule lets pass."""
     passed, least = 0, math.inf
     for b, n in sorted(bins, reverse=True):
-        passed += n
+        passed += n  # of one bin, any order leaves the same least bin
         if math.erfc(math.sqrt(b * BIN / 2)) <= rate * passed / tests:
             least = b * BIN
     return least
 
 
-def tested_lines(lines: DataFrame, docs: DataFrame, min_docs: int = 3, min_share: float = 0.2) -> DataFrame:
-    """(site, line, n, site_docs, often, ratio): every line of every site with its one-sided log-likelihood ratio.
-
-    often says whether it stands in at least min_docs of the site's documents and min_share of them. Outside are all
-    documents but those of the site and of other sites (documents of no site are one) that have the line in more than one document; where nothing is left
-    outside, the line counts as met once in all documents."""
+def line_counts(lines: DataFrame, docs: DataFrame, min_docs: int = 3, min_share: float = 0.2) -> DataFrame:
+    """(site, line, n, site_docs, often, all_n, all_docs, hopeful): documents of a site that have the line, those of all that have it,
+    whether it stands in at least min_docs of the site's documents and min_share of them, and whether it does so on any site.
+    Documents of no site are the site ''."""
     docs = docs.filter("doc_id is not null").select("doc_id", F.coalesce("site", F.lit("")).alias("site"))
     sizes = docs.groupBy("site").agg(F.count("*").alias("site_docs"))
     total = docs.agg(F.count("*").alias("all_docs"))  # one row
     counts = lines.select("doc_id", "line").distinct().join(docs, "doc_id").groupBy("site", "line").agg(F.count("*").alias("n"))
-    counts = counts.join(sizes, "site").withColumn("often", (F.col("site") != "") & (F.col("n") >= min_docs) & (F.col("n") >= min_share * F.col("site_docs")))
-    shared = F.col("n") > 1
-    around = counts.groupBy("line").agg(
-        F.sum(F.when(~shared, F.col("n")).otherwise(0)).alias("rare_n"),
-        F.sum(F.when(shared, F.col("site_docs")).otherwise(0)).alias("shared_docs"),
-    )
-    tests = counts.filter("site != ''").join(around, "line").join(F.broadcast(total))
-    left = F.col("all_docs") - F.col("shared_docs") - F.when(shared, 0).otherwise(F.col("site_docs"))
-    outside = F.when(left > 0, F.col("rare_n") - F.when(shared, 0).otherwise(F.col("n"))).otherwise(1)
-    a, b = F.col("n").cast("double"), F.col("site_docs").cast("double")
-    k, m = outside.cast("double"), F.when(left > 0, left).otherwise(F.col("all_docs")).cast("double")
+    counts = counts.join(sizes, "site").withColumn("often", (F.col("n") >= min_docs) & (F.col("n") >= min_share * F.col("site_docs")))
+    around = counts.groupBy("line").agg(F.sum("n").alias("all_n"), F.max("often").alias("hopeful"))
+    return counts.join(around, "line").join(F.broadcast(total))
+
+
+def _excess(own_n, own_docs, other_n, other_docs):
+    """One-sided log-likelihood ratio of a line's frequency within against outside; 0 where it is no greater within."""
+    a, b, k, m = (x.cast("double") for x in (own_n, own_docs, other_n, other_docs))
     pooled = (a + k) / (b + m)
     term = lambda x, n, p: F.when(x > 0, x * F.log(x / (n * p))).otherwise(0.0)
     ratio = 2 * (term(a, b, pooled) + term(b - a, b, 1 - pooled) + term(k, m, pooled) + term(m - k, m, 1 - pooled))
-    return tests.select("site", "line", "n", "site_docs", "often", F.when(a / b > k / m, ratio).otherwise(0.0).alias("ratio"))
+    return F.when(a / b > k / m, ratio).otherwise(0.0)
+
+
+def tested_lines(counts: DataFrame) -> DataFrame:
+    """counts with ratio: each line of each site against the documents of all other sites but the suspected ones (suspected: boolean).
+    Where that leaves nothing outside, the line counts as met once in all documents."""
+    sums = counts.filter("suspected").groupBy("line").agg(F.sum("n").alias("gone_n"), F.sum("site_docs").alias("gone_docs"))
+    sites = counts.drop("ratio").join(sums, "line", "left").na.fill(0, ["gone_n", "gone_docs"])
+    own = (~F.col("suspected")).cast("int")  # a suspected site is among those gone
+    left = F.col("all_docs") - F.col("gone_docs") - own * F.col("site_docs")
+    other_n = F.when(left > 0, F.col("all_n") - F.col("gone_n") - own * F.col("n")).otherwise(F.lit(1))
+    other_docs = F.when(left > 0, left).otherwise(F.col("all_docs"))
+    return sites.withColumn("ratio", _excess(F.col("n"), F.col("site_docs"), other_n, other_docs)).drop("gone_n", "gone_docs")
 
 
 def repeated_lines(lines: DataFrame, docs: DataFrame, min_docs: int = 3, min_share: float = 0.2, rate: float = 0.01) -> DataFrame:
     """(site, line, n, site_docs, ratio): lines in significant excess on their site, standing in at least min_docs of its
     documents and in min_share of them.
 
-    lines: (doc_id, line), repeated rows count once. docs: (doc_id, site), one row per document; a document of null site
-    counts as outside only, a null document not at all. A site may hold any share of the rows: counting is by
-    (site, line) with partial sums. Of the tests only a histogram of at most BINS rows reaches the driver. Empty input gives no rows.
+    lines: (doc_id, line), repeated rows count once. docs: (doc_id, site), one row per document; documents of null site
+    do not count. A site may hold any share of the rows: counting is by
+    (site, line) with partial sums. Ratios are binned by BIN up to BINS * BIN for the rule's ranks, so that of the tests only a histogram of
+    at most BINS rows reaches the driver. After the first pass only lines that are often on some site are tested again. Suspicion only grows,
+    and the passes end with the first that adds none. Empty input gives no rows.
     """
-    tests = materialise(tested_lines(lines, docs, min_docs, min_share), "line-tests")
     step = F.least(F.floor(F.col("ratio") / BIN), F.lit(BINS)).cast("int")
-    bins = [(r.b, r.n) for r in tests.groupBy(step.alias("b")).agg(F.count("*").alias("n")).collect()]
-    least = _cut(bins, max(1, sum(n for _, n in bins)), rate)
-    return tests.filter(F.col("often") & (F.col("ratio") >= least)).drop("often")
+    histogram = lambda df: [(r.b, r.n, r.new) for r in df.groupBy(step.alias("b")).agg(F.count("*").alias("n"), F.count(F.when(~F.col("suspected"), 1)).alias("new")).collect()]
+    tests = materialise(tested_lines(line_counts(lines, docs, min_docs, min_share).withColumn("suspected", F.col("often"))), "line-tests")
+    bins = histogram(tests.filter("not hopeful"))
+    state = materialise(tests.filter("hopeful"), "line-tests")
+    while True:
+        now = histogram(state)
+        least = _cut([(b, n) for b, n, _ in bins + now], max(1, sum(n for _, n, _ in bins + now)), rate)
+        if not any(b * BIN >= least and new for b, _, new in now):
+            return state.filter(F.col("often") & (F.col("ratio") >= least)).select("site", "line", "n", "site_docs", "ratio")
+        marked = state.withColumn("suspected", F.col("suspected") | (F.col("ratio") >= least))
+        state = materialise(tested_lines(marked).select(*state.columns), "line-tests")
 
 
 def site_documents(sections: DataFrame, audit: DataFrame) -> DataFrame:
