@@ -41,10 +41,46 @@ A = "Chào em, Bạn nên làm siêu âm để loại trừ bệnh và theo dõi
     ],
 )
 def test_defects(question, answer, expected):
-    got = pairs.defect(question, answer, pairs.refusing_phrases())
+    got = pairs.defect(question, answer, pairs.Refusals())
     assert (got and got[0]) == expected
 
 
+@pytest.mark.parametrize(
+    "answer",
+    [
+        "I'm sorry, but I can't help with that.",
+        "I am unable to advise on this matter.",
+        "We do not give medical advice here. Kind regards.",
+        "Tôi không thể đưa ra ý kiến về vấn đề này.",
+        "Chúng tôi không thể đưa ra lời khuyên cho trường hợp của bạn.",
+        "Rất tiếc, ban biên tập xin từ chối bình luận về chủ đề này.",
+        "Nội dung này vượt quá phạm vi chuyên môn của chúng tôi.",
+        "Nous ne sommes pas en mesure de vous donner un avis.",
+    ],
+)
+def test_refusals_in_other_words(answer):
+    """Held out: none of these sentences stands in the tables."""
+    assert pairs.Refusals()(pairs.plain(answer).lower())
+    assert pairs.defect(None, answer, pairs.Refusals())[0] == "refusal"
+
+
+@pytest.mark.parametrize(
+    "answer",
+    [
+        "Bạn không nên nghe tư vấn trên mạng mà cần khám trực tiếp.",
+        "Kết quả lần trước của bạn chưa đủ để kết luận.",
+        "Bạn không thể tự ý ngưng thuốc khi chưa tái khám.",
+        "Khi không đỡ, bạn hãy xin tư vấn của bác sĩ.",
+        "You should not wait for advice on the phone.",
+        "This drug does not help with the cough, so stop it and rest.",
+        "Do not stop the drug without the advice of your doctor.",
+    ],
+)
+def test_advice_is_no_refusal(answer):
+    got = pairs.defect(None, answer, pairs.Refusals())
+    assert got is None or got[0] != "refusal"
+
+
 def test_suffix_automaton_by_brute_force():
     rng = random.Random(8)
     for _ in range(200):

@@ -1,7 +1,8 @@
 """Problem 7: broken question and answer pairs, one defect each.
 
 Copies: a suffix automaton of the question's words is traversed with the answer; words inside long matches are covered.
-Refusals: an Aho-Corasick automaton of refusing phrases, where no other advice stands. Truncation: the end of the last
+Refusals: an Aho-Corasick automaton finds the parts a refusal is composed of (a negated ability or will, an act of answering); they
+refuse where they follow each other closely, and the answer is a refusal if nothing but courtesies stands beside them. Truncation: the end of the last
 sentence and a stack of open delimiters. Language: votes of stop words that only one language has.
 """
 
@@ -23,14 +24,38 @@ PLACEHOLDERS = {
     "n/a", "na", "null", "none", "nan", "dang cap nhat", "trong", "chua co", "chua co cau tra loi", "chua tra loi", "khong co", "khong co noi dung",
     "updating", "pending", "tbd", "todo", "no answer", "empty", "blank", "undefined", "nil", "xxx", "test",
 }
-REFUSING = (
-    "chua du thong tin va cung khong tien", "khong tien suy doan", "tu choi giai dap", "tu choi tra loi", "khong noi gi duoc", "cau hoi xin khep lai",
-    "khong thuoc chuyen khoa", "khong dam co y kien", "ngung nhan giai dap", "khong dua ra loi khuyen", "khong the tra loi", "khong giai dap", "khong tu van duoc",
-    "khong duoc phep nhan dinh", "duoc yeu cau khong ban ve", "xin phep dung tai day", "khong ho tro nhan xet", "toi xin nhuong lai", "ngoai pham vi tu van",
-    "xin khong binh luan", "xin phep khong tra loi", "khong the tu van", "unable to answer", "no doctor is available for this topic", "give no advice",
-    "decline to comment", "decline to answer", "may comment on", "are closed for now", "rather not say", "outside what our column covers", "cannot answer",
-    "not able to answer", "can't answer", "ne pouvons pas repondre", "ne peux pas repondre", "refusons de", "hors de notre domaine",
-)
+# Parts of refusals, by language: (first parts, second parts, words that may stand between at most). Any first part refuses with any second.
+REFUSALS = {
+    "vi": (
+        (
+            ("khong", "khong the", "chang the", "chua the", "chua du thong tin", "tu choi", "xin mien", "ngung", "ngung nhan", "tam ngung", "dung nhan", "thoi nhan"),
+            ("tra loi", "giai dap", "tu van", "loi khuyen", "y kien", "gop y", "binh luan", "nhan xet", "nhan dinh", "suy doan", "phong doan", "ban ve", "ban den", "ban luan", "noi gi", "phan tich"),
+            5,
+        ),
+        (("xin", "xin phep", "danh"), ("khep lai", "dung tai day", "dung o day", "dung lai", "nhuong lai", "nhuong loi"), 3),
+        (("ngoai", "vuot", "vuot qua", "khong thuoc", "khong phai"), ("pham vi", "chuyen khoa", "chuyen mon", "linh vuc", "kha nang"), 2),
+    ),
+    "en": (
+        (
+            ("unable", "cannot", "can not", "can t", "could not", "not able", "won t", "will not", "we do not", "we don t", "i do not", "i don t", "not permitted", "not allowed", "not in a position", "decline",
+             "declines", "declined", "refuse", "refuses", "rather not", "no doctor", "no one", "nobody", "give no", "gives no", "offer no", "only your own doctor", "only your doctor"),
+            ("answer", "answers", "reply", "respond", "comment", "advise", "advice", "help", "say", "discuss", "opinion", "opinions", "assist", "speculate", "recommendation", "recommendations", "available"),
+            5,
+        ),
+        (("questions", "question", "topic", "column"), ("closed", "withdrawn"), 8),
+        (("outside", "beyond", "not within"), ("our column", "our field", "our scope", "the scope", "my field", "my scope", "our competence", "my competence", "our remit", "column covers"), 3),
+    ),
+    "fr": (
+        (
+            ("ne pouvons", "ne pouvons pas", "ne peux", "ne peut", "refusons", "refuse", "declinons", "pas en mesure", "ne souhaitons pas", "aucun medecin", "aucun conseil"),
+            ("repondre", "conseil", "conseils", "conseiller", "commenter", "avis", "aider", "disponible", "prononcer", "donner"),
+            5,
+        ),
+        (("hors de", "pas de"), ("notre domaine", "mon domaine", "notre competence", "notre specialite", "notre ressort"), 2),
+    ),
+}
+#: Words between the parts that turn a sentence into advice.
+ADVISING = {"nen", "can", "phai", "hay", "should", "must", "take", "stop", "wait", "devez", "devriez"}
 COURTESY = (
     "chao", "than chao", "thua", "kinh gui", "kinh chao", "ban than men", "cam on", "rat tiec", "xin loi ban", "chuc", "tran trong", "than men", "than ai", "hen gap", "hen ban",
     "ban goi tong dai", "mong ban", "mong anh", "mong chi", "ban vui long hoi", "kind regards", "best wishes", "best regards", "regards", "sincerely", "take care",
@@ -174,7 +199,7 @@ def defect(question: str | None, answer: str | None, refusing) -> tuple[str, flo
             share = Suffixes(asked).covered(own, min(MATCH_WORDS, len(asked))) / len(own)
             if share >= COPIED_SHARE:
                 return "copied_question", round(share, 4)
-    hits = [s for s in parts if next(refusing.iter(s), None)]
+    hits = {s for s in parts if refusing(s)}
     if hits and all(s in hits for s in rest):
         return "refusal", 1.0
     if asked:
@@ -187,14 +212,43 @@ def defect(question: str | None, answer: str | None, refusing) -> tuple[str, flo
     return None
 
 
-def refusing_phrases():
-    import ahocorasick
-
-    automaton = ahocorasick.Automaton()
-    for p in REFUSING:
-        automaton.add_word(p, p)
-    automaton.make_automaton()
-    return automaton
+class Refusals:
+    """Finds refusing sentences by the parts of REFUSALS: one automaton over all parts, run over the words of a sentence."""
+
+    def __init__(self, refusals=REFUSALS):
+        import ahocorasick
+
+        parts: dict[str, list[tuple[int, int]]] = {}
+        self.gaps = []
+        for rules in refusals.values():
+            for firsts, seconds, gap in rules:
+                for role, phrases in enumerate((firsts, seconds)):
+                    for p in phrases:
+                        parts.setdefault(p, []).append((len(self.gaps), role))
+                self.gaps.append(gap)
+        self.automaton = ahocorasick.Automaton()
+        for p, roles in parts.items():
+            self.automaton.add_word(f" {p} ", (p.count(" ") + 1, roles))
+        self.automaton.make_automaton()
+
+    def __call__(self, sentence: str) -> bool:
+        words = _word.findall(sentence)
+        spaced = f" {' '.join(words)} "
+        starts, at = {}, 1
+        for i, w in enumerate(words):
+            at += len(w) + 1
+            starts[at - 1] = i + 1  # place of the blank behind word i
+        ends: dict[int, list[int]] = {}
+        hits = sorted(((starts[end] - n, n, roles) for end, (n, roles) in self.automaton.iter(spaced)), key=lambda h: h[0])
+        for start, n, roles in hits:
+            for rule, role in roles:
+                if role:
+                    for e in ends.get(rule, ()):
+                        if 0 <= start - e <= self.gaps[rule] and not ADVISING.intersection(words[e:start]):
+                            return True
+                else:
+                    ends.setdefault(rule, []).append(start + n)
+        return False
 
 
 def defective(df: DataFrame, key: str, question: str, answer: str) -> DataFrame:
@@ -204,7 +258,7 @@ def defective(df: DataFrame, key: str, question: str, answer: str) -> DataFrame:
     rows of one key the alphabetically first defect holds. Texts are read whole; no other columns are read; only defects are shuffled."""
 
     def work():
-        refusing = refusing_phrases()
+        refusing = Refusals()
 
         def step(columns):
             for k, q, a in zip(*columns):
