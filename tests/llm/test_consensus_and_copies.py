@@ -33,6 +33,43 @@ def test_skills_and_labels(spark):
     assert sum(r.label == truth[r.item] for r in items) >= major
 
 
+def test_unequal_overlaps_are_corrected_by_pair(spark):
+    """Good annotators mostly meet good ones, poor ones poor ones: row sums would mislead, the fit by pairs does not."""
+    rng = random.Random(15)
+    skill = {1: 0.95, 2: 0.9, 3: 0.85, 4: 0.5, 5: 0.45, 6: 0.4, 7: 0.7}
+    groups = [([1, 2, 3], 900), ([4, 5, 6], 900), ([1, 4, 7], 150), ([2, 5, 7], 150), ([3, 6, 7], 150)]
+    votes, i = [], 0
+    for who, n in groups:
+        for _ in range(n):
+            i += 1
+            t = rng.choice(LABELS)
+            votes += [(i, a, t if rng.random() < skill[a] else rng.choice([x for x in LABELS if x != t])) for a in who]
+    df = consensus.prepared(spark.createDataFrame(votes + [(1, 1, "other")], "item long, annotator long, label string"))
+    got = {r.annotator: r for r in consensus.reliabilities(df, LABELS).collect()}
+    assert all(abs(got[a].accuracy - s) < 0.07 for a, s in skill.items()), got
+    assert all(r.residual < consensus.CLOSE and r.rounds < consensus.ROUNDS for r in got.values())
+    # the same fixed point by the pair matrix
+    import numpy as np
+
+    by = {}
+    for i, a, v in votes:
+        by.setdefault(i, {})[a] = v
+    q = {x: sum(v == x for _, _, v in votes) / len(votes) for x in LABELS}
+    c, n = np.zeros((7, 7)), np.zeros((7, 7))
+    for own in by.values():
+        for a, x in own.items():
+            for b, y in own.items():
+                if a != b:
+                    c[a - 1, b - 1] += (x == y) - q[x] - q[y] + sum(p * p for p in q.values())
+                    n[a - 1, b - 1] += 1
+    r = np.ones(7)
+    for _ in range(500):
+        r = (c @ r) / (n @ r**2)
+        r /= np.sqrt((r**2).mean())
+    r *= np.sqrt((r @ c @ r) / (r**2 @ n @ r**2) / (1 - sum(p * p for p in q.values())))
+    assert all(abs(got[a].skill - r[a - 1]) < 0.01 for a in skill)
+
+
 def test_votes_of_one_or_none(spark):
     schema = "item long, annotator long, label string"
     none = consensus.prepared(spark.createDataFrame([], schema))
@@ -85,3 +122,39 @@ def test_a_group_of_copies_and_nothing(spark):
     assert members.select("class_id").distinct().count() == 2 and links.count() == 1 and members.count() == 51
     members, links = neardup.similar_records(df.limit(0), "g", "id", "text")
     assert members.count() == 0 and links.count() == 0
+
+
+def test_hot_shingles_are_split_and_nothing_is_lost(spark, monkeypatch):
+    """With blocks of a few records each, links are those of whole trees; groups join chains of edits."""
+    rng = random.Random(16)
+    base = [f"từ{i}" for i in range(60)]
+    rows = []
+    for i in range(120):
+        words = list(base)
+        for _ in range(rng.randint(0, 8)):
+            words[rng.randrange(len(words))] = f"khác{rng.randint(0, 30)}"
+        rows.append(("g", i, " ".join(words)))
+    rows += [("g", 500 + i, " ".join(f"lẻ{i}x{j}" for j in range(40))) for i in range(5)]
+    df = spark.createDataFrame(rows, "g string, id long, text string")
+    members, links = neardup.similar_records(df, "g", "id", "text", min_words=10, t=0.5)
+    whole = {tuple(r) for r in links.select("a", "b").collect()}
+    grouped = {r.key: r.group_key for r in neardup.groups(members, links).collect()}
+    step = {i: i for i in grouped}
+    near = {tuple(r) for r in neardup.pairs_of(members, links).select("a_key", "b_key").collect()}
+    for _ in grouped:
+        for a, b in near:
+            step[a] = step[b] = min(step[a], step[b])
+    assert grouped == step and len(set(step.values())) >= 6
+    import numpy as np
+
+    tok, own, pos = np.array([7, 9], dtype=np.uint32), np.array([0, 1]), np.array([0, 0])
+    counts = np.zeros(1 << neardup.SKETCH_BITS, dtype=np.int32)
+    counts[0] = 3 * neardup.HOT
+    got = [neardup.blocked(tok[:1], own[:1], pos[:1], np.array([d], dtype=np.int64), counts)[0] for d in range(1, 200)]
+    assert all(len(g) == 3 for g in got) and len({t for g in got for t in g.tolist()}) == 6
+    assert all(set(a.tolist()) & set(b.tolist()) for a in got for b in got)
+    links_again = spark.sparkContext.broadcast(np.full(1 << neardup.SKETCH_BITS, 3 * neardup.HOT, dtype=np.int32))
+    rows = neardup.shingled(df, "g", "id", "text", 10).filter("chunk < 0")
+    parts = neardup.routed(rows, links_again, 4, 0.5).repartitionById(4, neardup.F.col("part"))
+    split = {tuple(r) for r in neardup.verified(neardup.candidates(parts, 0.5), rows, 0.5).select("a", "b").collect()}
+    assert split == whole

@@ -73,6 +73,22 @@ def test_strongest_by_brute_force():
         assert table.query(int(lo), int(hi)) == (best, max(i for i in range(lo, hi + 1) if v[i] == best))
 
 
+def test_tables_stay_small_on_long_texts():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    v = rng.integers(0, 4, 300_000).astype(np.int8)
+    table = splitting.Strongest(v, 501)
+    for at in range(0, 299_000, 777):
+        lo, hi = at, at + int(rng.integers(0, 501))
+        best = v[lo : hi + 1].max()
+        assert table.query(lo, hi) == (best, lo + int(np.flatnonzero(v[lo : hi + 1] == best)[-1]))
+        assert sum(r.nbytes for r in table.rows) < 2_000_000
+    text = "Một câu dài hơn. " * 120_000
+    cut = splitting.pieces(text, 1000, 50)
+    assert cut[-1][1] == len(text) and all(b - a <= 1000 and s == splitting.SENTENCE for a, b, s in cut[:-1])
+
+
 def test_oversized_table(spark):
     rows = [("a", "T", "x " * 30, 1), ("a", "T", "x " * 30, 1), ("b", None, "y" * 60, 1), ("c", "T", None, 1), ("d", "T", "", 1), ("e", "U", "short", 1)]
     df = spark.createDataFrame(rows, "section_id string, canonical_type string, content string, piece int")
@@ -81,4 +97,6 @@ def test_oversized_table(spark):
     assert {(r.key, r.forced) for r in got} == {("a", 0), ("b", 1)}
     assert all(len(r.text) <= (20 if r.key == "a" else 50) for r in got)
     assert len([r for r in got if r.piece == 1]) == 2
+    again = splitting.split_oversized(df, limits, copies=True).collect()
+    assert set(again) == set(got) and len([r for r in again if r.piece == 1]) == 3
     assert splitting.split_oversized(df, limits.limit(0)).count() == 0 and splitting.split_oversized(df.limit(0), limits).count() == 0

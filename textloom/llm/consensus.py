@@ -1,7 +1,10 @@
 """Problem 4: one label per item from annotators who disagree, with reliabilities by the spectral method.
 
-The chance-centred agreement matrix of the annotators, corrected for how often each two met, has a leading eigenvector in proportion
-to their skill. It is found by power iteration in sparse joins: annotators -> items -> annotators, never forming pairs of votes.
+The agreement of annotators i and j beyond chance, over the n_ij items both voted on, is in expectation the product of their skills. The skills
+are therefore the leading eigenvector of the chance-centred agreement matrix corrected for overlap counts. Its power iteration runs in sparse
+joins, annotators -> items -> annotators, never forming pairs of votes: each step solves r_i = sum_j M_ij r_j / sum_j n_ij r_j^2, M being
+the sums of centred agreements. Where all overlaps are equal this is the power iteration of M / n; where they are not, its fixed point is the
+rank-one fit of M / n in which each pair weighs by its overlap, exact for any overlaps if M_ij = n_ij r_i r_j.
 """
 
 from __future__ import annotations
@@ -13,51 +16,61 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from textloom.runtime import cut, materialise, parallelism
 
-ROUNDS, CLOSE = 12, 1e-4  # power iteration: at most so many rounds, or until no skill moves more
+ROUNDS, CLOSE = 100, 1e-3  # steps of the iteration at most, and the sine of the angle between two steps below which it rests
 SKILL = (0.02, 0.98)  # bounds of a skill where it weighs a vote
 
 
 def reliabilities(votes: DataFrame, labels: list[str]) -> DataFrame:
-    """(annotator, n_votes, n_met, skill, accuracy) from votes (item, annotator, label), one row per item and annotator,
+    """(annotator, n_votes, n_met, skill, accuracy, rounds, residual) from votes (item, annotator, label), one row per item and annotator,
     held in partitions of whole items.
 
     skill is 1 for one who is always right, 0 for guessing by chance, below 0 for worse; null for annotators who met no other one.
-    An item has at most one vote per annotator, so no item grows with the rows. Empty votes give no rows.
+    residual is the last step's sine: beyond CLOSE the iteration had not come to rest after ROUNDS. Votes for other labels than
+    those given do not count. An item has at most one vote per annotator, so no item grows with the rows. Empty votes give no rows.
     """
+    votes = votes.filter(F.col("label").isin(labels))
     share = {r.label: r.n for r in votes.groupBy("label").agg(F.count("*").alias("n")).collect()}  # a row per label
     total = sum(share.values())
     if not total:
-        return votes.select("annotator", F.lit(0).alias("n_votes"), F.lit(0).alias("n_met"), F.lit(None).cast("double").alias("skill"), F.lit(None).cast("double").alias("accuracy")).limit(0)
+        none = F.lit(None).cast("double")
+        return votes.select("annotator", F.lit(0).alias("n_votes"), F.lit(0).alias("n_met"), none.alias("skill"), none.alias("accuracy"), F.lit(0).alias("rounds"), none.alias("residual")).limit(0)
     q = {x: share.get(x, 0) / total for x in labels}
     square = sum(v * v for v in q.values())
     ofq = reduce(lambda c, x: c.when(F.col("label") == x, q[x]), labels[1:], F.when(F.col("label") == labels[0], q[labels[0]])).otherwise(0.0)
     item = Window.partitionBy("item")
     met = votes.withColumn("others", F.count("*").over(item) - 1)
     state = materialise(met.groupBy("annotator").agg(F.count("*").alias("n_votes"), F.sum("others").alias("n_met")).withColumn("r", F.lit(1.0)), "skills")
-    scale = 0.0
-    for _ in range(ROUNDS):
+    scale, residual, rounds = 0.0, None, 0
+    for rounds in range(1, ROUNDS + 1):
         v = votes.join(state.select("annotator", "r"), "annotator").select("item", "annotator", "label", "r")
-        v = v.select("annotator", "label", "r", F.sum("r").over(item).alias("all"), *(F.sum(F.when(F.col("label") == x, F.col("r")).otherwise(0.0)).over(item).alias(f"s{i}") for i, x in enumerate(labels)))
+        by_label = (F.sum(F.when(F.col("label") == x, F.col("r")).otherwise(0.0)).over(item).alias(f"s{i}") for i, x in enumerate(labels))
+        v = v.select("annotator", "label", "r", F.sum("r").over(item).alias("all"), F.sum(F.col("r") ** 2).over(item).alias("squares"), *by_label)
         same = reduce(add, (F.when(F.col("label") == x, F.col(f"s{i}")).otherwise(0.0) for i, x in enumerate(labels)))
         mean = reduce(add, (q[x] * F.col(f"s{i}") for i, x in enumerate(labels)))
         # sum over the others of: 1 where equal - q(own) - q(theirs) + sum of q squared
         agreement = same - ofq * F.col("all") - mean + square * F.col("all") - F.col("r") * (1 - 2 * ofq + square)
-        y = v.groupBy("annotator").agg(F.sum(agreement).alias("y"))
-        new = state.join(y, "annotator").withColumn("t", F.when(F.col("n_met") > 0, F.col("y") / F.col("n_met")).otherwise(0.0))
-        new = materialise(new.select("annotator", "n_votes", "n_met", F.col("r").alias("old"), "t"), "skills")
-        sums = new.agg(F.sum(F.col("n_met") * F.col("t") * F.col("old")).alias("ty"), F.sum(F.col("n_met") * F.col("old") ** 2).alias("yy"), F.sum(F.col("n_met") * F.col("t") ** 2).alias("tt"), F.sum(F.col("n_met")).alias("m"), F.sum("n_votes").alias("n")).first()
-        if not sums.m or not sums.tt:
+        sums = v.groupBy("annotator").agg(F.sum(agreement).alias("y"), F.sum(F.col("squares") - F.col("r") ** 2).alias("z"))
+        new = state.join(sums, "annotator").withColumn("t", F.when(F.col("z") > 1e-12, F.col("y") / F.col("z")).otherwise(0.0))
+        new = materialise(new.select("annotator", "n_votes", "n_met", F.col("r").alias("old"), "y", "z", "t"), "skills")
+        w = F.col("n_met")
+        s = new.agg(F.sum(w * F.col("t") * F.col("old")).alias("to"), F.sum(w * F.col("old") ** 2).alias("oo"), F.sum(w * F.col("t") ** 2).alias("tt"), F.sum(w).alias("m"), F.sum(F.col("y") * F.col("old")).alias("yr"), F.sum(F.col("z") * F.col("old") ** 2).alias("zrr")).first()
+        if not s.m or not s.tt:
+            residual = 0.0
             break
-        scale = sums.ty / sums.yy  # the eigenvalue
-        norm = (sums.tt / sums.m) ** 0.5
-        state = new.select("annotator", "n_votes", "n_met", (F.col("t") / norm).alias("r"), F.abs(F.col("t") / norm - F.col("old")).alias("moved"))
-        if (state.agg(F.max("moved")).first()[0] or 0) < CLOSE:
+        scale = s.yr / s.zrr if s.zrr else 0.0  # of old: skill = old * sqrt(scale / (1 - square))
+        residual = max(0.0, 1 - s.to**2 / (s.tt * s.oo)) ** 0.5
+        if residual < CLOSE:
+            state = new.withColumnRenamed("old", "r")
             break
+        state = new.select("annotator", "n_votes", "n_met", (F.col("t") / (s.tt / s.m) ** 0.5).alias("r"))
+    else:
+        state = new.withColumnRenamed("old", "r")
     sign = state.agg(F.sum(F.col("n_met") * F.col("r"))).first()[0] or 0
     unit = (max(scale, 0.0) / max(1 - square, 1e-9)) ** 0.5 * (1 if sign >= 0 else -1)
     skill = F.when(F.col("n_met") > 0, F.least(F.col("r") * unit, F.lit(1.0)))
     chance = 1 / max(len(labels), 2)
-    return state.select("annotator", "n_votes", "n_met", F.round(skill, 6).alias("skill"), F.round(chance + skill * (1 - chance), 6).alias("accuracy"))
+    told = (F.lit(rounds).alias("rounds"), F.lit(residual).cast("double").alias("residual"))
+    return state.select("annotator", "n_votes", "n_met", F.round(skill, 6).alias("skill"), F.round(chance + skill * (1 - chance), 6).alias("accuracy"), *told)
 
 
 def prepared(votes: DataFrame) -> DataFrame:
@@ -70,10 +83,11 @@ def prepared(votes: DataFrame) -> DataFrame:
 def consensus(votes: DataFrame, labels: list[str], settled: DataFrame | None = None, settled_accuracy: float = 0.95) -> tuple[DataFrame, DataFrame]:
     """((item, label, agreement, confidence, n_votes), reliabilities).
 
-    votes as prepared() gives them. label is that of the greatest sum of weights, a vote weighing the log odds of its annotator's
+    votes as prepared() gives them; those for other labels than the given ones do not count. label is that of the greatest sum of weights, a vote weighing the log odds of its annotator's
     accuracy; ties go to the label with more votes overall, then the first by name. agreement is the share of votes for the label,
     confidence its posterior. settled (item, label): decisions that count as one more vote of settled_accuracy, but not in n_votes.
     """
+    votes = votes.filter(F.col("label").isin(labels))
     skills = reliabilities(votes, labels)
     k = max(len(labels), 2)
     held = lambda s: F.greatest(F.lit(SKILL[0]), F.least(F.lit(SKILL[1]), s))

@@ -12,7 +12,7 @@ import unicodedata
 from collections.abc import Callable
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from textloom.llm.arrow import map_batches
 from textloom.llm.forms import form
@@ -44,6 +44,7 @@ SEEDS = {
     ),
 }
 SAMPLE_ROWS = 3000  # rows that the dictionaries are fitted on, at most
+SAMPLE_CHARACTERS = 16_000_000  # of those rows, at most; texts are taken whole
 DICTIONARY_BYTES = 49_152  # of each language, at most
 SECOND_SHARE = 0.25  # of the text, from which a second language makes it mixed
 MIN_MARGIN = 0.03  # bytes saved per byte of text against the next language
@@ -126,16 +127,18 @@ def fit(texts: list[str]) -> dict[str, bytes]:
     return dictionaries
 
 
-def sample(*columns: tuple[DataFrame, str], rows: int = SAMPLE_ROWS) -> list[str]:
-    """At most rows texts, chosen by hash, shared out evenly among the columns. Rows are thinned by hash before they are ordered, so
-    that what reaches the driver does not grow with the partitions."""
+def sample(*columns: tuple[DataFrame, str], rows: int = SAMPLE_ROWS, characters: int = SAMPLE_CHARACTERS) -> list[str]:
+    """At most rows texts of at most so many characters together, chosen by hash, shared out evenly among the columns. Texts are whole; those
+    beyond the bound are left out. Rows are thinned by hash before they are ordered, so that what is ordered does not grow with the
+    partitions; the count that needs is read from the files' footers."""
     out: list[str] = []
     for df, name in columns:
         share = rows // len(columns)
         kept = min(1.0, 4 * share / max(df.count(), 1))
-        picked = df.select(F.substring(F.col(name), 1, 4000).alias("t")).filter("length(trim(t)) > 0").withColumn("h", F.xxhash64("t"))
-        picked = picked.filter(F.pmod("h", F.lit(1 << 31)) <= int(kept * (1 << 31)))
-        out += [r.t for r in picked.orderBy("h", "t").limit(share).collect()]
+        picked = df.select(F.col(name).alias("t")).filter("length(trim(t)) > 0").withColumn("h", F.xxhash64("t"))
+        picked = picked.filter(F.pmod("h", F.lit(1 << 31)) <= int(kept * (1 << 31))).orderBy("h", "t").limit(share)
+        upto = F.sum(F.length("t")).over(Window.orderBy("h", "t").rowsBetween(Window.unboundedPreceding, 0))  # of at most share rows
+        out += [r.t for r in picked.withColumn("upto", upto).filter(F.col("upto") <= characters // len(columns)).collect()]
     return out
 
 

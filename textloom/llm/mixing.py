@@ -1,14 +1,19 @@
 """Problem 9: mixing sources to target weights.
 
 Records get hash-random keys; within each source they are taken in key order up to the source's exact budget of tokens, over as
-many epochs as that needs and may have. Prefix sums are two-level: sums of key ranges first, then inside each range.
+many epochs as that needs and may have. Prefix sums are two-level: sums of key ranges first, then inside the one range of each source
+that its cut falls into.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window, functions as F
 
-RANGES = 1024  # key ranges of a source: a source may hold any share of the rows, a window sees a 1024th of it
+from textloom.runtime import materialise
+
+RANGE_ROWS = 100_000  # records of a key range at most, about: their number grows with the records, from 2^10 up to 2^24
 
 
 def source_name(column: str):
@@ -44,25 +49,28 @@ def mixed(records: DataFrame, targets: DataFrame, key: str, source: str, size: s
     """
     own = records.select(F.col(key).alias("key"), source_name(source).alias("source"), F.col(size).cast("long").alias("n_tokens")).filter("key is not null")
     own = own.groupBy("key").agg(F.max(F.struct("source", "n_tokens")).alias("r")).select("key", "r.source", "r.n_tokens")
-    own = own.filter("source is not null and n_tokens > 0").withColumn("draw", F.xxhash64("key", F.lit(seed)))
-    own = own.withColumn("range", F.shiftrightunsigned("draw", 64 - RANGES.bit_length() + 1).cast("int"))
-    ranges = own.groupBy("source", "range").agg(F.sum("n_tokens").alias("range_size"))  # at most RANGES rows a source
+    own = materialise(own.filter("source is not null and n_tokens > 0"), "mix-records")
+    bits = min(24, max(10, math.ceil(math.log2(max(1, own.count()) / RANGE_ROWS))))
+    own = own.withColumn("draw", F.xxhash64("key", F.lit(seed)))
+    own = own.withColumn("range", F.shiftrightunsigned("draw", 64 - bits).cast("int"))
+    ranges = own.groupBy("source", "range").agg(F.sum("n_tokens").alias("range_size"))  # at most 2^bits rows a source
     before = F.sum("range_size").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
     ranges = ranges.withColumn("before", F.coalesce(before, F.lit(0)))
     plan = budgets(ranges.groupBy("source").agg(F.sum("range_size").alias("size")), targets, total)
     plan = plan.filter("budget > 0 and size > 0").withColumn("epochs", F.expr("budget div size")).withColumn("rest", F.expr("budget % size"))
-    ranges = ranges.join(plan.select("source", "epochs", "rest", "max_repeats"), "source")
-    # ranges wholly inside or outside the cut need no window
-    joined = own.join(ranges, ["source", "range"])
-    inside = Window.partitionBy("source", "range").orderBy(F.shiftrightunsigned("draw", 1), "draw", "key").rowsBetween(Window.unboundedPreceding, 0)
+    where = ranges.join(plan.select("source", "rest"), "source").filter("before <= rest and rest < before + range_size")  # one row a source
+    cuts = materialise(plan.join(where.select("source", F.col("range").alias("cut_range"), "before"), "source").select("source", "epochs", "rest", "max_repeats", "cut_range", "before"), "mix-cuts")
+    joined = own.join(cuts, "source")
+    inside = Window.partitionBy("source").orderBy(F.shiftrightunsigned("draw", 1), "draw", "key").rowsBetween(Window.unboundedPreceding, 0)
     upto = F.col("before") + F.sum("n_tokens").over(inside)
-    once = (upto - F.col("n_tokens") / 2 <= F.col("rest")).cast("long")
-    joined = joined.withColumn("repeats", F.least(F.col("epochs") + once, F.col("max_repeats")).cast("int"))
-    return joined.filter("repeats > 0").select("key", "source", "n_tokens", "repeats")
+    at_cut = joined.filter("range = cut_range").withColumn("once", (upto - F.col("n_tokens") / 2 <= F.col("rest")).cast("long"))
+    whole = joined.filter("range != cut_range").withColumn("once", (F.col("range") < F.col("cut_range")).cast("long"))
+    both = at_cut.unionByName(whole).withColumn("repeats", F.least(F.col("epochs") + F.col("once"), F.col("max_repeats")).cast("int"))
+    return both.filter("repeats > 0").select("key", "source", "n_tokens", "repeats")
 
 
 def shares(records: DataFrame, drawn: DataFrame, targets: DataFrame, source: str, size: str) -> DataFrame:
-    """(source, target_share, size, taken, share, times): what each source of records or targets gives to the mix; null is the
+    """(source, target_share, size, taken, share, off_target, times): what each source of records or targets gives to the mix; null is the
     source of records that name none. records must be without repeated rows."""
     have = records.groupBy(source_name(source).alias("source")).agg(F.sum(F.col(size).cast("long")).alias("size"))
     wanted = targets.select(source_name("source").alias("source"), F.col("target_share").cast("double")).groupBy("source").agg(F.max("target_share").alias("target_share"))
@@ -72,4 +80,5 @@ def shares(records: DataFrame, drawn: DataFrame, targets: DataFrame, source: str
     whole = drawn.agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("whole"))  # one row
     both = both.crossJoin(F.broadcast(whole))
     ratio = lambda a, b: F.when(F.col(b) > 0, F.round(F.col(a) / F.col(b), 6)).otherwise(0.0)
-    return both.select("source", "target_share", "size", "taken", ratio("taken", "whole").alias("share"), ratio("taken", "size").alias("times"))
+    share = ratio("taken", "whole")
+    return both.select("source", "target_share", "size", "taken", share.alias("share"), F.round(share - F.col("target_share"), 6).alias("off_target"), ratio("taken", "size").alias("times"))

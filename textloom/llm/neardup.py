@@ -17,13 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from textloom.llm.forms import form
-from textloom.runtime import materialise, parallelism
+from textloom.runtime import cut, materialise, parallelism
 
 WORDS = 3  # of a shingle
 SKETCH_BITS, CHUNKS = 20, 16  # counters of the sketch: 4 MB, whatever the corpus
 BITS = 512  # of a record's bitmap
 FAN = 8  # children of a tree node
-PART_TOKENS = 4_000_000  # prefix shingles of a part, about
+PART_TOKENS = 2_000_000  # prefix shingles of a part, about
+HOT = 50_000  # records of one tree, about: a shingle of more is cut into blocks of records, one tree for each two blocks
+SEEN = 1_000_000  # digests a task remembers to leave out copies early
 FRONTIER = 1 << 20  # node pairs tested at once
 BROADCAST_ROWS = 1_000_000  # candidates up to which they are sent to all executors
 
@@ -105,14 +107,35 @@ def sketch(rows: DataFrame) -> np.ndarray:
     return np.concatenate([got[i] for i in range(CHUNKS)]) if got else np.zeros(1 << SKETCH_BITS, dtype=np.int32)
 
 
+def blocked(tok: np.ndarray, own: np.ndarray, pos: np.ndarray, digests: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same with each hot shingle replaced by its pairs of blocks that the record's block is in. Another shingle of equal name only
+    makes a tree larger: pairs are checked exactly later."""
+    cut = -(-counts[tok >> np.uint32(32 - SKETCH_BITS)].astype(np.int64) // HOT)
+    if (cut <= 1).all():
+        return tok, own, pos
+    cut = np.maximum(cut, 1)
+    which = np.repeat(np.arange(len(tok)), cut)
+    other = np.arange(len(which)) - np.repeat(np.cumsum(cut) - cut, cut)
+    b = cut[which]
+    mine = ((digests[own[which]].view(np.uint64) * _C >> np.uint64(33)) % b.astype(np.uint64)).astype(np.int64)
+    low, high = np.minimum(mine, other), np.maximum(mine, other)
+    mixed = (tok[which].astype(np.uint64) * _A + (low * b + high).astype(np.uint64) * _B) * _C >> np.uint64(32)
+    return np.where(b > 1, mixed.astype(np.uint32), tok[which]), own[which], pos[which]
+
+
 def routed(rows: DataFrame, counts, parts: int, t: float) -> DataFrame:
-    """(part, digest, n, bits, toks, pos): for each part, a record's prefix shingles in it with their rank among its own."""
+    """(part, digest, n, bits, toks, pos): for each part, a record's prefix shingles in it with their rank among its own.
+
+    A hot shingle stands for its pairs of blocks: a record goes to the trees of its own block with each other one, so that any two records
+    meet in one and no task gets all records of a shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = counts.value
         seen: set[int] = set()
         for batch in batches:
             digests, raws = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            if len(seen) > SEEN:
+                seen.clear()
             new = [i for i, d in enumerate(digests) if not (d in seen or seen.add(d))]
             for at in range(0, len(new), 2048):
                 some = new[at : at + 2048]
@@ -129,6 +152,7 @@ def routed(rows: DataFrame, counts, parts: int, t: float) -> DataFrame:
                 tok, own, pos = tok[order][keep], own[keep], pos[keep]
                 if not len(tok):
                     continue
+                tok, own, pos = blocked(tok, own, pos, np.array([digests[i] for i in some], dtype=np.int64), df)
                 part = (tok.astype(np.uint64) * _B >> np.uint64(40)).astype(np.int64) % parts
                 order = np.lexsort((pos, part, own))
                 tok, own, pos, part = tok[order], own[order], pos[order], part[order]
@@ -237,14 +261,10 @@ def candidates(parts: DataFrame, t: float) -> DataFrame:
         if not len(tok):
             return
         trees = SignatureTrees(tok, n[row], pos, row, bits, t)
-        seen = np.empty(0, dtype=np.int64)
         for x, y in trees.pairs():
-            a, b = np.minimum(row[x], row[y]), np.maximum(row[x], row[y])
-            seen = np.union1d(seen, a * len(digest) + b)
-        a, b = digest[seen // len(digest)], digest[seen % len(digest)]
-        for at in range(0, len(a), 100_000):
-            p, q = a[at : at + 100_000], b[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
+            both = np.unique(np.minimum(row[x], row[y]) * len(digest) + np.maximum(row[x], row[y]))
+            a, b = digest[both // len(digest)], digest[both % len(digest)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return parts.mapInArrow(run, "a long, b long").distinct()
 
@@ -284,7 +304,8 @@ def similar_records(df: DataFrame, group: str, key: str, text: str, min_words: i
     rows = materialise(shingled(df, group, key, text, min_words), "shingles")
     counts = sketch(rows)
     records = rows.filter("chunk < 0")
-    parts = max(parallelism(spark), math.ceil(int(counts.sum(dtype=np.int64)) * (1 - t) / PART_TOKENS))
+    copied = counts.astype(np.int64) * -(-counts.astype(np.int64) // HOT)  # a hot shingle's records go to as many trees as it has blocks
+    parts = max(parallelism(spark), math.ceil(int(copied.sum()) * (1 - t) / PART_TOKENS))
     pairs = candidates(routed(records, spark.sparkContext.broadcast(counts), parts, t).repartitionById(parts, F.col("part")), t)
     pairs = materialise(pairs, "candidates")
     links = verified(pairs, records, t)
@@ -292,6 +313,27 @@ def similar_records(df: DataFrame, group: str, key: str, text: str, min_words: i
     return members, links
 
 
+def groups(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(grp, key, class_id, group_key): members with the least key of their group, a group being the classes that links join, over any
+    number of steps. Least classes flow along the links, each round also over the class reached so far, until none changes; only classes with links take part."""
+    spark = members.sparkSession
+    lanes = parallelism(spark)
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    edges = cut(both.repartition(lanes, "a"))
+    state = cut(edges.groupBy("a").agg(F.least("a", F.min("b")).alias("to")))
+    while True:
+        near = edges.join(state.select(F.col("a").alias("b"), F.col("to").alias("theirs")), "b").groupBy("a").agg(F.min("theirs").alias("theirs"))
+        step = state.join(near, "a").select("a", F.col("to").alias("old"), F.least("to", "theirs").alias("to"))
+        jump = state.select(F.col("a").alias("to"), F.col("to").alias("further"))
+        new = cut(step.join(jump, "to", "left").select("a", "old", F.least("to", F.coalesce("further", "to")).alias("to")).repartition(lanes, "a"))
+        if new.filter("old != to").isEmpty():
+            break
+        state = new.select("a", "to")
+    own = members.join(state.select(F.col("a").alias("class_id"), "to"), "class_id", "left").withColumn("to", F.coalesce("to", "class_id"))
+    least = own.groupBy("grp", "to").agg(F.min("key").alias("group_key"))
+    return own.join(least, ["grp", "to"]).select("grp", "key", "class_id", "group_key")
+
+
 def pairs_of(members: DataFrame, links: DataFrame) -> DataFrame:
     """(grp, a_key, b_key), a_key < b_key: all pairs of similar records, copies multiplied out."""
     own = members.select("grp", F.col("key").alias("a_key"), F.col("class_id").alias("a"))

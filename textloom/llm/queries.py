@@ -44,7 +44,7 @@ def _languages(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     wholes = language.of_documents(lines, places, audited.unionByName(sections.select("doc_id")))
     both = F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("text")) for c in ("abstract_vi", "abstract_en"))))
     values = articles.select("doc_id", both.alias("v")).select(F.struct("doc_id", "v.field").alias("at"), "v.text")
-    values = values.filter(F.length(F.regexp_replace("text", r"[\\s\\p{Z}\\p{Cf}]+", "")) > 0)
+    values = values.filter(F.length(F.regexp_replace("text", r"[\s\p{Z}\p{Cf}]+", "")) > 0)
     parts = language.stretches(values, dictionaries, "at", "text").select("key.doc_id", "key.field", "seg", "lang", "confidence")
     return wholes, parts
 
@@ -66,7 +66,7 @@ def p1_languages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    cut = splitting.split_oversized(table(spark, folder, "article_section"), table(spark, folder, "section_limits"))
+    cut = splitting.split_oversized(table(spark, folder, "article_section"), table(spark, folder, "section_limits"), copies=True)
     return cut.filter("piece = 1").select(F.col("key").alias("section_id"), "forced").distinct()
 
 
@@ -140,9 +140,11 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per record: class_id is the least id of its group of similar records, links the number of other texts it is similar to."""
     members, links = _similar(spark, folder)
     counts = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("links"))
-    return members.join(counts, "class_id", "left").na.fill(0, ["links"]).select(F.col("grp").alias("field"), F.col("key").alias("id"), "class_id", "links")
+    grouped = neardup.groups(members, links).join(counts, "class_id", "left").na.fill(0, ["links"])
+    return grouped.select(F.col("grp").alias("field"), F.col("key").alias("id"), F.col("group_key").alias("class_id"), "links")
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:

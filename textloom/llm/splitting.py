@@ -33,23 +33,34 @@ def strengths(text: str) -> np.ndarray:
 
 
 class Strongest:
-    """Sparse table over strengths: the rightmost strongest position of any window in constant time."""
-
-    def __init__(self, values: np.ndarray):
-        n = len(values)
-        self.rows = [values.astype(np.int64) * n + np.arange(n)]  # the greater position wins ties
-        width = 1
-        while 2 * width <= n:
+    """The rightmost strongest position of any window of at most span positions, in constant time.
+
+    A sparse table over a stretch of the strengths, moved along as windows ask for what lies beyond it: memory depends on the span, not on
+    the length of the text, and each position is in at most two tables."""
+
+    def __init__(self, values: np.ndarray, span: int | None = None):
+        self.values, self.span, self.at, self.end = values, span or len(values), 0, 0
+        self.stretch = max(2 * self.span, 1 << 14)
+
+    def _move(self, lo: int) -> None:
+        self.at, self.end = lo, min(lo + self.stretch, len(self.values))
+        part = self.values[self.at : self.end]
+        n = self.width = len(part)
+        kind = np.int32 if (int(part.max(initial=0)) + 1) * n < 1 << 31 else np.int64
+        self.rows, width = [part.astype(kind) * n + np.arange(n, dtype=kind)], 1  # the greater position wins ties
+        while 2 * width <= min(n, self.span):
             last = self.rows[-1]
             self.rows.append(np.maximum(last[:-width], last[width:]))
             width *= 2
-        self.n = n
 
     def query(self, lo: int, hi: int) -> tuple[int, int]:
-        """(strength, position) within [lo, hi]."""
+        """(strength, position) within [lo, hi], hi - lo < span."""
+        if lo < self.at or hi >= self.end:
+            self._move(lo)
         k = (hi - lo + 1).bit_length() - 1
-        best = int(max(self.rows[k][lo], self.rows[k][hi - (1 << k) + 1]))
-        return divmod(best, self.n)
+        row = self.rows[k]
+        strength, place = divmod(int(max(row[lo - self.at], row[hi - self.at - (1 << k) + 1])), self.width)
+        return strength, place + self.at
 
 
 def pieces(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]]:
@@ -60,7 +71,7 @@ def pieces(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]]:
     if len(text) <= limit:
         return [(0, len(text), PARAGRAPH)] if text else []
     overlap = max(0, min(overlap, limit - 1))
-    table = Strongest(strengths(text))
+    table = Strongest(strengths(text), limit + 1)
     out, start, last = [], 0, 0
     while True:
         if len(text) - start <= limit:
@@ -76,7 +87,7 @@ def pieces(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]]:
         last, start = end, max(end - overlap, 0)
 
 
-def split_oversized(df: DataFrame, limits: DataFrame, key: str = "section_id", text: str = "content", kind: str = "canonical_type") -> DataFrame:
+def split_oversized(df: DataFrame, limits: DataFrame, key: str = "section_id", text: str = "content", kind: str = "canonical_type", copies: bool = False) -> DataFrame:
     """(key, piece, start_pos, end_pos, boundary, text, forced): the pieces of every text longer than the limit of its kind.
 
     limits: (canonical_type, max_chars, overlap_chars), the kind `*` holding for kinds not listed and for null; with no
@@ -102,6 +113,8 @@ def split_oversized(df: DataFrame, limits: DataFrame, key: str = "section_id", t
 
     shortest = min((v[0] for v in held.values()), default=0)
     source = df.select(F.col(key).alias("key"), F.col(kind).alias("kind"), F.col(text).alias("text"))
-    source = source.filter(F.length("text") > shortest).dropDuplicates(["key", "kind", "text"])
+    source = source.filter(F.length("text") > shortest)
+    if not copies:
+        source = source.dropDuplicates(["key", "kind", "text"])
     schema = f"key {df.schema[key].dataType.simpleString()}, piece int, start_pos int, end_pos int, boundary int, text string, forced int"
     return map_batches(source, work, schema)
