@@ -45,6 +45,8 @@ def test_the_skeleton_decides(spark, monkeypatch):
     df = spark.createDataFrame([("a", "Вạn"), ("b", "Bạn")], "k string, t string")
     assert [r.key for r in forms.differing(df, "k", "t").collect()] == ["a"]
     assert forms.skeleton("𝐁ạn") == forms.skeleton("Вạn") == forms.skeleton("Ᏼạn")
+    for text in ("Bạn khám, µg cm² “x” 5 ℃ №", "", "Вạn", "e\u0301", "ﬁ ½ ͅ"):
+        assert forms.representative(text) == forms.unicodedata.normalize("NFC", forms.skeleton(text))
     step = forms.skeleton
     monkeypatch.setattr(forms, "skeleton", lambda t: forms.unicodedata.normalize("NFD", t))
     assert forms.form("Вạn") == "Вạn" and step("Вạn") != forms.skeleton("Вạn")

@@ -50,8 +50,9 @@ BLANKS = r"\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000\x0b\x0c\x85\u2028\u2029"
 FULLWIDTH = r"\uff01-\uff5e\uffe0-\uffe6"
 _MARKS = r"\u0300-\u036f"
 _suspects = "".join(LOOKALIKES)
-#: Nothing outside these classes and uncomposed accents can make a text differ from its form.
-ODD = re.compile(f"[{INVISIBLE}{BLANKS}{FULLWIDTH}{_suspects}{''.join(DRESSED)}]")
+#: Nothing outside these classes and uncomposed accents can make a text differ from its form. Dressed letters are looked for by their blocks:
+#: a class of many single characters beyond the basic plane is searched one by one.
+ODD = re.compile(f"[{INVISIBLE}{BLANKS}{FULLWIDTH}{_suspects}\u2100-\u217f\u24b6-\u24e9\U0001d400-\U0001d7ff]")
 _invisible, _blank, _wide = re.compile(f"[{INVISIBLE}]"), re.compile(f"[{BLANKS}]"), re.compile(f"[{FULLWIDTH}]")
 _word = re.compile(f"[^\\W_][^\\W_{_MARKS}]*(?:[{_MARKS}]+[^\\W_]*)*")
 _suspect = re.compile(f"[{_suspects}]")
@@ -68,6 +69,13 @@ def skeleton(text: str) -> str:
     return unicodedata.normalize("NFD", text.translate(_PROTOTYPES))
 
 
+def representative(text: str) -> str:
+    """The composed skeleton. A composed text without characters of another prototype is its own, as its skeleton is only its decomposition."""
+    if unicodedata.is_normalized("NFC", text) and not ODD.search(text):
+        return text
+    return unicodedata.normalize("NFC", skeleton(text))
+
+
 def _own_word(word: str) -> bool:
     """Whether a word (decomposed) stands for itself: it has no look-alikes, it is a Greek letter on its own, or it is of another script.
     Words of look-alikes only are not of another script, unless some look like Latin letters only among such."""
@@ -83,7 +91,7 @@ def _own_word(word: str) -> bool:
 def form(text: str) -> str:
     """The one form of a text. Null is the caller's; an empty text is its own form."""
     if unicodedata.is_normalized("NFC", text) and not ODD.search(text):
-        return text  # its skeleton is only its decomposition
+        return text
     joints = {m.start() for m in _emoji_joint.finditer(text)}
     if joints:
         text = "".join(c for i, c in enumerate(text) if i in joints or not _invisible.match(c))
@@ -146,7 +154,7 @@ def differing(df: DataFrame, key: str, text: str) -> DataFrame:
     def work():
         def step(columns):
             for k, t in zip(*columns):
-                if t and unicodedata.normalize("NFC", skeleton(t)) != t and form(t) != t:
+                if t and representative(t) != t and form(t) != t:
                     yield (k,)
 
         return step
