@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from textloom.operators.spans import row_function
+
 
 def tagged(tokens: DataFrame, spans: DataFrame, key: list[str], outside: str = "O") -> DataFrame:
     """tokens (key..., pos, word, start, end) with tag: B- where a span begins, I- inside, else outside (O, or IGN where only some labels were
@@ -36,17 +40,26 @@ def to_spans(rows: DataFrame, key: list[str]) -> DataFrame:
     return spans.drop("__island")
 
 
-def detokenised(words: Column) -> Column:
-    """struct(text, spans array<struct<start, end>>): words joined, signs that close on their left and open on their right without a space."""
-    zero = F.struct(F.lit("").alias("text"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
+@lru_cache(maxsize=None)
+def _detokenised():
+    def join(words: list[str]) -> dict:
+        out, spans, at, last = [], [], 0, "("
+        for w in words:
+            if not (last[-1:] in "([{“" or w[:1] in ",.;:!?%)]}…”"):
+                out.append(" ")
+                at += 1
+            out.append(w)
+            spans.append({"start": at, "end": at + len(w)})
+            at += len(w)
+            last = w or last
+        return {"text": "".join(out), "spans": spans}
 
-    def step(acc: Column, w: Column) -> Column:
-        tight = (F.length(acc["text"]) == 0) | w.rlike(r"^[,.;:!?%)\]}…”]") | acc["text"].rlike(r"[(\[{“]$")
-        start = F.length(acc["text"]) + F.when(tight, 0).otherwise(1)
-        text = F.concat(acc["text"], F.when(tight, "").otherwise(" "), w)
-        return F.struct(text.alias("text"), F.array_append(acc["spans"], F.struct(start.cast("int").alias("start"), (start + F.length(w)).cast("int").alias("end"))).alias("spans"))
+    return row_function("struct<text:string,spans:array<struct<start:int,end:int>>>", join)
 
-    return F.aggregate(words, zero, step)
+
+def detokenised(words: Column) -> Column:
+    """struct(text, spans array<struct<start, end>>): words joined, signs that close on their left and open on their right without a space."""
+    return _detokenised()(words)
 
 
 def conll(words: Column, tags: Column) -> Column:

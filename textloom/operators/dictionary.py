@@ -11,6 +11,8 @@ from textloom.runtime import materialise
 # Match ranks (smaller is surer) and priorities of sources (greater wins).
 RANK = {"exact": 0, "abbreviation": 1, "alias": 2, "clinical_form": 2, "accentless": 3}
 PRIORITY = {"custom": 3, "traditional": 2, "icd": 1}
+FIRST_WORDS = 200_000  # distinct first words of terms that are sent to all tasks, at most
+SUFFIX = 8  # signs at the end of a term's surface, at most
 
 
 def by_chapter(code: Column) -> Column:
@@ -51,30 +53,55 @@ def with_longest(texts: DataFrame, terms: DataFrame) -> DataFrame:
     return texts.crossJoin(F.broadcast(terms.agg(F.coalesce(F.max("n"), F.lit(1)).alias("most"))))
 
 
-def candidates(texts: DataFrame, key: str, text: str, entries: DataFrame) -> DataFrame:
-    """(key, start, end, text, term, code, category, matched_by, rank) of dictionary terms in texts.
+def _runs(firsts, most: int):
+    """Column function text -> array<struct<first, start, run array<struct<word, end>>, seen>>: at each word that begins a term, the words from it on,
+    as many as the longest term has, folded for comparison, with their ends in the untouched text, and that text itself."""
 
-    Words are met by the first word of a term, then compared whole, so that runs that begin no term are never formed. A run that is itself
-    without accents also meets the accentless index. The dictionary's first words join the text's words; it is
-    written first, so that the optimizer knows its size and broadcasts a small one instead of shuffling words with their runs. A run is as long as the dictionary's longest term, so that no term is left out.
-    """
-    toks = texts.select(F.col(key).alias("key"), F.col(text).alias("__text"), S.tokens(F.lower(F.col(text)), "words").alias("w"))
+    def find(text: str) -> list[dict]:
+        import unicodedata
+
+        import regex
+
+        found = [(m.start(), m.end(), unicodedata.normalize("NFC", m[0]).lower().replace("ß", "ss")) for m in regex.finditer(S.TOKENS["words"], text)]
+        known, out = firsts.value if firsts is not None else None, []
+        for i, (start, _, word) in enumerate(found):
+            if known is None or word in known:
+                run = found[i : i + most]
+                out.append({"first": word, "start": start, "run": [{"word": w, "end": e} for _, e, w in run], "seen": text[start : run[-1][1] + SUFFIX]})
+        return out
 
-    def window(t: Column, i: Column) -> Column:
-        run = F.slice("w", i + 1, F.col("most"))
-        return F.struct(t["word"].alias("first"), t["start"].alias("start"), run.alias("run"), F.substring("__text", t["start"] + 1, F.element_at(run, -1)["end"] - t["start"]).alias("seen"))
+    return S.row_function("array<struct<first:string,start:int,run:array<struct<word:string,end:int>>,seen:string>>", find)
 
-    exact = entries.select(F.col("key").alias("term"), "code", "category", F.when(F.col("alias_type") == "canonical", "exact").otherwise(F.col("alias_type")).alias("matched_by") if "alias_type" in entries.columns else F.lit("exact").alias("matched_by"))
-    plain = accentless_index(entries).select(F.col("plain").alias("term"), "code", "category", F.lit("accentless").alias("matched_by"))
+
+def candidates(texts: DataFrame, key: str, text: str, entries: DataFrame) -> DataFrame:
+    """(key, start, end, text, term, code, category, matched_by, rank) of dictionary terms in texts. Offsets are those of the untouched text.
+
+    entries: (key, code, category[, alias_type, surface, case_sensitive]). Words are met by the first word of a term, then compared whole, so that runs
+    that begin no term are never formed; up to FIRST_WORDS first words are known to the tasks that cut the texts, beyond that all words go to
+    the join. A run that is itself without accents also meets the accentless index. A run is as long as the dictionary's longest term, so that no
+    term is left out. Signs that end the term's surface belong to the match where they stand behind it; a case-sensitive term is met only in capitals.
+    """
+    has = lambda c, other: F.col(c) if c in entries.columns else other
+    suffix = F.regexp_extract(has("surface", F.lit("")), r"([^\p{L}\p{N}\p{M}\s]{1,%d})\s*$" % SUFFIX, 1)
+    kind = F.when(F.col("alias_type") == "canonical", "exact").otherwise(F.col("alias_type")) if "alias_type" in entries.columns else F.lit("exact")
+    exact = entries.select(F.col("key").alias("term"), "code", "category", kind.alias("matched_by"), suffix.alias("suffix"), F.coalesce(has("case_sensitive", F.lit(False)), F.lit(False)).alias("cased"))
+    own = exact.select(F.col("term").alias("key"), "suffix", "cased")
+    plain = accentless_index(entries).join(own, "key").select(F.col("plain").alias("term"), "code", "category", F.lit("accentless").alias("matched_by"), "suffix", "cased")
     every = exact.unionByName(plain).withColumn("n", F.size(F.split("term", " "))).withColumn("first", F.substring_index("term", " ", 1))
     every = materialise(every, "terms")
-    words = with_longest(toks, every).select("key", F.explode(F.transform("w", window)).alias("t")).select("key", "t.*")
+    firsts = [r.first for r in every.select(F.col("first")).distinct().limit(FIRST_WORDS + 1).collect()]
+    known = every.sparkSession.sparkContext.broadcast(frozenset(firsts)) if len(firsts) <= FIRST_WORDS else None
+    most = every.agg(F.coalesce(F.max("n"), F.lit(1))).first()[0]
+    words = texts.select(F.col(key).alias("key"), F.explode(_runs(known, most)(F.col(text))).alias("t")).select("key", "t.*")
     met = words.join(every, "first")
     run = F.slice("run", F.lit(1), F.col("n"))
     met = met.filter(F.array_join(F.transform(run, lambda x: x["word"]), " ") == F.col("term"))
-    start, end = F.col("start"), F.element_at(run, -1)["end"]
+    bare = F.element_at(run, -1)["end"]
+    behind = F.substring("seen", bare - F.col("start") + 1, F.length("suffix"))
+    met = met.withColumn("end", (bare + F.when(behind == F.col("suffix"), F.length("suffix")).otherwise(0)).cast("int")).withColumn("text", F.substring("seen", F.lit(1), F.col("end") - F.col("start")))
+    met = met.filter(~F.col("cased") | T.all_capitals("text"))
     rank = F.element_at(F.create_map(*(x for k, v in RANK.items() for x in (F.lit(k), F.lit(v)))), F.col("matched_by"))
-    return met.select("key", start.alias("start"), end.alias("end"), F.substring("seen", F.lit(1), end - start).alias("text"), "term", "code", "category", "matched_by", F.coalesce(rank, F.lit(9)).alias("rank"))
+    return met.select("key", "start", "end", "text", "term", "code", "category", "matched_by", F.coalesce(rank, F.lit(9)).alias("rank"))
 
 
 def longest_matches(found: DataFrame) -> DataFrame:

@@ -1,85 +1,143 @@
 """Spans of text: tokens, occurrences, overlap joins, overlap resolution, matching.
 
-Offsets are code points from 0, half open, on the untouched text. Sets of spans are arrays of structs in one row per document,
-folded inside the JVM; joins between spans are equi-joins on the document with a range condition.
+Offsets are code points from 0, half open, on the untouched text. What walks a text or a document's spans once, in order, is an Arrow
+function over batches (the JVM's folds copy their array at each step); sorting and joins are the JVM's; joins between spans are equi-joins on the
+document with a range condition.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 # Token patterns. words: letters and digits with marks; hyphen: also hyphenated, and signs; slash: also with slashes; plain: words or single signs.
 TOKENS = {
     "words": r"[\p{L}\p{N}\p{M}]+",
-    "hyphen": r"[\p{L}\p{N}\p{M}_]+(?:[-+][\p{L}\p{N}\p{M}_]+)*|[^\p{L}\p{N}\p{M}_\s]",
-    "slash": r"[\p{L}\p{N}\p{M}_]+(?:[-/][\p{L}\p{N}\p{M}_]+)*|[^\p{L}\p{N}\p{M}_\s]",
-    "plain": r"[\p{L}\p{N}\p{M}_]+|[^\p{L}\p{N}\p{M}_\s]",
+    "hyphen": r"[\p{L}\p{N}\p{M}_]+(?:[-+][\p{L}\p{N}\p{M}_]+)*|[^\p{L}\p{N}\p{M}_ \t\n\x0b\f\r]",
+    "slash": r"[\p{L}\p{N}\p{M}_]+(?:[-/][\p{L}\p{N}\p{M}_]+)*|[^\p{L}\p{N}\p{M}_ \t\n\x0b\f\r]",
+    "plain": r"[\p{L}\p{N}\p{M}_]+|[^\p{L}\p{N}\p{M}_ \t\n\x0b\f\r]",
 }
+_PLACED = "array<struct<word:string,start:int,end:int>>"
+
+
+def row_function(kind: str, work: Callable):
+    """A Column function from work(*values of a row) to a value of the type kind, run over Arrow batches; null where the first value is null."""
+    arrow = to_arrow_type(_parse_datatype_string(kind))
+
+    @F.arrow_udf(kind)
+    def run(*columns: pa.Array) -> pa.Array:
+        return pa.array([None if v[0] is None else work(*v) for v in zip(*(c.to_pylist() for c in columns))], arrow)
+
+    return run
+
+
+@lru_cache(maxsize=None)
+def _tokens(kind: str):
+    def cut(text: str) -> list[dict]:
+        import regex
+
+        return [{"word": m[0], "start": m.start(), "end": m.end()} for m in regex.finditer(TOKENS[kind], text)]
+
+    return row_function(_PLACED, cut)
 
 
 def tokens(text: Column, kind: str = "plain") -> Column:
-    """array<struct<word, start, end>>: the text is cut into tokens and gaps, whose lengths are summed in one fold."""
-    gap, begins = (r"[^\p{L}\p{N}\p{M}]+", r"^[\p{L}\p{N}\p{M}]") if kind == "words" else (r"\s+", r"^\S")
-    parts = F.regexp_extract_all(text, F.lit(f"(?:{TOKENS[kind]})|{gap}"), F.lit(0))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<word:string,start:int,end:int>>").alias("out"))
+    """array<struct<word, start, end>>, in order."""
+    return _tokens(kind)(text)
+
+
+@lru_cache(maxsize=None)
+def _laid_out():
+    def lay(parts: list[str]) -> list[dict]:
+        out, at = [], 0
+        for p in parts:
+            out.append({"word": p, "start": at, "end": at + len(p)})
+            at += len(p)
+        return out
+
+    return row_function(_PLACED, lay)
+
+
+def laid_out(parts: Column) -> Column:
+    """array<struct<word, start, end>> of strings that make up a text without gaps."""
+    return _laid_out()(parts)
 
-    def step(acc: Column, w: Column) -> Column:
-        end = (acc["at"] + F.length(w)).cast("int")
-        token = F.struct(w.alias("word"), acc["at"].alias("start"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(w.rlike(begins), F.array_append(acc["out"], token)).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(parts, zero, step, lambda acc: acc["out"])
+@lru_cache(maxsize=None)
+def _occurrences(mode: str):
+    def find(text: str, term: str | None) -> list[int]:
+        import regex
 
+        if not term:
+            return []
+        pattern = regex.escape(term)
+        if mode == "tokens":
+            pattern = rf"(?<![\p{{L}}\p{{N}}\p{{M}}]){pattern}(?![\p{{L}}\p{{N}}\p{{M}}])"
+        return [m.start() for m in regex.finditer(pattern, text, regex.IGNORECASE, overlapped=mode == "overlapping")]
 
-def occurrences(text: Column, term: Column) -> Column:
-    """array<int>: starts of a term in a text, not overlapping, left to right, blind to case."""
-    parts = F.split(F.lower(text), F.concat(F.lit("\\Q"), F.lower(term), F.lit("\\E")), -1)
-    lengths = F.transform(F.slice(parts, 1, F.size(parts) - 1), F.length)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    return row_function("array<int>", find)
 
-    def step(acc: Column, n: Column) -> Column:
-        start = acc["at"] + n
-        return F.struct((start + F.length(term)).alias("at"), F.array_append(acc["out"], start).alias("out"))
 
-    return F.when(F.length(term) > 0, F.aggregate(lengths, zero, step, lambda acc: acc["out"])).otherwise(F.array().cast("array<int>"))
+def occurrences(text: Column, term: Column, mode: str = "free") -> Column:
+    """array<int>: starts of a term in a text, left to right, blind to case. free: not overlapping; overlapping: all; tokens: not overlapping
+    and with no letter, digit or mark next to it."""
+    return _occurrences(mode)(text, term)
+
+
+@lru_cache(maxsize=None)
+def _realigned():
+    def align(text: str, marks: list[dict] | None) -> list[dict]:
+        out, after = [], {}
+        for m in marks or []:
+            t, start = m["text"], m["start"]
+            if not t:
+                start = None
+            elif start is None or start < 0 or text[start : start + len(t)] != t:
+                start = text.find(t, after.get(t, 0))
+                start = None if start < 0 else start
+            end = None if start is None else start + len(t)
+            if end is not None:
+                after[t] = max(after.get(t, 0), end)
+            out.append({"text": t, "start": start, "end": end})
+        return out
+
+    return row_function("array<struct<text:string,start:int,end:int>>", align)
 
 
 def realigned(text: Column, marks: Column) -> Column:
-    """array<struct<text, start, end, used>> of array<struct<text, start>> in order: a mark keeps its start if its text stands there; else it
-    takes the next place of its text that no mark before it of the same text took; where there is none it has null and the cursor stays.
-    A fold over the marks of one document."""
-    kind = "array<struct<text:string,start:int,end:int>>"
+    """array<struct<text, start, end>> of array<struct<text, start>> in order: a mark keeps its start if its text stands there; else it
+    takes the next place of its text behind all marks before it of the same text; where there is none it has null and the cursor stays."""
+    return _realigned()(text, marks)
 
-    def step(acc: Column, m: Column) -> Column:
-        n = F.length(m["text"])
-        shown = F.coalesce((m["start"] >= 0) & (F.substring(text, m["start"] + 1, n) == m["text"]), F.lit(False))
-        after = F.coalesce(F.array_max(F.transform(F.filter(acc, lambda k: (k["text"] == m["text"]) & k["end"].isNotNull()), lambda k: k["end"])), F.lit(0))
-        next_ = F.call_function("locate", m["text"], text, after + 1) - 1
-        start = F.when(n == 0, F.lit(None).cast("int")).when(shown, m["start"]).when(next_ >= 0, next_)
-        return F.array_append(acc, F.struct(m["text"].alias("text"), start.cast("int").alias("start"), (start + n).cast("int").alias("end")))
 
-    return F.aggregate(marks, F.array().cast(kind), step)
+@lru_cache(maxsize=None)
+def _whole_chunks(budget: int):
+    def cut(sizes: list[int], joined: list[bool]) -> list[int]:
+        runs = list(sizes)  # units from a token to the end of its entity
+        for i in range(len(sizes) - 2, -1, -1):
+            if joined[i + 1]:
+                runs[i] += runs[i + 1]
+        out, chunk, used = [], 0, 0
+        for size, run, inside in zip(sizes, runs, joined):
+            if used + size > budget if inside else used > 0 and used + run > budget:
+                chunk, used = chunk + 1, 0
+            used += size
+            out.append(chunk)
+        return out
+
+    return row_function("array<int>", cut)
 
 
 def whole_chunks(sizes: Column, joined: Column, budget: int) -> Column:
     """array<int>: the chunk of each token, of at most budget units, where a token that is joined to the one before (inside an entity)
     never begins a chunk, unless the entity alone is over the budget. sizes: units of each token; joined: booleans."""
-    n = F.size(sizes)
-    zero = F.struct(F.lit(0).alias("chunk"), F.lit(0).alias("used"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc: Column, i: Column) -> Column:
-        # units up to the end of the entity that begins here
-        run = F.aggregate(F.slice(sizes, i, n), F.struct(F.lit(0).alias("k"), F.lit(0).alias("sum"), F.lit(True).alias("go")), lambda a, s: F.when(a["go"] & ((a["k"] == 0) | F.coalesce(F.get(joined, i - 1 + a["k"]), F.lit(False))), F.struct((a["k"] + 1).alias("k"), (a["sum"] + s).alias("sum"), F.lit(True).alias("go"))).otherwise(F.struct(a["k"].alias("k"), a["sum"].alias("sum"), F.lit(False).alias("go"))), lambda a: a["sum"])
-        own = F.get(sizes, i - 1)
-        inside = F.coalesce(F.get(joined, i - 1), F.lit(False))
-        full = F.when(inside, acc["used"] + own > budget).otherwise((acc["used"] > 0) & (acc["used"] + run > budget))
-        chunk = acc["chunk"] + F.when(full, 1).otherwise(0)
-        return F.struct(chunk.cast("int").alias("chunk"), F.when(full, own).otherwise(acc["used"] + own).cast("int").alias("used"), F.array_append(acc["out"], chunk.cast("int")).alias("out"))
-
-    return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), n), zero, step, lambda a: a["out"])).otherwise(F.array().cast("array<int>"))
+    return _whole_chunks(budget)(sizes, joined)
 
 
 def overlaps(a: Column, b: Column) -> Column:
@@ -104,11 +162,29 @@ POLICIES = {
 }
 
 
+@lru_cache(maxsize=None)
+def _free():
+    def choose(starts: list[int], ends: list[int]) -> list[bool]:
+        taken_s, taken_e, out = [], [], []
+        for s, e in zip(starts, ends):
+            i = bisect_left(taken_s, e)  # those before i begin before e; the last of them ends last
+            ok = i == 0 or taken_e[i - 1] <= s
+            if ok:
+                taken_s.insert(i, s)
+                taken_e.insert(i, e)
+            out.append(ok)
+        return out
+
+    return row_function("array<boolean>", choose)
+
+
 def resolved(spans: Column, policy: str, fields: list[str]) -> Column:
-    """The spans that a greedy choice in the policy's order keeps free of overlaps, by start. fields: all names of a span, which break what ties are left."""
+    """The spans that a greedy choice in the policy's order keeps free of overlaps, by start. fields: all names of a span, which break what ties are left.
+    What is kept is free of overlaps, so each span is only held against the last kept one before its end. Spans hold at least one character."""
     keyed = F.transform(spans, lambda s: F.struct(*(k.alias(f"k{i}") for i, k in enumerate(POLICIES[policy](s))), *(s[f].alias(f"t{i}") for i, f in enumerate(fields)), s.alias("s")))
     ordered = F.transform(F.array_sort(keyed), lambda k: k["s"])
-    kept = F.aggregate(ordered, F.slice(spans, 1, 0), lambda acc, s: F.when(F.exists(acc, lambda k: overlaps(k, s)), acc).otherwise(F.array_append(acc, s)))
+    flags = _free()(F.transform(ordered, lambda s: s["start"]), F.transform(ordered, lambda s: s["end"]))
+    kept = F.filter(F.zip_with(ordered, flags, lambda s, k: F.when(k, s)), lambda s: s.isNotNull())
     return F.transform(F.array_sort(F.transform(kept, lambda s: F.struct(s["start"].alias("k"), s.alias("s")))), lambda k: k["s"])
 
 
@@ -122,16 +198,32 @@ def overlap_join(left: DataFrame, right: DataFrame, on: list[str], width: int =
     return joined.filter(F.col("__bin") == first).drop("__bin")
 
 
+@lru_cache(maxsize=None)
+def _one_to_one():
+    def choose(ls: list[int], rs: list[int]) -> list[bool]:
+        left, right, out = set(), set(), []
+        for a, b in zip(ls, rs):
+            ok = a not in left and b not in right
+            if ok:
+                left.add(a)
+                right.add(b)
+            out.append(ok)
+        return out
+
+    return row_function("array<boolean>", choose)
+
+
 def greedy_pairs(pairs: Column) -> Column:
     """Of array<struct<score, l, r>> a one-to-one choice by falling score, then falling l and r."""
     ordered = F.transform(F.array_sort(F.transform(pairs, lambda p: F.struct((-p["score"]).alias("a"), (-p["l"]).alias("b"), (-p["r"]).alias("c"), p.alias("p")))), lambda k: k["p"])
-    return F.aggregate(ordered, F.slice(pairs, 1, 0), lambda acc, p: F.when(F.exists(acc, lambda k: (k["l"] == p["l"]) | (k["r"] == p["r"])), acc).otherwise(F.array_append(acc, p)))
+    flags = _one_to_one()(F.transform(ordered, lambda p: p["l"]), F.transform(ordered, lambda p: p["r"]))
+    return F.filter(F.zip_with(ordered, flags, lambda p, k: F.when(k, p)), lambda p: p.isNotNull())
 
 
 def bipartite_size(edges: DataFrame, group: list[str]) -> DataFrame:
     """(group..., matched): the size of a maximum one-to-one matching of the edges (group..., l, r) of each group.
 
-    Augmenting paths per group in Python; groups are the overlapping spans of one document, split into connected parts first where they are long."""
+    Augmenting paths per group in Python; a group is one document's overlapping spans of one label."""
 
     def run(table: pa.Table) -> pa.Table:
         cols = table.to_pydict()

@@ -10,8 +10,7 @@ from textloom.plans.registry import query
 from textloom.plans.views import SQL_ARTICLES, SQL_DICTIONARY, articles, dictionary, marks, rows, sql_marks, sql_ngrams
 
 _R = "(select distinct * from expert_reviews)"
-_J = "(select distinct * from reviewer_adjudications)"
-MOST = 5  # words of a dictionary term that the SQL looks for; the queries look for all terms
+_J = "(select * from (select distinct * from reviewer_adjudications) j where id = (select max(id) from reviewer_adjudications x where x.document_id = j.document_id) and upper(trim(resolution_status)) = 'RESOLVED')"
 
 
 def entries(spark, folder):
@@ -39,7 +38,7 @@ def accentless_index(spark, folder):
 
 @query(f"""with k as {_KEYED}, idx as (select {_PL} as plain, max_by(code, (length(key), key)) as code from k where {_PL} <> key and contains(key, ' ') group by 1 having count(distinct (code, category)) = 1),
 e as (select key, code, 'exact' as how from k union all select plain, code, 'accentless' from idx)
-select e.how as matched_by, e.code, count(*) as n, count(distinct g.doc_id) as documents from {sql_ngrams(SQL_ARTICLES, "doc_id", "abstract", MOST)} g join e on e.key = g.k group by all""")
+select e.how as matched_by, e.code, count(*) as n, count(distinct g.doc_id) as documents from {sql_ngrams(SQL_ARTICLES, "doc_id", "abstract")} g join e on e.key = g.k group by all""")
 def dictionary_candidates(spark, folder):
     """All candidates, exact and accentless."""
     found = D.candidates(articles(spark, folder, "abstract"), "doc_id", "abstract", entries(spark, folder))
@@ -78,8 +77,9 @@ def system_spans(spark, folder):
 
 
 def expert_spans(spark, folder):
-    """(doc_id, start, end, label): final labels of adjudications."""
-    m = rows(spark, folder, "reviewer_adjudications", "id", "document_id", "final_labels_json").select(F.col("document_id").alias("doc_id"), F.explode(marks("final_labels_json")).alias("m"))
+    """(doc_id, start, end, label): final labels of each document's adjudication in force (the greatest id), where it is resolved."""
+    j = R.latest(rows(spark, folder, "reviewer_adjudications", "id", "document_id", "resolution_status", "final_labels_json"), ["document_id"], "id")
+    m = j.filter("upper(trim(resolution_status)) = 'RESOLVED'").select(F.col("document_id").alias("doc_id"), F.explode(marks("final_labels_json")).alias("m"))
     return m.select("doc_id", "m.start", "m.end", F.col("m.category").alias("label")).filter("start is not null and end > start").distinct()
 
 

@@ -10,8 +10,6 @@ from textloom.plans.registry import query
 from textloom.plans.views import SQL_ARTICLES, SQL_DICTIONARY, articles, dictionary, rows, sql_ngrams
 from textloom.runtime import materialise, table
 
-MOST = 5  # words of a dictionary term that the SQL looks for; the queries look for all terms
-
 
 def term_hits(spark, folder):
     """(doc_id, at, n, term, category): dictionary terms as runs of words of abstracts. Only words that begin a term meet the dictionary."""
@@ -24,7 +22,7 @@ def term_hits(spark, folder):
 
 
 @query(f"""select d.term as concept, d.category, count(*) as mentions, count(distinct g.doc_id) as documents
-from {sql_ngrams(SQL_ARTICLES, "doc_id", "abstract", MOST)} g join {SQL_DICTIONARY} d on d.term = g.k
+from {sql_ngrams(SQL_ARTICLES, "doc_id", "abstract")} g join {SQL_DICTIONARY} d on d.term = g.k
 group by all order by documents desc, mentions desc, concept limit 50""")
 def top_concepts(spark, folder):
     """The most frequent dictionary concepts of abstracts."""
@@ -33,7 +31,7 @@ def top_concepts(spark, folder):
 
 
 @query(f"""select category, count(*) as mentions, round(count(*) / sum(count(*)) over (), 6) as share
-from {sql_ngrams(SQL_ARTICLES, "doc_id", "abstract", MOST)} g join {SQL_DICTIONARY} d on d.term = g.k group by category""")
+from {sql_ngrams(SQL_ARTICLES, "doc_id", "abstract")} g join {SQL_DICTIONARY} d on d.term = g.k group by category""")
 def concept_type_distribution(spark, folder):
     """Shares of concept types."""
     counts = term_hits(spark, folder).groupBy("category").agg(F.count("*").alias("mentions"))

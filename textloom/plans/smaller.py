@@ -249,10 +249,8 @@ def sentence_bounds(spark, folder):
     """Sentences with offsets; fits says whether the text stands there."""
     a = articles(spark, folder, "abstract").filter("abstract is not null")
     parts = F.regexp_extract_all("abstract", F.lit(r"[^.!?\n]+(?:[.!?]+|\n|$)|[.!?\n]+"), F.lit(0))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out"))
-    step = lambda acc, p: F.struct((acc["at"] + F.length(p)).alias("at"), F.array_append(acc["out"], F.struct(acc["at"].alias("start"), (acc["at"] + F.length(p)).cast("int").alias("end"), p.alias("text"))).alias("out"))
-    s = a.select("doc_id", "abstract", F.explode(F.aggregate(parts, zero, step, lambda acc: acc["out"])).alias("s"))
-    return s.select("doc_id", "s.start", "s.end", (F.substring("abstract", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")) == F.col("s.text")).alias("fits"))
+    s = a.select("doc_id", "abstract", F.explode(S.laid_out(parts)).alias("s"))
+    return s.select("doc_id", "s.start", "s.end", (F.substring("abstract", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")) == F.col("s.word")).alias("fits"))
 
 
 @query()

@@ -55,7 +55,8 @@ SQL_WORDS = r"'[\p{L}\p{N}\p{M}]+'"
 SQL_ARTICLES = "(select distinct * from article_extraction)"
 
 
-def sql_ngrams(source: str, key: str, column: str, most: int) -> str:
-    """(key, i, n, k): word n-grams of a column in SQL."""
+def sql_ngrams(source: str, key: str, column: str, most: int | str | None = None) -> str:
+    """(key, i, n, k): word n-grams of a column in SQL, by default as long as the dictionary's longest term."""
+    most = f"(select max(len(string_split(term, ' '))) from {SQL_DICTIONARY})" if most is None else most
     return f"""(select {key}, i, n, array_to_string(ws[i:i+n-1], ' ') k
       from (select {key}, regexp_extract_all(lower({column}), {SQL_WORDS}) ws from {source}), unnest(range(1, len(ws) + 1)) a(i), unnest(range(1, {most} + 1)) b(n) where i + n - 1 <= len(ws))"""
