@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textloom.llm import consensus, encoding, forms, language, mentions, mixing, neardup, pairs, sitelines, splitting, subjects
+from textloom.llm.oracle import ORACLE  # noqa: F401
 from textloom.runtime import materialise, table
 
 
@@ -156,4 +157,3 @@ def p10_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_languages, p2_found, p2_pieces, p6_found, p6_groups, p3_found, p3_clean, p4_found, p4_agreement, p4_experts, p5_found, p5_classes, p7_found, p8_ids, p9_mix, p9_shares, p10_found, p10_shares)}
-ORACLE: dict[str, str] = {}
