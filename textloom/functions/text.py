@@ -49,14 +49,19 @@ def fold(x: Column | str) -> Column:
 
 
 def match_key(x: Column | str) -> Column:
-    """Words of letters and digits in folded case, joined by one space."""
-    return F.array_join(F.regexp_extract_all(fold(x), F.lit(WORD), F.lit(0)), " ")
+    """Words of letters and digits, composed and in folded case, joined by one space."""
+    return F.array_join(F.regexp_extract_all(fold(nfc(_c(x))), F.lit(WORD), F.lit(0)), " ")
 
 
 def no_accents(x: Column | str) -> Column:
     return F.regexp_replace(F.translate(_c(x), *_bases()), r"\p{M}+", "")
 
 
+def plain_letters(text: str) -> str:
+    """no_accents() of a constant."""
+    return "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c)).translate({0x111: "d", 0x110: "D"})
+
+
 def accentless_key(x: Column | str) -> Column:
     return no_accents(match_key(x))
 
@@ -177,18 +182,16 @@ def sanitised(x: Column | str) -> Column:
     return flat(reduce(lambda c, s: F.regexp_replace(c, *s), steps, _c(x)))
 
 
-# Vowels with the tone mark on the other letter, in pairs of the older and the newer spelling.
-TONES = "óa:oá òa:oà ỏa:oả õa:oã ọa:oạ óe:oé òe:oè ỏe:oẻ õe:oẽ ọe:oẹ úy:uý ùy:uỳ ủy:uỷ ũy:uỹ ụy:uỵ"
+def _tone_pairs() -> dict[str, str]:
+    """Vowel pairs with the tone mark on the first letter, and with it on the second: oa, oe, uy, ua, in small, large and first large letters."""
+    marks = "\u0300\u0301\u0309\u0303\u0323"
+    cased = [pair for first, second in ("oa", "oe", "uy", "ua") for pair in (first + second, (first + second).upper(), first.upper() + second)]
+    return {unicodedata.normalize("NFC", a + mark + b): unicodedata.normalize("NFC", a + b + mark) for a, b in cased for mark in marks}
 
 
 def tone_placement(x: Column | str) -> Column:
-    """Tone marks of open oa, oe and uy on the second vowel."""
-    out = _c(x)
-    for pair in TONES.split():
-        old, new = pair.split(":")
-        out = F.regexp_replace(out, old + r"(?!\p{L})", new)
-        out = F.regexp_replace(out, old[0].upper() + old[1] + r"(?!\p{L})", new[0].upper() + new[1])
-    return out
+    """Tone marks of oa, oe, uy and ua on the second vowel, wherever the pair stands."""
+    return reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), _tone_pairs().items(), _c(x))
 
 
 def lacks_tones(x: Column | str, share: float = 0.5) -> Column:

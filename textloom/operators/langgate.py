@@ -10,8 +10,8 @@ from pyspark.sql import Column, functions as F
 from textloom.functions import text as T
 
 # Signal words and thresholds of the gate.
-VI_WORDS = "và của các được trong với cho người bệnh không những là có một tại nghiên cứu kết quả".split()
-EN_WORDS = "the of and in with for was were is are to from patients study results by on at this that".split()
+VI_WORDS = ["và", "của", "các", "được", "trong", "người", "bệnh", "nghiên", "cứu", "điều", "trị", "kết", "quả", "phương", "pháp", "tại", "với", "cho", "theo", "đánh", "giá", "mục", "tiêu", "đối", "tượng", "thời", "gian"]
+EN_WORDS = ["the", "and", "of", "in", "for", "with", "this", "that", "study", "patients", "methods", "results", "conclusion", "background", "objective", "treatment", "medical", "clinical", "were", "was", "from", "between", "data"]
 VI_MARKS = "[ăâđêôơưàảãáạằẳẵắặầẩẫấậèẻẽéẹềểễếệìỉĩíịòỏõóọồổỗốộờởỡớợùủũúụừửữứựỳỷỹýỵ]"
 CHUNK, MIN_CHARS = 1000, 40
 VI_CHUNK, EN_CHUNK, VI_LEAD, EN_LEAD = 0.52, 0.58, 0.08, 0.10

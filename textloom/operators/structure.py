@@ -8,17 +8,45 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from textloom.functions import text as T
 
-# Heading keys of section types.
+# Section types with the headings that name them; compared without accents.
 ONTOLOGY = {
-    "ABSTRACT": ["tom tat", "abstract", "summary"],
-    "INTRODUCTION": ["dat van de", "mo dau", "gioi thieu", "introduction", "background", "tong quan"],
-    "METHODS": ["doi tuong va phuong phap", "doi tuong va phuong phap nghien cuu", "phuong phap", "phuong phap nghien cuu", "methods", "materials and methods", "patients and methods"],
-    "STUDY_DESIGN": ["thiet ke nghien cuu", "study design"],
-    "RESULTS": ["ket qua", "ket qua nghien cuu", "results", "findings"],
-    "DISCUSSION": ["ban luan", "thao luan", "discussion"],
-    "CONCLUSION": ["ket luan", "ket luan va kien nghi", "conclusion", "conclusions"],
-    "REFERENCES": ["tai lieu tham khao", "references", "bibliography"],
-    "ACKNOWLEDGEMENT": ["loi cam on", "acknowledgements", "acknowledgments"],
+    "ABSTRACT": ["tóm tắt", "abstract", "summary"],
+    "GRAPHICAL_ABSTRACT": ["graphical abstract"],
+    "KEYWORDS": ["từ khóa", "keywords", "key words"],
+    "INTRODUCTION": ["đặt vấn đề", "mở đầu", "giới thiệu", "introduction"],
+    "BACKGROUND": ["bối cảnh", "background"],
+    "OBJECTIVES": ["mục tiêu", "objective", "objectives", "aims"],
+    "METHODS": ["đối tượng và phương pháp", "phương pháp nghiên cứu", "phương pháp", "materials and methods", "patients and methods", "methods"],
+    "STUDY_POPULATION": ["đối tượng nghiên cứu", "study population", "participants"],
+    "INCLUSION_CRITERIA": ["tiêu chuẩn lựa chọn", "inclusion criteria"],
+    "EXCLUSION_CRITERIA": ["tiêu chuẩn loại trừ", "exclusion criteria"],
+    "STUDY_DESIGN": ["thiết kế nghiên cứu", "study design"],
+    "STUDY_TIME": ["thời gian nghiên cứu", "study period", "study time"],
+    "STUDY_LOCATION": ["địa điểm nghiên cứu", "study setting", "study location"],
+    "SAMPLE_SIZE": ["cỡ mẫu", "sample size"],
+    "SAMPLING": ["phương pháp chọn mẫu", "sampling"],
+    "DATA_COLLECTION": ["thu thập số liệu", "data collection"],
+    "STATISTICAL_ANALYSIS": ["xử lý số liệu", "phân tích số liệu", "statistical analysis", "data analysis"],
+    "ETHICS": ["đạo đức nghiên cứu", "ethics approval", "ethical approval"],
+    "RESULTS": ["kết quả", "kết quả nghiên cứu", "results"],
+    "PARTICIPANT_CHARACTERISTICS": ["đặc điểm chung", "đặc điểm đối tượng", "participant characteristics"],
+    "DISCUSSION": ["bàn luận", "discussion"],
+    "RESULTS_DISCUSSION": ["kết quả và bàn luận", "results and discussion"],
+    "CONCLUSION": ["kết luận", "conclusion", "conclusions"],
+    "RECOMMENDATION": ["khuyến nghị", "kiến nghị", "recommendation", "recommendations"],
+    "ACKNOWLEDGEMENT": ["lời cảm ơn", "acknowledgement", "acknowledgment", "acknowledgements", "acknowledgments"],
+    "FUNDING": ["kinh phí", "funding"],
+    "CONFLICT_OF_INTEREST": ["xung đột lợi ích", "conflict of interest", "conflict of interest statement", "competing interests"],
+    "DATA_AVAILABILITY": ["data availability", "availability of data and materials"],
+    "AUTHOR_CONTRIBUTIONS": ["author contributions", "credit authorship contribution statement"],
+    "SUPPLEMENTARY_DATA": ["supplementary data"],
+    "REFERENCES": ["tài liệu tham khảo", "references", "bibliography"],
+}
+# Types that a type may stand below, the nearer first.
+PARENTS = {
+    "BACKGROUND": ["INTRODUCTION"], "OBJECTIVES": ["INTRODUCTION"], "STUDY_POPULATION": ["METHODS"], "INCLUSION_CRITERIA": ["STUDY_POPULATION", "METHODS"],
+    "EXCLUSION_CRITERIA": ["STUDY_POPULATION", "METHODS"], "STUDY_DESIGN": ["METHODS"], "STUDY_TIME": ["METHODS"], "STUDY_LOCATION": ["METHODS"], "SAMPLE_SIZE": ["METHODS"],
+    "SAMPLING": ["METHODS"], "DATA_COLLECTION": ["METHODS"], "STATISTICAL_ANALYSIS": ["METHODS"], "ETHICS": ["METHODS"], "PARTICIPANT_CHARACTERISTICS": ["RESULTS"],
 }
 EXPECTED = ["ABSTRACT", "INTRODUCTION", "METHODS", "RESULTS", "DISCUSSION", "CONCLUSION", "REFERENCES"]
 
@@ -32,7 +60,7 @@ def section_type(heading: Column) -> Column:
     def named(k: Column) -> Column:
         words = F.array_distinct(F.split(k["key"], " "))
         share = lambda a: F.size(F.array_intersect(words, F.split(F.lit(a), " "))) / F.greatest(F.size(words), F.lit(len(set(a.split()))))
-        flat = [(n, a) for n, al in ONTOLOGY.items() for a in al]
+        flat = [(n, T.plain_letters(a)) for n, al in ONTOLOGY.items() for a in al]
         near = F.array_max(F.array(*(F.struct(share(a).alias("s"), F.lit(-i).alias("i"), F.lit(name).alias("name")) for i, (name, a) in enumerate(flat))))
         close = lambda n: F.when(n["s"] >= 0.75, F.struct(n["name"].alias("type"), F.round(0.7 + 0.2 * n["s"], 4).alias("confidence"))).otherwise(pick("OTHER", F.lit(0.35)))
         exact = F.element_at(F.create_map(*(F.lit(x) for n, a in flat for x in (a, n))), k["key"])

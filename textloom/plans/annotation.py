@@ -23,7 +23,7 @@ _KEYED = f"""(select arg_max(term, (term, code)) term, arg_max(code, (term, code
 
 @query(f"select key, count(*) as n from {_KEYED} where length(key) > 0 group by 1")
 def dictionary_keys(spark, folder):
-    """One entry per key."""
+    """One entry per key."""
     return entries(spark, folder).groupBy("key").agg(F.count("*").alias("n"))
 
 
@@ -113,7 +113,7 @@ def overlap_policies(spark, folder):
 @query(f"""with t as (select doc_id, s, e, count(distinct label) labels, count(*) n from {_SYS} group by all)
 select case when labels > 1 then 'LABEL_CONFLICT' when exists (select 1 from {_SYS} o where o.doc_id = t.doc_id and o.s < t.e and t.s < o.e and (o.s <> t.s or o.e <> t.e)) then 'BOUNDARY_VARIANT' when exists (select 1 from {_GOLD} g where g.doc_id = t.doc_id and g.s = t.s and g.e = t.e) then 'MULTI_SOURCE' else 'ONE_SOURCE' end as kind, count(*) as n from t group by 1""")
 def union_classes(spark, folder):
-    """Kinds of spans in the union of systems."""
+    """Kinds of spans in the union of systems."""
     p = system_spans(spark, folder).select("doc_id", "start", "end", F.col("category").alias("label")).distinct()
     t = p.groupBy("doc_id", "start", "end").agg(F.countDistinct("label").alias("labels"))
     places = t.select("doc_id", "start", "end")
@@ -128,7 +128,7 @@ def union_classes(spark, folder):
 select substring(abstract, m.start + 1, m."end" - m.start) is not distinct from m.text as ok, (length(abstract) - length(replace(abstract, m.text, ''))) // length(m.text) as n
 from (select document_id, unnest({sql_marks("annotations_json")}) m from {_R}) r join (select distinct doc_id, abstract from article_extraction where abstract is not null) a on a.doc_id = r.document_id where length(m.text) > 0)""")
 def offset_repair(spark, folder):
-    """Offsets kept, corrected where the text stands once, or rejected."""
+    """Offsets kept, corrected where the text stands once, or rejected."""
     m = rows(spark, folder, "expert_reviews").select(F.col("document_id").alias("doc_id"), F.explode(marks("annotations_json")).alias("m")).filter("length(m.text) > 0")
     j = m.join(articles(spark, folder, "abstract").filter("abstract is not null"), "doc_id")
     ok = F.substring("abstract", F.col("m.start") + 1, F.col("m.end") - F.col("m.start")).eqNullSafe(F.col("m.text"))
@@ -157,14 +157,14 @@ def tags_round_trip(spark, folder):
 
 @query(f"""select label, count(*) as n, count(distinct doc_id) as documents from {_SYS} group by 1""")
 def entity_counts(spark, folder):
-    """A08, A09."""
+    """A09."""
     p = system_spans(spark, folder).select("doc_id", "start", "end", F.col("category").alias("label")).distinct()
     return p.groupBy("label").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("documents"))
 
 
 @query(f"""select term, label, n from (select lower(text) term, min(category) as label, count(*) n, count(distinct category) c from {_SP} group by 1) where c = 1 and n >= 2""")
 def unambiguous_lexicon(spark, folder):
-    """Terms of one label only."""
+    """Terms of one label only, met twice at least."""
     m = rows(spark, folder, "expert_reviews").select(F.explode(marks("original_labels_json")).alias("m")).filter("m.start is not null and m.end > m.start")
     t = m.groupBy(F.lower("m.text").alias("term")).agg(F.min("m.category").alias("label"), F.count("*").alias("n"), F.countDistinct("m.category").alias("c"))
     return t.filter("c = 1 and n >= 2").drop("c")
@@ -197,7 +197,7 @@ def code_chapters(spark, folder):
 
 @query(f"select term, code from {SQL_DICTIONARY} d where not exists (select 1 from {_GOLD} g join (select distinct doc_id, abstract from article_extraction) a using (doc_id) where lower(substring(abstract, g.s + 1, g.e - g.s)) = d.term)")
 def terms_without_gold(spark, folder):
-    """Dictionary terms that no gold span shows."""
+    """Dictionary terms that no gold span shows."""
     g = expert_spans(spark, folder).join(articles(spark, folder, "abstract"), "doc_id").select(F.lower(F.substring("abstract", F.col("start") + 1, F.col("end") - F.col("start"))).alias("term"))
     return R.remaining(dictionary(spark, folder), g.distinct(), "term").select("term", "code")
 

@@ -59,7 +59,8 @@ def sampled_documents(spark, folder):
 
 @query()
 def covering_sample(spark, folder):
-    """The first document of each source and type, then the rest in hash order up to 60."""
+    """Documents that add an unseen source or type, then the rest in hash order up to 60. In order of ids a greedy choice takes a document exactly
+    if it is the first of its source or of its type, as all unseen ones before it were taken, so no loop is needed."""
     d = rows(spark, folder, "documents").filter("source is not null and doc_type is not null").select("doc_id", F.lower(F.trim("source")).alias("source"), "doc_type")
     first = lambda c: d.groupBy(c).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     chosen = first("source").union(first("doc_type")).distinct().withColumn("seed", F.lit(0))
@@ -87,7 +88,7 @@ def event_hours(spark, folder):
 
 @query("""select user_id, count(*) as runs, max(n) as longest from (select user_id, g, count(*) n from (select user_id, event_id, event_type, row_number() over (partition by user_id order by ts, event_id) - row_number() over (partition by user_id, event_type order by ts, event_id) g from events) group by user_id, event_type, g) group by 1""")
 def event_runs(spark, folder):
-    """Runs of equal events of a user (gaps and islands)."""
+    """Runs of equal events of a user (gaps and islands)."""
     e = table(spark, folder, "events")
     w, v = Window.partitionBy("user_id").orderBy("ts", "event_id"), Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
     r = e.withColumn("g", F.row_number().over(w) - F.row_number().over(v)).groupBy("user_id", "event_type", "g").agg(F.count("*").alias("n"))

@@ -8,6 +8,7 @@ from textloom.operators import evaluate as E, spans as S
 from textloom.plans.annotation import _GOLD, _SYS, expert_spans, system_spans
 from textloom.plans.registry import query
 from textloom.plans.views import rows
+from textloom.runtime import materialise
 
 LABELS = ["DISEASE", "SYMPTOM", "CAUSE", "DIAGNOSTIC", "TREATMENT"]
 
@@ -24,6 +25,11 @@ def _gold(spark, folder):
     return g.withColumn("id", F.col("start") * 100_000 + F.col("end") * 10 + F.array_position(F.array(*(F.lit(x) for x in LABELS)), F.col("label")))
 
 
+def _sides(spark, folder):
+    """Predictions and gold, written once, as errors read them many times."""
+    return materialise(_pred(spark, folder), "predictions"), materialise(_gold(spark, folder), "gold")
+
+
 _P = f"(select * from {_SYS} where doc_id in (select doc_id from {_GOLD}))"
 _L = "(select unnest(['DISEASE','SYMPTOM','CAUSE','DIAGNOSTIC','TREATMENT']) as label)"
 _COUNTS = f"""(select label, count(*) filter (where p and g) as tp, count(*) filter (where p and not g) as fp, count(*) filter (where g and not p) as fn from
@@ -73,12 +79,15 @@ def label_errors(spark, folder):
 
 @query()
 def error_classes(spark, folder):
-    """Each error once."""
-    return E.errors(_pred(spark, folder), _gold(spark, folder), ["doc_id"]).groupBy("error_type").agg(F.count("*").alias("n"))
+    """Each error once, by system, type and label."""
+    p, g = _sides(spark, folder)
+    e = E.errors(p, g, ["doc_id"])
+    e = e.join(p.select("doc_id", F.col("id").alias("p"), F.col("label").alias("pl")), ["doc_id", "p"], "left").join(g.select("doc_id", F.col("id").alias("g"), F.col("label").alias("gl")), ["doc_id", "g"], "left")
+    return e.groupBy(F.lit("original").alias("system"), "error_type", F.coalesce("gl", "pl").alias("label")).agg(F.count("*").alias("n"))
 
 
 def _patterns(spark, folder):
-    p, g = _pred(spark, folder), _gold(spark, folder)
+    p, g = _sides(spark, folder)
     e = E.errors(p, g, ["doc_id"])
     texts = system_spans(spark, folder).select("doc_id", "start", "end", F.lower("text").alias("text")).distinct()
     e = e.join(p.select("doc_id", F.col("id").alias("p"), F.col("label").alias("pl"), "start", "end"), ["doc_id", "p"], "left").join(g.select("doc_id", F.col("id").alias("g"), F.col("label").alias("gl")), ["doc_id", "g"], "left")
@@ -104,7 +113,7 @@ _ROUND = "(select document_id d, expert_id x, min(upper(trim(review_status))) v
 
 @query(f"""select case when b.v is null then 'NEW' when a.v is null then 'RESOLVED' when a.v = b.v then 'PERSISTENT' else 'CHANGED' end as status, count(*) as n from {_ROUND.format(c="created_at < timestamp '2023-01-01'")} b full join {_ROUND.format(c="created_at >= timestamp '2023-01-01'")} a using (d, x) group by 1""")
 def round_transitions(spark, folder):
-    """What became of each place between two rounds."""
+    """What became of each place between two rounds."""
     r = rows(spark, folder, "expert_reviews").select("document_id", "expert_id", F.upper(F.trim("review_status")).alias("v"), "created_at")
     cut = F.expr("timestamp_ntz '2023-01-01'")
     t = E.transitions(r.filter(F.col("created_at") < cut), r.filter(F.col("created_at") >= cut), ["document_id", "expert_id"], "v")
@@ -113,7 +122,7 @@ def round_transitions(spark, folder):
 
 @query(f"""select label, before, after, round(100.0 * (after - before) / before, 4) as change from (select label, count(*) filter (where src = 1) as before, count(*) filter (where src = 2) as after from (select label, 1 src from {_P} union all select label, 2 from {_GOLD}) group by 1) where before > 0""")
 def system_comparison(spark, folder):
-    """Counts of two systems side by side."""
+    """Counts of two systems side by side."""
     p, g = _pred(spark, folder).select("label", F.lit(1).alias("src")), _gold(spark, folder).select("label", F.lit(2).alias("src"))
     w = p.unionByName(g).groupBy("label").agg(F.count_if(F.col("src") == 1).alias("before"), F.count_if(F.col("src") == 2).alias("after")).filter("before > 0")
     return w.withColumn("change", F.round(100.0 * (F.col("after") - F.col("before")) / F.col("before"), 4))

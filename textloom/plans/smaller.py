@@ -33,7 +33,7 @@ def valid_users(spark, folder):
 
 @query(f"select doc_id, case when doc_id in (select document_id from {_R}) then 'reviewed' else 'pending' end as state from {SQL_ARTICLES} where doc_id not in (select document_id from {_J})")
 def open_documents(spark, folder):
-    """A computed state, filtered afterwards."""
+    """A computed state, filtered afterwards."""
     a = R.presence(articles(spark, folder, "title").select("doc_id"), "doc_id", r=rows(spark, folder, "expert_reviews", "id", "document_id").select(F.col("document_id").alias("doc_id")), j=rows(spark, folder, "reviewer_adjudications", "id", "document_id").select(F.col("document_id").alias("doc_id")))
     return a.filter("not j").select("doc_id", F.when(F.col("r"), "reviewed").otherwise("pending").alias("state"))
 
@@ -62,42 +62,42 @@ def contained_spans(spark, folder):
 
 @query(f"""select (select count(*) from (select doc_id from {_GOLD} except select doc_id from {_SYS})) as missing, (select count(*) from (select doc_id from {_SYS} except select doc_id from {_GOLD})) as extra""")
 def id_sets(spark, folder):
-    """Documents that only one side has."""
+    """Documents that only one side has."""
     g, p = expert_spans(spark, folder).select("doc_id").distinct(), system_spans(spark, folder).select("doc_id").distinct()
     return R.remaining(g, p, "doc_id").agg(F.count("*").alias("missing")).crossJoin(R.remaining(p, g, "doc_id").agg(F.count("*").alias("extra")))
 
 
 @query(f"select doc_id, count(*) as n, count(distinct label) as labels, min(s) as first, max(e) as last from {_SYS} group by 1")
 def spans_per_article(spark, folder):
-    """A12, M07."""
+    """A12."""
     p = system_spans(spark, folder).select("doc_id", "start", "end", F.col("category").alias("label")).distinct()
     return p.groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("label").alias("labels"), F.min("start").alias("first"), F.max("end").alias("last"))
 
 
 @query(f"""select label_source, count(*) as n, count(*) filter (where annotations_json is not null and not json_valid(annotations_json)) as broken, round(avg(coalesce(len({sql_marks("annotations_json")}), 0)), 6) as mean_labels from {_R} group by 1""")
 def payload_quality(spark, folder):
-    """Averages and faults per source of labels."""
+    """Averages and faults per source of labels."""
     r = rows(spark, folder, "expert_reviews", "id", "label_source", "annotations_json").withColumn("m", marks("annotations_json"))
     return r.groupBy("label_source").agg(F.count("*").alias("n"), F.count_if(F.col("annotations_json").isNotNull() & F.col("m").isNull()).alias("broken"), F.round(F.avg(F.coalesce(F.when(F.col("m").isNotNull(), F.size("m")), F.lit(0))), 6).alias("mean_labels"))
 
 
 @query(f"select publication_year as year, count(*) as n, count(*) filter (where source_hash is null or trim(source_hash) = '') as without_hash, count(distinct source_hash) as hashes from {SQL_ARTICLES} group by 1")
 def storage_audit(spark, folder):
-    """A23, M16, M17."""
+    """Articles, hashes and missing hashes by year."""
     a = articles(spark, folder, "publication_year", "source_hash")
     return a.groupBy(F.col("publication_year").alias("year")).agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.trim("source_hash") == "", F.lit(True))).alias("without_hash"), F.countDistinct("source_hash").alias("hashes"))
 
 
 @query(f"select section_id, last_value(canonical_type ignore nulls) over (partition by doc_id order by ord, section_id rows between unbounded preceding and current row) as carried from {_S}")
 def carried_types(spark, folder):
-    """The last known type up to each section."""
+    """The last known type up to each section."""
     s = rows(spark, folder, "article_section", "section_id", "doc_id", "ord", "canonical_type")
     return R.carried(s, ["doc_id"], [F.col("ord"), F.col("section_id")], "canonical_type", "carried").select("section_id", "carried")
 
 
 @query(f"select section_id, cast(coalesce(sum(len(string_split(content, chr(10)))) over (partition by doc_id order by ord, section_id rows between unbounded preceding and 1 preceding), 0) as bigint) as first_line from {_S}")
 def line_index(spark, folder):
-    """Where each section's lines begin in its document."""
+    """Where each section's lines begin in its document."""
     s = rows(spark, folder, "article_section", "section_id", "doc_id", "ord", "content")
     w = Window.partitionBy("doc_id").orderBy("ord", "section_id").rowsBetween(Window.unboundedPreceding, -1)
     n = F.when(F.col("content").isNotNull(), F.size(F.split("content", "\n")))
@@ -155,7 +155,7 @@ def dictionary_counts(spark, folder):
 
 @query()
 def aliases(spark, folder):
-    """Terms with their safe aliases, and whether they are written in capitals only."""
+    """Terms with their safe aliases, and whether they are written in capitals only."""
     a = D.with_aliases(dictionary(spark, folder).select("term", "code", "category"))
     return a.withColumn("capitals", T.all_capitals("term"))
 
@@ -203,7 +203,7 @@ def augmented_texts(spark, folder):
 
 @query(f"""select d.label as verdict, count(*) as n from (select document_id, s, label from {_SQL_DECIDED} where expert_id = 7) d join (select distinct doc_id, s from {_SYS}) p on p.doc_id = d.document_id and p.s = d.s group by 1""")
 def verifier_verdicts(spark, folder):
-    """What one verifier made of the system's spans; NONE is a rejection."""
+    """What one verifier made of the system's spans; NONE is a rejection."""
     d = decided(spark, folder).filter("expert_id = 7").select(F.col("document_id").alias("doc_id"), "s", "label")
     p = system_spans(spark, folder).select("doc_id", F.col("start").alias("s")).distinct()
     return d.join(p, ["doc_id", "s"]).groupBy(F.col("label").alias("verdict")).agg(F.count("*").alias("n"))
@@ -211,7 +211,7 @@ def verifier_verdicts(spark, folder):
 
 @query(f"""select id, sha256(string_agg(x, chr(10) order by x)) as checksum from (select id, unnest(list_transform({sql_marks("final_labels_json")}, lambda m: coalesce(cast(m.start as varchar), '') || ':' || coalesce(m.text, ''))) x from {_J} where upper(trim(resolution_status)) = 'RESOLVED') group by 1""")
 def gold_checksums(spark, folder):
-    """Digests of final label sets."""
+    """Digests of final label sets."""
     j = rows(spark, folder, "reviewer_adjudications").filter("upper(trim(resolution_status)) = 'RESOLVED'").withColumn("m", marks("final_labels_json")).filter("size(m) > 0")
     lines = F.array_sort(F.transform("m", lambda m: F.concat(F.coalesce(m["start"].cast("string"), F.lit("")), F.lit(":"), F.coalesce(m["text"], F.lit("")))))
     return j.select("id", F.sha2(F.array_join(lines, "\n"), 256).alias("checksum"))
@@ -219,7 +219,7 @@ def gold_checksums(spark, folder):
 
 @query(f"""select expert_id, arg_max(id, (created_at, id)) as last_id from {_R} where upper(trim(review_status)) = 'NEEDS_REVISION' group by 1""")
 def resumable_reviews(spark, folder):
-    """The last open row of each key."""
+    """The last open row of each key."""
     r = rows(spark, folder, "expert_reviews", "id", "expert_id", "review_status", "created_at").filter("upper(trim(review_status)) = 'NEEDS_REVISION'")
     return r.groupBy("expert_id").agg(F.max(F.struct("created_at", "id")).alias("b")).select("expert_id", F.col("b.id").alias("last_id"))
 
@@ -232,7 +232,7 @@ def newest_adjudications(spark, folder):
 
 @query(f"""select doc_id, len(list_filter(keywords, lambda k: length(regexp_replace(lower(k), '[^\\p{{L}}\\p{{N}}]+', '', 'g')) >= 3 and contains(lower(abstract), lower(k)))) as supported from {SQL_ARTICLES} where abstract is not null and keywords is not null""")
 def supported_keywords(spark, folder):
-    """Keywords that the abstract bears out."""
+    """Keywords that the abstract bears out."""
     a = articles(spark, folder, "keywords", "abstract").filter("abstract is not null and keywords is not null")
     good = F.filter("keywords", lambda k: (F.length(F.regexp_replace(F.lower(k), r"[^\p{L}\p{N}]+", "")) >= 3) & F.lower("abstract").contains(F.lower(k)))
     return a.select("doc_id", F.size(good).cast("long").alias("supported"))
@@ -255,7 +255,7 @@ def sentence_bounds(spark, folder):
 
 @query()
 def detokenised_abstracts(spark, folder):
-    """Tokens joined again, with offsets that show them."""
+    """Tokens joined again, with offsets that show them."""
     a = articles(spark, folder, "abstract").filter("abstract is not null").select("doc_id", F.transform(S.tokens(F.col("abstract"), "hyphen"), lambda t: t["word"]).alias("w"))
     d = a.select("doc_id", "w", B.detokenised(F.col("w")).alias("d"))
     fits = F.forall(F.arrays_zip(F.col("w").alias("w"), F.col("d.spans").alias("s")), lambda x: F.substring(F.col("d.text"), x["s"]["start"] + 1, x["s"]["end"] - x["s"]["start"]) == x["w"])
@@ -264,7 +264,7 @@ def detokenised_abstracts(spark, folder):
 
 @query()
 def toned_questions(spark, folder):
-    """Questions typed without accents, common phrases accented; file names by date; how much the doctor's line looks like a name."""
+    """Questions typed without accents, common phrases accented; how much the doctor's line looks like a name."""
     q = rows(spark, folder, "tamanh_qa", "qa_id", "patient_question", "doctor_name").filter("patient_question is not null")
     phrases = {"bac si": "bác sĩ", "dieu tri": "điều trị", "em nam nay": "em năm nay", "chan doan": "chẩn đoán", "cam on": "cảm ơn"}
     return q.select("qa_id", T.with_tones("patient_question", phrases).alias("text"), T.person_score(F.coalesce("doctor_name", F.lit(""))).alias("name_score"))
@@ -272,7 +272,7 @@ def toned_questions(spark, folder):
 
 @query()
 def ordered_layout(spark, folder):
-    """Blocks of two-column pages in reading order, with the share each lies in a table's area."""
+    """Blocks of two-column pages in reading order, with the share each lies in a table's area."""
     s = rows(spark, folder, "article_section", "section_id", "doc_id", "ord", "content").filter("content is not null")
     b = s.select("doc_id", "section_id", F.posexplode(F.split("content", "\n")).alias("i", "text"))
     left = F.col("i") % 2 == 0
@@ -304,14 +304,14 @@ def token_chunks(spark, folder):
 
 @query(f"""select label, s % 5 = 0 as fifth, count(*) as n from {_SYS} where label in ('DISEASE', 'SYMPTOM') group by all""")
 def filtered_spans(spark, folder):
-    """Spans filtered by label."""
+    """Spans filtered by label."""
     p = system_spans(spark, folder).select("doc_id", "start", "end", F.col("category").alias("label")).distinct().filter("label in ('DISEASE', 'SYMPTOM')")
     return p.groupBy("label", (F.col("start") % 5 == 0).alias("fifth")).agg(F.count("*").alias("n"))
 
 
 @query()
 def prompt_examples(spark, folder):
-    """The first ten adjudicated abstracts with their labels as examples (the limit is the feature)."""
+    """The first ten adjudicated abstracts with their labels as examples (the limit is the feature)."""
     g = expert_spans(spark, folder).join(articles(spark, folder, "abstract").filter("abstract is not null"), "doc_id")
     line = F.concat(F.col("label"), F.lit(": "), F.substring("abstract", F.col("start") + 1, F.col("end") - F.col("start")))
     one = g.groupBy("doc_id").agg(F.max("abstract").alias("abstract"), F.array_join(F.sort_array(F.collect_set(line)), "; ").alias("answer"))

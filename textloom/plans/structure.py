@@ -13,7 +13,7 @@ _S = "(select distinct * from article_section)"
 
 @query()
 def section_types(spark, folder):
-    """Headings classified."""
+    """Headings classified."""
     s = rows(spark, folder, "article_section").filter("heading is not null").groupBy("heading", "canonical_type").agg(F.count("*").alias("n"))
     return s.withColumn("found", P.section_type(F.col("heading"))).select("heading", "canonical_type", "n", F.col("found.type").alias("found_type"), "found.confidence")
 
@@ -108,7 +108,7 @@ def lines_without_frames(spark, folder):
 
 @query()
 def heading_candidates(spark, folder):
-    """Lines scored as headings."""
+    """Lines scored as headings."""
     lines = _layout(spark, folder)
     sized = lines.join(P.body_size(lines, "doc_id", "size", "text"), "doc_id")
     return sized.select("doc_id", "page", "text", P.heading_score(F.col("text"), F.col("size"), F.col("body_size"), F.lit(0.0), F.lit(12.0)).alias("score")).filter("score >= 0.4")
