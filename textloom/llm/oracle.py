@@ -63,9 +63,9 @@ pairs as (select p.field, a_id, b_id, k, x.n as na, y.n as nb from p join n x on
 P5_FOUND = f"{_SHINGLES} select field, a_id, b_id from pairs"
 
 P5_CLASSES = f"""{_SHINGLES.replace("with t as", "with recursive t as", 1)}, texts as (select field, id, md5(string_agg(g, '|' order by g)) as k from s where (field, id) in (select (field, id) from n) group by 1, 2),
-both as (select field, a_id as a, b_id as b from pairs union select field, b_id, a_id from pairs),
-reach(field, id, r) as (select field, id, id from texts union select reach.field, reach.id, both.b from reach join both on both.field = reach.field and both.a = reach.r),
-links as (select x.field, x.id, count(distinct y.k) as links from both join texts x on x.field = both.field and x.id = both.a join texts y on y.field = both.field and y.id = both.b where x.k <> y.k group by 1, 2)
+sides as (select field, a_id as a, b_id as b from pairs union select field, b_id, a_id from pairs),
+reach(field, id, r) as (select field, id, id from texts union select reach.field, reach.id, sides.b from reach join sides on sides.field = reach.field and sides.a = reach.r),
+links as (select x.field, x.id, count(distinct y.k) as links from sides join texts x on x.field = sides.field and x.id = sides.a join texts y on y.field = sides.field and y.id = sides.b where x.k <> y.k group by 1, 2)
 select field, id, min(r) as class_id, coalesce(max(links.links), 0) as links from reach left join links using (field, id) group by 1, 2"""
 
 ORACLE = {"p5_classes": P5_CLASSES, "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p3_clean": P3_CLEAN, "p5_found": P5_FOUND, "p6_found": P6_FOUND}

@@ -199,8 +199,7 @@ def defect(question: str | None, answer: str | None, refusing) -> tuple[str, flo
             share = Suffixes(asked).covered(own, min(MATCH_WORDS, len(asked))) / len(own)
             if share >= COPIED_SHARE:
                 return "copied_question", round(share, 4)
-    hits = {s for s in parts if refusing(s)}
-    if hits and all(s in hits for s in rest):
+    if all(map(refusing, rest)) if rest else any(map(refusing, parts)):
         return "refusal", 1.0
     if asked:
         theirs = language_votes(asked)
