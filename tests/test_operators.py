@@ -3,10 +3,11 @@
 import itertools
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T, web as W
-from textloom.operators import bio, evaluate, langgate, relational as R, spans as S, structure as P
+from textloom.operators import bio, dictionary as D, evaluate, langgate, relational as R, spans as S, structure as P
 from textloom.sources import files
 
 
@@ -139,3 +140,91 @@ def test_files(spark, tmp_path):
     f.write_text("x")
     files.write_manifest(str(tmp_path / "m.json"), "1", {"d": str(f)})
     assert files.verified(str(tmp_path / "m.json"), str(tmp_path))["version"] == "1"
+
+
+def test_terms_case_suffix_and_offsets(spark):
+    """Signs that end a term belong to it, capitals only match capitals, offsets are those of the untouched text."""
+    entries = spark.createDataFrame(
+        [("đau cột sống thắt lưng yêu thống", "M54", "SYMPTOM", "Đau cột sống thắt lưng (Yêu thống)", False), ("hen", "J45", "DISEASE", "HEN", True), ("bệnh", "X", "DISEASE", "bệnh", False)],
+        "key string, code string, category string, surface string, case_sensitive boolean",
+    )
+    texts = [(1, "Chẩn đoán: đau cột sống thắt lưng (yêu thống), theo dõi."), (2, "HEN chứ không phải hen"), (3, "İstanbul bệnh"), (4, "bệnh"), (5, "Đau cột sống thắt lưng, yêu thống")]
+    got = sorted((r.key, r.text, r.start) for r in D.candidates(spark.createDataFrame(texts, "k long, t string"), "k", "t", entries).collect())
+    at = texts[0][1].index("đau")
+    assert got == [(1, "đau cột sống thắt lưng (yêu thống)", at), (2, "HEN", 0), (3, "bệnh", 9), (4, "bệnh", 0), (5, "Đau cột sống thắt lưng, yêu thống", 0)]
+
+
+def test_first_words_beyond_the_bound_change_nothing(spark, monkeypatch):
+    entries = spark.createDataFrame([("ho khan", "R05", "SYMPTOM"), ("sốt", "R50", "SYMPTOM")], "key string, code string, category string")
+    texts = spark.createDataFrame([(1, "Sốt cao và ho khan, ho."), (2, "ho khan sot")], "k long, t string")
+    few = sorted(map(tuple, D.candidates(texts, "k", "t", entries).collect()))
+    monkeypatch.setattr(D, "FIRST_WORDS", 1)
+    assert few == sorted(map(tuple, D.candidates(texts, "k", "t", entries).collect())) and len(few) == 3
+
+
+def test_occurrences_by_mode(spark):
+    find = lambda mode: one(spark, S.occurrences(F.lit("aXa axa, xaxax"), F.lit("axa"), mode))
+    assert find("free") == [0, 4, 10] and find("tokens") == [0, 4] and find("overlapping") == [0, 4, 10]
+    assert one(spark, S.occurrences(F.lit("aaaa"), F.lit("aa"), "overlapping")) == [0, 1, 2] and one(spark, S.occurrences(F.lit("x"), F.lit(""))) == []
+
+
+def test_long_texts_are_cut_in_one_pass(spark):
+    import time
+
+    df = spark.createDataFrame([("từ ngữ, " * 40_000,)], "t string")
+    df.select(F.size(S.tokens(F.col("t"), "plain"))).collect()
+    began = time.time()
+    words = df.select(F.size(S.tokens(F.col("t"), "plain")).alias("n")).first().n
+    assert words == 120_000 and time.time() - began < 10
+
+
+def test_greedy_choice_by_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    sets = []
+    for k in range(40):
+        spans = {(s := rng.randint(0, 60), s + rng.randint(1, 12)) for _ in range(rng.randint(1, 25))}
+        sets.append((k, [{"start": s, "end": e, "label": "x"} for s, e in sorted(spans)]))
+    df = spark.createDataFrame(sets, "k int, s array<struct<start:int,end:int,label:string>>")
+    got = {r.k: [(x.start, x.end) for x in r.r] for r in df.select("k", S.resolved(F.col("s"), "gold", ["label"]).alias("r")).collect()}
+    for k, spans in sets:
+        kept = []
+        for s, e in sorted(((x["start"], x["end"]) for x in spans), key=lambda x: (x[0] - x[1], x)):
+            if all(e <= a or b <= s for a, b in kept):
+                kept.append((s, e))
+        assert got[k] == sorted(kept)
+
+
+def test_a_folder_must_be_shared_on_a_cluster():
+    from types import SimpleNamespace
+
+    from textloom import runtime
+
+    conf = SimpleNamespace(get=lambda *_: None)
+    cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077", applicationId="x", getConf=lambda: conf))
+    with pytest.raises(RuntimeError):
+        runtime.shared_folder(cluster)
+
+
+def test_written_tables_can_be_cleared(spark):
+    import os
+
+    from textloom import runtime
+
+    kept = list(runtime._written)
+    runtime._written.clear()
+    df = runtime.materialise(spark.range(5).toDF("a"), "probe")
+    path = runtime._written[0].removeprefix("file://")
+    assert df.count() == 5 and os.path.isdir(path)
+    runtime.clear(spark)
+    assert not os.path.isdir(path) and not runtime._written
+    runtime._written.extend(kept)
+
+
+def test_tone_pairs(spark):
+    from textloom.functions.text import _tone_pairs
+
+    pairs = _tone_pairs()
+    assert len(pairs) == 60 and pairs["òa"] == "oà" and pairs["ỤY"] == "UỴ" and pairs["Ủa"] == "Uả" and pairs["ọe"] == "oẹ"
+    assert one(spark, T.tone_placement(F.lit("THỦY, Òa, mùa"))) == "THUỶ, Oà, muà"

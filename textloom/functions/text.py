@@ -43,6 +43,11 @@ def nfd(text: str | None) -> str | None:
     return None if text is None else unicodedata.normalize("NFD", text)
 
 
+@F.udf(StringType(), useArrow=True)
+def nfkd(text: str | None) -> str | None:
+    return None if text is None else unicodedata.normalize("NFKD", text)
+
+
 def fold(x: Column | str) -> Column:
     """Lower case, with the one common letter whose folding is longer."""
     return F.replace(F.lower(_c(x)), F.lit("ß"), F.lit("ss"))
@@ -68,7 +73,7 @@ def accentless_key(x: Column | str) -> Column:
 
 def heading_key(x: Column | str) -> Column:
     """A heading without case, accents and leading numbering such as `2.`, `II.`, `1.3)`."""
-    low = F.trim(no_accents(fold(x)))
+    low = F.trim(no_accents(fold(nfkd(_c(x)))))
     bare = F.regexp_replace(low, r"^((?:\d+(?:\.\d+)*|[ivxlc]+|[a-h])[.):\-]+\s*|\d+(?:\.\d+)*\s+)", "")
     return F.trim(F.regexp_replace(bare, r"[^a-z0-9]+", " "))
 
@@ -163,17 +168,18 @@ def reflow(x: Column | str) -> Column:
     return F.array_join(F.filter(folded, lambda p: p != ""), "\n")
 
 
+#: Lines of a journal's frame, and lines that say how to reach someone; on text without accents and case.
+BOILERPLATE = r"^\d{1,4}$|^(trang|page)\s*\d+|issn|\bdoi\b|^(ngay nhan bai|ngay duyet|received|accepted)|^(tap chi|journal)\b.*\d|^https?://|@|^(bien tap|thu ky toa soan|lien he)\b"
+CONTACT = r"(hotline|tong dai|so dien thoai|lien he|dia chi|website|email|fanpage)|(^|\D)0\d{2,3}[ .]?\d{3}[ .]?\d{3,4}(\D|$)"
+
+
 def boilerplate(line: Column | str) -> Column:
     """Lines of a journal's frame: page numbers, identifiers, dates of receipt, addresses, issue lines."""
-    low = no_accents(fold(F.trim(_c(line))))
-    return low.rlike(
-        r"^\d{1,4}$|^(trang|page)\s*\d+|issn|\bdoi\b|^(ngay nhan bai|ngay duyet|received|accepted)|^(tap chi|journal)\b.*\d|^https?://|@|^(bien tap|thu ky toa soan|lien he)\b"
-    )
+    return no_accents(fold(F.trim(_c(line)))).rlike(BOILERPLATE)
 
 
 def contact(line: Column | str) -> Column:
-    low = no_accents(fold(_c(line)))
-    return low.rlike(r"(hotline|tong dai|so dien thoai|lien he|dia chi|website|email|fanpage)|(^|\D)0\d{2,3}[ .]?\d{3}[ .]?\d{3,4}(\D|$)")
+    return no_accents(fold(_c(line))).rlike(CONTACT)
 
 
 def sanitised(x: Column | str) -> Column:

@@ -133,13 +133,13 @@ def merged_sources(ai: DataFrame, found: DataFrame) -> DataFrame:
     return both.groupBy("key", "start", "end").agg(top, F.array_join(F.sort_array(F.collect_set("source")), "+").alias("source")).select("key", "start", "end", "m.text", "m.code", "m.category", "source")
 
 
-def symptom_or_disease(text: Column, before: Column, diseases: list[str], symptoms: list[str]) -> Column:
-    """struct(label, confidence, by): lexicon, then the words before, then the form of the term, else symptom at one half."""
+def symptom_or_disease(text: Column, before: Column, lexicon: Column) -> Column:
+    """struct(label, confidence, by): lexicon (DISEASE, SYMPTOM or null for the term), then the words before, then the form of the term, else symptom at one half."""
     t, b = T.no_accents(T.fold(text)), T.no_accents(T.fold(before))
     pick = lambda label, conf, by: F.struct(F.lit(label).alias("label"), F.lit(conf).alias("confidence"), F.lit(by).alias("by"))
     return (
-        F.when(t.isin(*diseases), pick("DISEASE", 0.99, "lexicon"))
-        .when(t.isin(*symptoms), pick("SYMPTOM", 0.99, "lexicon"))
+        F.when(lexicon == "DISEASE", pick("DISEASE", 0.99, "lexicon"))
+        .when(lexicon == "SYMPTOM", pick("SYMPTOM", 0.99, "lexicon"))
         .when(b.rlike(r"(trieu chung|dau hieu|bieu hien)\W*(\w+\W+){0,4}$"), pick("SYMPTOM", 0.85, "context"))
         .when(b.rlike(r"(chan doan|mac|benh|dieu tri)\W*(\w+\W+){0,3}$"), pick("DISEASE", 0.8, "context"))
         .when(t.rlike(r"^(benh|viem|ung thu|hoi chung|suy|u) "), pick("DISEASE", 0.75, "pattern"))

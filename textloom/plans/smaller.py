@@ -9,7 +9,7 @@ from textloom.operators import bio as B, dictionary as D, relational as R, spans
 from textloom.plans.annotation import _GOLD, _SYS, expert_spans, system_spans
 from textloom.plans.registry import query
 from textloom.plans.review import _SQL_DECIDED, decided
-from textloom.plans.views import SQL_ARTICLES, SQL_DICTIONARY, articles, dictionary, marks, rows, sql_marks
+from textloom.plans.views import SQL_ARTICLES, SQL_DICTIONARY, articles, dictionary, marks, rows, sql_marks, sql_placed
 
 _R = "(select distinct * from expert_reviews)"
 _J = "(select distinct * from reviewer_adjudications)"
@@ -155,7 +155,7 @@ def dictionary_counts(spark, folder):
 
 @query()
 def aliases(spark, folder):
-    """Terms with their safe aliases, and whether they are written in capitals only."""
+    """Terms with their safe aliases, and whether they are written in capitals only."""
     a = D.with_aliases(dictionary(spark, folder).select("term", "code", "category"))
     return a.withColumn("capitals", T.all_capitals("term"))
 
@@ -169,10 +169,12 @@ def first_codes(spark, folder):
 
 @query()
 def classified_terms(spark, folder):
-    """Symptom or disease by lexicon, words before, form."""
-    j = system_spans(spark, folder).filter("category in ('DISEASE', 'SYMPTOM')").join(articles(spark, folder, "abstract").filter("abstract is not null"), "doc_id")
+    """Symptom or disease by lexicon (terms that the reviews' original labels call by one of the two only), words before, form."""
+    m = system_spans(spark, folder).filter("category in ('DISEASE', 'SYMPTOM')")
+    known = m.groupBy(F.lower("text").alias("known")).agg(F.min("category").alias("lo"), F.max("category").alias("hi"), F.countDistinct("doc_id").alias("n")).filter("lo = hi and n >= 3").select("known", F.col("lo").alias("lexicon"))
+    j = m.join(articles(spark, folder, "abstract").filter("abstract is not null"), "doc_id").join(known, F.lower("text") == F.col("known"), "left")
     before = F.substring("abstract", F.greatest(F.lit(1), F.col("start") - 79), F.least(F.col("start"), F.lit(80)))
-    return j.select("doc_id", "start", "text", "category", D.symptom_or_disease(F.col("text"), before, ["viem gan b", "ung thu"], ["sot", "ho khan"]).alias("c")).select("doc_id", "start", "text", "category", "c.*")
+    return j.select("doc_id", "start", "text", "category", D.symptom_or_disease(F.col("text"), before, F.col("lexicon")).alias("c")).select("doc_id", "start", "text", "category", "c.*")
 
 
 @query(f"""select document_id as doc_id, count(*) as fresh from (select distinct document_id, lower(m.text) t from (select document_id, unnest({sql_marks("annotations_json")}) m from {_R}) where upper(trim(m.action)) = 'ADD') x where not exists (select 1 from {SQL_DICTIONARY} d where d.term = x.t) group by 1""")
@@ -191,12 +193,19 @@ def long_terms(spark, folder):
 
 @query()
 def augmented_texts(spark, folder):
-    """A gold span of each abstract replaced by another term of its label, the rest shifted; fits says whether all spans still stand."""
+    """In each abstract the first gold span with a synonym (another term of its code in the dictionary) replaced by it, the rest shifted; fits
+    says whether all spans still stand."""
+    d = dictionary(spark, folder)
+    synonyms = d.groupBy("code").agg(F.sort_array(F.collect_set("term")).alias("terms")).filter("size(terms) > 1")  # bounded by the terms of a code
+    own = d.join(synonyms, "code").select("term", F.get(F.filter("terms", lambda t: t != F.col("term")), F.lit(0)).alias("other"))
     g = expert_spans(spark, folder).join(articles(spark, folder, "abstract").filter("abstract is not null"), "doc_id")
     g = g.filter("end <= length(abstract)").withColumn("text", F.substring("abstract", F.col("start") + 1, F.col("end") - F.col("start")))
-    sets = g.groupBy("doc_id").agg(F.max("abstract").alias("abstract"), F.sort_array(F.collect_list(F.struct("start", "end", "label", "text"))).alias("s"))
+    g = g.join(own, F.lower("text") == F.col("term"), "left")
+    sets = g.groupBy("doc_id").agg(F.max("abstract").alias("abstract"), F.sort_array(F.collect_list(F.struct("start", "end", "label", "text", "other"))).alias("s"))
+    at = F.array_position(F.transform("s", lambda x: x["other"].isNotNull()), True).cast("int")
+    sets = sets.withColumn("at", at).filter("at > 0")
     spans = F.transform("s", lambda x: F.struct(x["text"].alias("text"), x["label"].alias("label"), x["start"].alias("start"), x["end"].alias("end")))
-    made = sets.select("doc_id", B.replaced_span(F.col("abstract"), spans, F.lit(1), F.lit("một thuật ngữ khác")).alias("r"))
+    made = sets.select("doc_id", B.replaced_span(F.col("abstract"), spans, F.col("at"), F.element_at("s", F.col("at"))["other"]).alias("r"))
     fits = F.forall("r.spans", lambda x: F.substring(F.col("r.text"), x["start"] + 1, x["end"] - x["start"]) == x["text"])
     return made.select("doc_id", "r.text", fits.alias("fits"))
 
@@ -244,7 +253,7 @@ def previews(spark, folder):
     return rows(spark, folder, "article_section", "section_id", "content").filter("content is not null").select("section_id", F.substring(F.trim("content"), 1, 300).alias("preview"))
 
 
-@query()
+@query("""select doc_id, s as start, e as "end", true as fits from """ + sql_placed(f"(select distinct doc_id, abstract from {SQL_ARTICLES} where abstract is not null)", "doc_id", "abstract", r"[^.!?\n]+(?:[.!?]+|\n|$)|[.!?\n]+"))
 def sentence_bounds(spark, folder):
     """Sentences with offsets; fits says whether the text stands there."""
     a = articles(spark, folder, "abstract").filter("abstract is not null")
@@ -309,7 +318,8 @@ def filtered_spans(spark, folder):
     return p.groupBy("label", (F.col("start") % 5 == 0).alias("fifth")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""select doc_id, 'Text: ' || any_value(abstract) || chr(10) || 'Labels: ' || string_agg(distinct label || ': ' || substring(abstract, s + 1, e - s), '; ' order by label || ': ' || substring(abstract, s + 1, e - s)) as example
+from {_GOLD} join (select distinct doc_id, abstract from {SQL_ARTICLES} where abstract is not null) using (doc_id) group by 1 order by 1 limit 10""")
 def prompt_examples(spark, folder):
     """The first ten adjudicated abstracts with their labels as examples (the limit is the feature)."""
     g = expert_spans(spark, folder).join(articles(spark, folder, "abstract").filter("abstract is not null"), "doc_id")

@@ -18,7 +18,7 @@ def section_types(spark, folder):
     return s.withColumn("found", P.section_type(F.col("heading"))).select("heading", "canonical_type", "n", F.col("found.type").alias("found_type"), "found.confidence")
 
 
-@query(f"""with recursive t(ancestor, section_id, depth) as (select section_id, section_id, 0 from {_S} union all select t.ancestor, s.section_id, t.depth + 1 from t join {_S} s on s.parent_id = t.section_id where t.depth < 8)
+@query(f"""with recursive t(ancestor, section_id, depth) as (select section_id, section_id, 0 from {_S} union all select t.ancestor, s.section_id, t.depth + 1 from t join {_S} s on s.parent_id = t.section_id where t.depth < 64)
 select ancestor, count(*) as sections, cast(sum(coalesce(length(content), 0)) as bigint) as characters, max(depth) as depth from t join {_S} s using (section_id) group by 1""")
 def section_rollup(spark, folder):
     """Size of each section with all below it."""

@@ -138,11 +138,16 @@ def composed_titles(spark, folder):
     return articles(spark, folder, "title").filter("title is not null").select("doc_id", T.nfc("title").alias("composed")).withColumn("n", F.length("composed").cast("long"))
 
 
-@query()
+_STOP = "và của các những được với trong khi cho này tại hơn theo bị đến là có ở một không như".split()
+_STOPS = "[" + ", ".join(f"'{w}'" for w in _STOP) + "]"
+
+
+@query(f"""select phrase, count(*) as n from (select distinct doc_id, array_to_string(ws[i:i+n-1], ' ') as phrase, ws[i] as first, ws[i+n-1] as last
+from (select doc_id, regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}\\p{{M}}]+') as ws from {SQL_ARTICLES}), unnest(range(1, len(ws) + 1)) a(i), unnest([2, 3, 4]) b(n) where i + n - 1 <= len(ws))
+where not regexp_matches(phrase, '\\d') and not list_contains({_STOPS}, first) and not list_contains({_STOPS}, last) group by 1 having count(*) >= 3""")
 def noun_phrases(spark, folder):
     """Word windows of titles without stop words at their ends."""
-    stop = "và của các những được với trong khi cho này tại hơn theo bị đến là có ở một không như".split()
-    p = articles(spark, folder).select(F.explode(T.noun_phrases("title", stop)).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n"))
+    p = articles(spark, folder).select(F.explode(T.noun_phrases("title", _STOP)).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n"))
     return p.filter("n >= 3")
 
 
@@ -160,8 +165,11 @@ def titles_of_files(spark, folder):
     return articles(spark, folder).filter("source_pdf is not null").select("source_pdf", T.titled("source_pdf").alias("title"))
 
 
-@query(rf"""select upper(left(s, 1)) as initial, count(*) as n from (select unnest(list_filter(list_transform(string_split(content, chr(10)), lambda x: trim(x)), lambda x: regexp_matches(x, '^\d{{1,4}}$') or contains(x, '@'))) s from {_S}) group by 1""")
+_FLAT = _plain("lower(s)")
+
+
+@query(f"""select regexp_matches({_FLAT}, '{T.BOILERPLATE}') as frame, regexp_matches({_FLAT}, '{T.CONTACT}') as contact, count(*) as n from (select trim(s) as s from (select unnest(string_split(content, chr(10))) as s from {_S})) where s <> '' group by all""")
 def frame_lines(spark, folder):
-    """lines that are page numbers or addresses."""
-    lines = rows(spark, folder, "article_section").select(F.explode(F.split("content", "\n")).alias("s")).select(F.trim("s").alias("s"))
-    return lines.filter(F.col("s").rlike(r"^\d{1,4}$") | F.col("s").contains("@")).groupBy(F.upper(F.substring("s", 1, 1)).alias("initial")).agg(F.count("*").alias("n"))
+    """lines of the journal's frame and contact lines."""
+    lines = rows(spark, folder, "article_section").select(F.explode(F.split("content", "\n")).alias("s")).select(F.trim("s").alias("s")).filter("s != ''")
+    return lines.groupBy(T.boilerplate("s").alias("frame"), T.contact("s").alias("contact")).agg(F.count("*").alias("n"))

@@ -60,3 +60,15 @@ def sql_ngrams(source: str, key: str, column: str, most: int | str | None = None
     most = f"(select max(len(string_split(term, ' '))) from {SQL_DICTIONARY})" if most is None else most
     return f"""(select {key}, i, n, array_to_string(ws[i:i+n-1], ' ') k
       from (select {key}, regexp_extract_all(lower({column}), {SQL_WORDS}) ws from {source}), unnest(range(1, len(ws) + 1)) a(i), unnest(range(1, {most} + 1)) b(n) where i + n - 1 <= len(ws))"""
+
+
+def sql_placed(source: str, key: str, column: str, pattern: str, gap: str | None = None) -> str:
+    """(key, pos, word, s, e): the matches of a pattern in a column with their offsets, which are sums of the lengths of matches and gaps."""
+    parts, kept = (pattern, "true") if gap is None else (f"(?:{pattern})|{gap}", f"not regexp_matches(p, '^{gap}')")
+    return f"""(select {key}, row_number() over (partition by {key} order by i) - 1 as pos, p as word, cast(at_ as int) as s, cast(at_ + length(p) as int) as e from
+      (select {key}, i, p, coalesce(sum(length(p)) over (partition by {key} order by i rows between unbounded preceding and 1 preceding), 0) as at_
+       from (select {key}, generate_subscripts(ps, 1) as i, unnest(ps) as p from (select {key}, regexp_extract_all({column}, '{parts}') as ps from {source}))) where {kept})"""
+
+
+SQL_PLAIN = r"[\p{L}\p{N}\p{M}_]+|[^\p{L}\p{N}\p{M}_ \t\n\x0b\f\r]"
+SQL_BLANK = r"[ \t\n\x0b\f\r]+"
