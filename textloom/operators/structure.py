@@ -112,6 +112,18 @@ def descendants(sections: DataFrame, depth: int = 64) -> DataFrame:
     return reduce(DataFrame.unionByName, levels)
 
 
+def grounded(candidates: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(doc_id, name, block, last, n, text) of proposed sections (doc_id, name, block, evidence) over blocks (doc_id, block, text): a proposal holds
+    where its evidence stands in the block it names, blind to case, accents and signs; it reaches to the block before the next that holds, and its
+    text is that of its blocks. Proposals without evidence in their block are dropped; of several for one block the first by name holds."""
+    shown = candidates.join(blocks, ["doc_id", "block"]).filter(T.supported("evidence", "text")).groupBy("doc_id", "block").agg(F.min("name").alias("name"))
+    own = Window.partitionBy("doc_id").orderBy("block")
+    bounds = shown.withColumn("until", F.lead("block").over(own))
+    inside = bounds.join(blocks.select("doc_id", F.col("block").alias("b"), "text"), "doc_id").filter("b >= block and (until is null or b < until)")
+    out = inside.groupBy("doc_id", "name", "block").agg(F.max("b").alias("last"), F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("b", "text"))).alias("t"))
+    return out.select("doc_id", "name", "block", "last", "n", F.array_join(F.transform("t", lambda x: x["text"]), "\n").alias("text"))
+
+
 def reading_order(blocks: DataFrame, key: list[str], width: str = "page_width") -> DataFrame:
     """blocks (key..., x0, y0, x1, y1, page_width) with ord: blocks as wide as the page part it into regions; in a region the left column first."""
     full = (F.col("x1") - F.col("x0")) >= 0.6 * F.col(width)

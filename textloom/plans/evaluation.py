@@ -95,7 +95,17 @@ def label_errors(spark, folder):
     return E.errors(_pred(spark, folder), _gold(spark, folder), ["doc_id"], one_to_one=False).filter("error_type = 'LABEL'").groupBy("error_type").agg(F.count("*").alias("n"))
 
 
-@query()
+_IDENT = "cast(s * 100000 + e * 10 + list_position(['DISEASE','SYMPTOM','CAUSE','DIAGNOSTIC','TREATMENT'], label) as bigint)"
+_ONE = """list_reduce(list_concat([[]::struct(l bigint, r bigint, kind varchar, label varchar)[]], list_transform(o, lambda x: [x])), lambda acc, x: case when len(list_filter(acc, lambda k: k.l = x[1].l or k.r = x[1].r)) > 0 then acc else list_concat(acc, x) end)"""
+_ERRORS = f"""with p as (select *, {_IDENT} as id from {_P}), g as (select *, {_IDENT} as id from {_GOLD}),
+lp as (select * from p where (doc_id, s, e, label) not in (select (doc_id, s, e, label) from g)), lg as (select * from g where (doc_id, s, e, label) not in (select (doc_id, s, e, label) from p)),
+j as (select lp.doc_id, lp.id as l, lg.id as r, lg.label as label, case when lp.s = lg.s and lp.e = lg.e then 'LABEL' when lp.label = lg.label then 'BOUNDARY' else 'LABEL_BOUNDARY' end as kind,
+ case when lp.s = lg.s and lp.e = lg.e then 2.0 when lp.label = lg.label then 1.0 else 0.0 end + ((least(lp.e, lg.e) - greatest(lp.s, lg.s)) / (greatest(lp.e, lg.e) - least(lp.s, lg.s))) / 2 as score from lp join lg on lp.doc_id = lg.doc_id and lp.s < lg.e and lg.s < lp.e),
+o as (select doc_id, list(struct_pack(l := l, r := r, kind := kind, label := label) order by score desc, l desc, r desc) as o from j group by 1),
+m as (select doc_id, unnest({_ONE}) as m from o), errors as (select m.m.kind as kind, m.m.label as label from m union all select 'FALSE_POSITIVE', label from lp where (doc_id, id) not in (select (doc_id, m.l) from m) union all select 'FALSE_NEGATIVE', label from lg where (doc_id, id) not in (select (doc_id, m.r) from m))"""
+
+
+@query(f"{_ERRORS} select 'original' as system, kind as error_type, label, count(*) as n from errors group by 2, 3")
 def error_classes(spark, folder):
     """Each error once, by system, type and label."""
     p, g = _sides(spark, folder)
@@ -104,6 +114,17 @@ def error_classes(spark, folder):
     return e.groupBy(F.lit("original").alias("system"), "error_type", F.coalesce("gl", "pl").alias("label")).agg(F.count("*").alias("n"))
 
 
+# Names of error kinds in reports.
+KINDS = {"LABEL": "sai_nhan", "BOUNDARY": "sai_bien", "LABEL_BOUNDARY": "sai_nhan", "FALSE_POSITIVE": "nhan_du", "FALSE_NEGATIVE": "bo_sot"}
+
+
+@query(f"{_ERRORS} select case kind when 'BOUNDARY' then 'sai_bien' when 'FALSE_POSITIVE' then 'nhan_du' when 'FALSE_NEGATIVE' then 'bo_sot' else 'sai_nhan' end as kind, count(*) as n from errors group by 1")
+def error_kinds(spark, folder):
+    """Errors in four kinds: label, bounds, surplus, omission."""
+    kind = F.element_at(F.create_map(*(F.lit(x) for pair in KINDS.items() for x in pair)), F.col("error_type"))
+    return error_classes(spark, folder).groupBy(kind.alias("kind")).agg(F.sum("n").alias("n"))
+
+
 def _patterns(spark, folder):
     p, g = _sides(spark, folder)
     e = E.errors(p, g, ["doc_id"])

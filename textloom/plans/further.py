@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from textloom.functions import text as T
-from textloom.operators import bio as B, dictionary as D, relational as R, spans as S
+from textloom.operators import bio as B, dictionary as D, relational as R, spans as S, structure as P
 from textloom.plans.annotation import _FOLD, _GOLD, _SYS, expert_spans, system_spans
 from textloom.plans.registry import query
 from textloom.plans.review import _SQL_DECIDED, decided
@@ -69,12 +69,18 @@ def model_differences(spark, folder):
 _RATE = lambda n, d: f"case when {d} > 0 then {n} / {d} else 0 end"
 
 
-@query(f"""with g as (select * from {_GOLD}), a as (select d doc_id, s, e, c label from {_sql_source("ai")} where d in (select doc_id from g)), b as (select d doc_id, s, e, c label from {_sql_source("icd10")} where d in (select doc_id from g)),
+def _sql_deltas(docs: str) -> str:
+    return f"""with g as (select * from {_GOLD} where doc_id in ({docs})), a as (select d doc_id, s, e, c label from {_sql_source("ai")} where d in (select doc_id from g)), b as (select d doc_id, s, e, c label from {_sql_source("icd10")} where d in (select doc_id from g)),
 t as (select (select count(*) from g) as g, (select count(*) from a) as na, (select count(*) from b) as nb, (select count(*) from a join g using (doc_id, s, e, label)) as ta, (select count(*) from b join g using (doc_id, s, e, label)) as tb)
-select round(100 * ({_RATE("tb", "nb")} - {_RATE("ta", "na")}), 4) as precision_pp, round(100 * ({_RATE("tb", "g")} - {_RATE("ta", "g")}), 4) as recall_pp, round(100 * ({_RATE("2 * tb", "(nb + g)")} - {_RATE("2 * ta", "(na + g)")}), 4) as f1_pp from t""")
-def source_deltas(spark, folder):
+select round(100 * ({_RATE("tb", "nb")} - {_RATE("ta", "na")}), 4) as precision_pp, round(100 * ({_RATE("tb", "g")} - {_RATE("ta", "g")}), 4) as recall_pp, round(100 * ({_RATE("2 * tb", "(nb + g)")} - {_RATE("2 * ta", "(na + g)")}), 4) as f1_pp from t"""
+
+
+@query(_sql_deltas(f"select doc_id from {_GOLD}"))
+def source_deltas(spark, folder, first: int | None = None):
     """Precision, recall and F1 of two sources against gold, in points of difference."""
     g = expert_spans(spark, folder)
+    if first:
+        g = g.join(g.select("doc_id").distinct().orderBy("doc_id").limit(first), "doc_id", "left_semi")
     docs, keys = g.select("doc_id").distinct(), ["doc_id", "start", "end", "label"]
 
     def counts(name):
@@ -93,6 +99,12 @@ def source_deltas(spark, folder):
     )
 
 
+@query(_sql_deltas(f"select distinct doc_id from {_GOLD} order by 1 limit 100"))
+def first_hundred_deltas(spark, folder):
+    """The same over the first hundred documents with gold (the limit is the feature)."""
+    return source_deltas(spark, folder, 100)
+
+
 @query(f"""with p as (select document_id, sha256(original_labels_json) k, max(id) as parent_id from {_R} where created_at < timestamp '2023-01-01' and original_labels_json is not null and json_valid(annotations_json) group by 1, 2)
 select r.id, p.parent_id from {_R} r join p on p.document_id = r.document_id and p.k = sha256(r.original_labels_json) where r.created_at >= timestamp '2023-01-01'""")
 def inherited_results(spark, folder):
@@ -350,3 +362,27 @@ regexp_replace(trim(regexp_replace(regexp_replace(term, '\s*\([^()]*\)', ' ', 'g
 def term_names(spark, folder):
     """The safe names of each term."""
     return dictionary(spark, folder).select("term", F.sort_array(T.aliases_of("term")).alias("names"))
+
+
+_BLOCKS = f"(select doc_id, ord as block, coalesce(heading, '') || ' ' || coalesce(content, '') as text from {_S})"
+_COMPACT = "regexp_replace(replace(strip_accents(lower({})), 'đ', 'd'), '[^a-z0-9]+', '', 'g')"
+
+
+@query(f"""with c as (select s.doc_id, s.ord as block, min(coalesce(canonical_type, 'OTHER')) as name from {_S} s join {_BLOCKS} b on b.doc_id = s.doc_id and b.block = s.ord
+where heading is not null and length({_COMPACT.format("heading")}) >= 3 and contains({_COMPACT.format("b.text")}, {_COMPACT.format("heading")}) group by 1, 2),
+n as (select *, lead(block) over (partition by doc_id order by block) as until from c)
+select n.doc_id, n.name, n.block, max(b.block) as last, count(*) as n, sum(length(b.text)) + count(*) - 1 as characters from n join {_BLOCKS} b on b.doc_id = n.doc_id and b.block >= n.block and (n.until is null or b.block < n.until) group by 1, 2, 3""")
+def grounded_sections(spark, folder):
+    """Proposed sections (headings and types of the tables) held against the blocks they name, with the text they reach over."""
+    s = rows(spark, folder, "article_section", "section_id", "doc_id", "ord", "heading", "canonical_type", "content")
+    blocks = s.select("doc_id", F.col("ord").alias("block"), F.concat(F.coalesce("heading", F.lit("")), F.lit(" "), F.coalesce("content", F.lit(""))).alias("text"))
+    proposed = s.filter("heading is not null").select("doc_id", F.coalesce("canonical_type", F.lit("OTHER")).alias("name"), F.col("ord").alias("block"), F.col("heading").alias("evidence"))
+    return P.grounded(proposed, blocks).select("doc_id", "name", "block", "last", "n", F.length("text").cast("long").alias("characters"))
+
+
+@query(f"""select section_id from {_S} s where ord >= coalesce((select min(ord) from {_S} f where f.doc_id = s.doc_id and canonical_type in ('ABSTRACT', 'INTRODUCTION')), ord)""")
+def trimmed_fronts(spark, folder):
+    """Sections from an article's front on: what stands before its abstract or introduction goes, where it has one."""
+    s = rows(spark, folder, "article_section", "section_id", "doc_id", "ord", "canonical_type")
+    front = s.filter("canonical_type in ('ABSTRACT', 'INTRODUCTION')").groupBy("doc_id").agg(F.min("ord").alias("front"))
+    return s.join(front, "doc_id", "left").filter("front is null or ord >= front").select("section_id")
