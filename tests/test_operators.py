@@ -228,3 +228,10 @@ def test_tone_pairs(spark):
     pairs = _tone_pairs()
     assert len(pairs) == 60 and pairs["òa"] == "oà" and pairs["ỤY"] == "UỴ" and pairs["Ủa"] == "Uả" and pairs["ọe"] == "oẹ"
     assert one(spark, T.tone_placement(F.lit("THỦY, Òa, mùa"))) == "THUỶ, Oà, muà"
+
+
+def test_each_file_of_a_dictionary_has_its_own_header(spark, tmp_path):
+    for i in range(2):
+        (tmp_path / f"d{i}.csv").write_text(f"sheet {i}\nnote\ncode,name\nA0{i},Bệnh {i}\nB0{i},\"Sốt, ho\"\n", encoding="utf-8")
+    df = files.read_dictionary(spark, str(tmp_path), ["code", "name"], header_row=3)
+    assert sorted(map(tuple, df.collect())) == [("A00", "Bệnh 0"), ("A01", "Bệnh 1"), ("B00", "Sốt, ho"), ("B01", "Sốt, ho")]

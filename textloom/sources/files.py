@@ -119,14 +119,16 @@ def unprocessed(files: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def read_dictionary(spark: SparkSession, path: str, required: list[str], header_row: int = 1) -> DataFrame:
-    """A dictionary sheet as CSV, all columns strings; header_row counts from 1. Missing columns raise."""
+    """A dictionary sheet as CSV, all columns strings; header_row counts from 1
+    in each file (beyond 1, cells stay on their line). Missing columns raise."""
     if header_row == 1:
         df = spark.read.option("header", True).option("inferSchema", False).option("multiLine", True).csv(path)
-    else:
-        names = [c.strip() for c in spark.read.text(path).limit(header_row).collect()[-1].value.split(",")]
-        raw = spark.read.option("header", False).csv(path, schema=", ".join(f"`{n}` string" for n in names))
-        seen = raw.withColumn("__n", F.monotonically_increasing_id()).filter(F.col("__n") >= header_row)
-        df = seen.drop("__n")
+    else:  # the rows before the header stand in each file
+        sheets = spark.read.option("wholetext", True).text(path).select(F.split("value", r"\r?\n", -1).alias("rows"))
+        names = [c.strip() for c in sheets.select(F.get("rows", F.lit(header_row - 1)).alias("h")).first().h.split(",")]
+        below = F.expr(f"slice(rows, {header_row + 1}, greatest(size(rows) - {header_row}, 0))")
+        rows = sheets.select(F.explode(below).alias("row")).filter("length(trim(row)) > 0")
+        df = rows.select(F.from_csv("row", ", ".join(f"`{n}` string" for n in names)).alias("r")).select("r.*")
     if lacking := [c for c in required if c not in df.columns]:
         raise ValueError(f"columns are missing: {', '.join(lacking)}")
     return df
@@ -141,7 +143,7 @@ def wrapped_rows(df: DataFrame, order: str, code: str, text: str, pattern: str =
 
 
 def write_manifest(path: str, version: str, artefacts: dict[str, str]) -> dict:
-    """A manifest with digest, size and version of local files, put in place at once."""
+    """A manifest with digest, size and version of local files, put in place at once."""
     made = {"version": version, "artefacts": {}}
     for name, file in artefacts.items():
         with open(file, "rb") as f:

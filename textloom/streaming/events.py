@@ -41,6 +41,9 @@ def run_upsert(stream: DataFrame, target: str, checkpoint: str, keys: list[str],
             old = spark.read.parquet(f"{target}/v={number - 1}")
             new = R.latest(old.unionByName(new), keys, order).select(*batch.columns)
         new.write.mode("overwrite").parquet(f"{target}/v={number}")
+        if number > 1:  # the version before stays, for a batch that is run again
+            old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/v={number - 2}")
+            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
         made.append(f"v={number}")
 
     query = stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
