@@ -124,7 +124,7 @@ def read_dictionary(spark: SparkSession, path: str, required: list[str], header_
     if header_row == 1:
         df = spark.read.option("header", True).option("inferSchema", False).option("multiLine", True).csv(path)
     else:  # the rows before the header stand in each file
-        sheets = spark.read.option("wholetext", True).text(path).select(F.split("value", r"\r?\n", -1).alias("rows"))
+        sheets = spark.read.text(path, wholetext=True).select(F.split("value", r"\r?\n", -1).alias("rows"))
         names = [c.strip() for c in sheets.select(F.get("rows", F.lit(header_row - 1)).alias("h")).first().h.split(",")]
         below = F.expr(f"slice(rows, {header_row + 1}, greatest(size(rows) - {header_row}, 0))")
         rows = sheets.select(F.explode(below).alias("row")).filter("length(trim(row)) > 0")
