@@ -158,3 +158,26 @@ def test_hot_shingles_are_split_and_nothing_is_lost(spark, monkeypatch):
     parts = neardup.routed(rows, links_again, 4, 0.5).repartitionById(4, neardup.F.col("part"))
     split = {tuple(r) for r in neardup.verified(neardup.candidates(parts, 0.5), rows, 0.5).select("a", "b").collect()}
     assert split == whole
+
+
+@pytest.mark.parametrize("rows", [40, 700])
+def test_leaves_are_compared_as_tables_and_lose_no_pair(rows):
+    """All similar pairs of a hot shingle are found, and the pairs of large leaves are not tested one by one."""
+    import numpy as np
+
+    rng = np.random.default_rng(rows)
+    base = [rng.integers(1, 2**32, 130, dtype=np.uint64) for _ in range(rows // 4)]
+    sets = [np.unique(np.concatenate([[0], rng.choice(base[i % len(base)], rng.integers(60, 130), replace=False)])) for i in range(rows)]
+    n = np.array([len(s) for s in sets])
+    bits = np.zeros((rows, neardup.BITS), dtype=bool)
+    for i, s in enumerate(sets):
+        bits[i, (s % neardup.BITS).astype(int)] = True
+    order = np.argsort(n, kind="stable")
+    trees = neardup.SignatureTrees(np.zeros(rows, dtype=np.int64), n[order], np.zeros(rows, dtype=np.int64), order, np.packbits(bits, axis=1).view(np.uint64), 0.5)
+    tested, real = [0], trees.possible
+    trees.possible = lambda level, a, b: (tested.append(len(a) if level == 0 else 0), real(level, a, b))[1]
+    found = {tuple(sorted((order[a], order[b]))) for x, y in trees.pairs() for a, b in zip(x, y)}
+    alike = lambda a, b: 2 * (both := len(np.intersect1d(a, b))) >= len(a) + len(b) - both
+    want = {(i, j) for i in range(rows) for j in range(i + 1, rows) if alike(sets[i], sets[j])}
+    assert want <= found and len(want) > 20
+    assert rows < 100 or sum(tested) < rows * rows / 20

@@ -23,10 +23,14 @@ WORDS = 3  # of a shingle
 SKETCH_BITS, CHUNKS = 20, 16  # counters of the sketch: 4 MB, whatever the corpus
 BITS = 512  # of a record's bitmap
 FAN = 8  # children of a tree node
+LEAF = 64  # records of a leaf
+DENSE = 2048  # record pairs of a leaf with its partners from which they are compared as one table
+COLUMNS = 512  # of such a table at once
+SLABS = 16  # of ranks by size, in which a tree's records are ordered, so that leaves have narrow ranges of ranks
 PART_TOKENS = 2_000_000  # prefix shingles of a part, about
 HOT = 50_000  # records of one tree, about: a shingle of more is cut into blocks of records, one tree for each two blocks
 SEEN = 1_000_000  # digests a task remembers to leave out copies early
-FRONTIER = 1 << 20  # node pairs tested at once
+FRONTIER = 1 << 18  # node pairs tested at once
 BROADCAST_ROWS = 1_000_000  # candidates up to which they are sent to all executors
 
 _word = re.compile(r"[^\W_]+")
@@ -176,20 +180,22 @@ def routed(rows: DataFrame, counts, parts: int, t: float) -> DataFrame:
 
 
 class SignatureTrees:
-    """The trees of all shingles of a part, level by level; level 0 are records (with rank pos), sorted by shingle and size."""
+    """The trees of all shingles of a part, level by level; level 0 are records (with rank pos), in order of shingle, slab of ranks and size,
+    level 1 are leaves of LEAF records. Pairs of leaves that may hold similar records are compared as tables of bitmaps."""
 
     def __init__(self, tree: np.ndarray, n: np.ndarray, pos: np.ndarray, row: np.ndarray, bits: np.ndarray, t: float):
         self.t, self.share = t, t / (1 + t)
         excess = n - np.bitwise_count(bits[row]).sum(axis=1, dtype=np.int64) if len(row) else n
         self.levels = [(tree, n, n, pos, excess, row)]
+        self.reach = np.floor(np.minimum(n / t, (n - pos) / self.share - n) + 1e-6)  # size of the largest partner that size and rank allow
         self.bits, self.starts = [bits], []
         while True:
             tree, low, high, pos, excess, row = self.levels[-1]
             rank = np.arange(len(tree)) - np.searchsorted(tree, tree)
-            starts = np.flatnonzero(rank % FAN == 0)
-            if len(starts) == len(tree):
+            starts = np.flatnonzero(rank % (FAN if self.starts else LEAF) == 0)
+            if self.starts and len(starts) == len(tree):
                 break
-            own = self.bits[-1] if len(self.levels) > 1 else self.bits[0][row]
+            own = self.bits[-1] if self.starts else self.bits[0][row]
             self.starts.append(starts)
             self.bits.append(np.bitwise_or.reduceat(own, starts))
             self.levels.append((tree[starts], np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts), np.minimum.reduceat(pos, starts), np.maximum.reduceat(excess, starts), None))
@@ -213,27 +219,73 @@ class SignatureTrees:
         tree = self.levels[top][0]
         yield from self._down(top, np.arange(len(tree)), np.arange(len(tree)))
 
+    def _below(self, level: int, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs of children of node pairs, each once."""
+        starts = self.starts[level - 1]
+        ends = np.append(starts[1:], len(self.levels[level - 1][0]))
+        nx, ny = ends[x] - starts[x], ends[y] - starts[y]
+        reps = nx * ny
+        which = np.repeat(np.arange(len(x)), reps)
+        k = np.arange(len(which)) - np.repeat(np.cumsum(reps) - reps, reps)
+        a, b = starts[x][which] + k // ny[which], starts[y][which] + k % ny[which]
+        half = (x[which] != y[which]) | (a <= b)
+        return a[half], b[half]
+
     def _down(self, level: int, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        size = FRONTIER // FAN**2 if level else FRONTIER
+        size = FRONTIER // FAN**2
         for at in range(0, len(a), size):
             x, y = a[at : at + size], b[at : at + size]
-            if not level:
-                differ = x != y
-                x, y = x[differ], y[differ]
-                ok = self.possible(0, x, y)
-                yield x[ok], y[ok]
-                continue
             ok = (x == y) | self.possible(level, x, y)
             x, y = x[ok], y[ok]
-            starts, below = self.starts[level - 1], len(self.levels[level - 1][0])
-            ends = np.append(starts[1:], below)
-            nx, ny = ends[x] - starts[x], ends[y] - starts[y]
-            reps = nx * ny
-            which = np.repeat(np.arange(len(x)), reps)
-            k = np.arange(len(which)) - np.repeat(np.cumsum(reps) - reps, reps)
-            ca, cb = starts[x][which] + k // ny[which], starts[y][which] + k % ny[which]
-            half = (x[which] != y[which]) | (ca <= cb)  # a node with itself: each pair of children once
-            yield from self._down(level - 1, ca[half], cb[half])
+            if level > 1:
+                yield from self._down(level - 1, *self._below(level, x, y))
+            elif len(x):
+                yield self._leaves(x, y)
+
+    def _leaves(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The record pairs that may be similar of leaf pairs: a leaf with its partners as a table, or pair by pair if they are few."""
+        starts, n = self.starts[0], self.levels[0][1]
+        sizes = np.diff(np.append(starts, len(self.levels[0][0])))
+        order = np.argsort(x, kind="stable")
+        x, y = x[order], y[order]
+        first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+        last = np.append(first[1:], len(x))
+        many = sizes[x[first]] * np.add.reduceat(sizes[y], first) >= DENSE
+        few = np.repeat(~many, last - first)
+        a, b = self._below(1, x[few], y[few])
+        differ = a != b
+        a, b = a[differ], b[differ]
+        left = self.possible(0, a, b)
+        found = [(a[left], b[left])]
+        for i in np.flatnonzero(many):
+            others = y[first[i] : last[i]]
+            each = sizes[others]
+            columns = np.arange(each.sum()) + np.repeat(starts[others] - np.cumsum(each) + each, each)
+            rows = np.arange(starts[x[first[i]]], starts[x[first[i]]] + sizes[x[first[i]]])
+            columns = columns[(n[columns] <= self.reach[rows].max()) & (self.reach[columns] >= n[rows].min())]
+            found += [self._table(rows, columns[at : at + COLUMNS]) for at in range(0, len(columns), COLUMNS)]
+        return tuple(np.concatenate(c) for c in zip(*found))
+
+    def _table(self, rows: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs of a row and a later column that may be similar. Three bitmap words at a time share at most 192 bits, which a byte holds."""
+        _, n, _, _, excess, row = self.levels[0]
+        mine, theirs = self.bits[0][row[rows]].T[:, :, None], np.ascontiguousarray(self.bits[0][row[columns]].T)[:, None, :]
+        shape = (len(rows), len(columns))
+        both, bits, some, shared = np.empty(shape, np.uint64), np.empty(shape, np.uint8), np.empty(shape, np.uint8), np.zeros(shape, np.uint16)
+        for at in range(0, len(mine), 3):
+            some[:] = 0
+            for w in range(at, min(at + 3, len(mine))):
+                np.bitwise_and(mine[w], theirs[w], out=both)
+                np.bitwise_count(both, out=bits)
+                np.add(some, bits, out=some)
+            np.add(shared, some, out=shared)
+        part = np.floor(self.share * n[rows]).astype(np.int32), np.floor(self.share * n[columns]).astype(np.int32) - excess[columns].astype(np.int32)
+        at = np.flatnonzero(shared >= part[0][:, None] + part[1][None, :])  # few: much faster than nonzero of two dimensions
+        a, b = rows[at // len(columns)], columns[at % len(columns)]
+        later = a < b
+        a, b = a[later], b[later]
+        ok = self.possible(0, a, b)
+        return a[ok], b[ok]
 
 
 def candidates(parts: DataFrame, t: float) -> DataFrame:
@@ -252,7 +304,7 @@ def candidates(parts: DataFrame, t: float) -> DataFrame:
         toks = table.column("toks").combine_chunks()
         tok, pos = toks.flatten().to_numpy(), table.column("pos").combine_chunks().flatten().to_numpy().astype(np.int64)
         row = np.repeat(np.arange(len(digest)), np.diff(toks.offsets.to_numpy()))
-        order = np.lexsort((n[row], tok))
+        order = np.lexsort((n[row], pos * SLABS // n[row], tok))
         tok, row, pos = tok[order], row[order], pos[order]
         edge = np.concatenate([[True], np.diff(tok) != 0])
         group = np.cumsum(edge) - 1
