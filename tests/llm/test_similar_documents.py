@@ -63,3 +63,16 @@ def test_wrong_hand_labels_are_doubted(spark):
     labels = spark.createDataFrame([(0, "law", 1.0), (1, "law", 1.0), (3, "law", 1.0), (4, "law", 1.0), (5, "law", 1.0)], "doc_id long, subject string, share double")
     kept = {(r.doc_id, r.subject) for r in subjects.supported(links, labels, seeds).collect()}
     assert kept == {(0, "law"), (1, "law"), (9, "law")}
+
+
+def test_no_partner_is_dropped(spark):
+    """All pairs of a block are compared, and a block's centre carries what all its pairs would."""
+    met = spark.createDataFrame([(i, [7] * (subjects.BITS // 64), 1) for i in range(9)], "doc_id long, bits array<long>, term long")
+    assert subjects.similar_documents(met).count() == 36
+    hubs = subjects.gathered(met, subjects.MIN_COSINE)
+    labels = spark.createDataFrame([(0, "law", 1.0), (1, "law", 0.5), (1, "sport", 0.5)], "doc_id long, subject string, share double")
+    none = spark.createDataFrame([], "src long, dst long, w double")
+    got = subjects._votes(none, labels, hubs).groupBy("doc_id", "subject").agg(F.round(F.sum("v"), 6).alias("v")).collect()
+    own = {(r.doc_id, r.subject): r.share for r in labels.collect()}
+    want = {(i, s): sum(v for (j, t), v in own.items() if t == s and j != i) for i in range(9) for s in ("law", "sport")}
+    assert {(r.doc_id, r.subject): r.v for r in got} == want

@@ -1,7 +1,7 @@
 """Problem 10: the subject areas of documents, by label propagation over a graph of similar documents.
 
-Documents meet in the blocks of their strongest terms, next to next in a random order (never all with all), and are linked where the
-verified cosine of their term vectors is high enough. Hand labels flow along the links in rounds of DataFrame joins until
+Documents meet in the blocks of their strongest terms, all with all: pair by pair in small blocks, through the block's centre in large
+ones. They are linked where the verified cosine of their term vectors, or with the centre, is high enough. Hand labels flow along the links in rounds of DataFrame joins until
 they rest; trusted labels stay clamped, and a document keeps several subjects. The propagated labels then tell which terms speak for
 which subject, and so which subject each sentence belongs to: a document has each subject that holds a given share of its sentences.
 """
@@ -22,8 +22,7 @@ from textloom.runtime import cut, materialise, parallelism
 
 LONG = 6  # letters beyond which a word is a term of its own
 BLOCKS = 8  # strongest terms by which a document meets others
-NEXT = 1  # neighbours after it that a document is compared with in each block; those before it are compared with it
-BLOCK_DOCS = 10_000  # of a block; blocks of more are split by hash, so that no task gets a term's documents at once
+BLOCK_DOCS = 32  # of a block up to which all its pairs are compared; documents of larger ones meet through the block's centre, all with all
 BITS = 512  # of the sketch that a cosine is verified on; its error is about 0.07
 MIN_COSINE = 0.18
 KEEP = 0.05  # share from which a document keeps a subject during propagation
@@ -122,7 +121,7 @@ def _signs(terms: np.ndarray) -> np.ndarray:
 
 
 def blocks(docs: DataFrame, counts, n: int) -> DataFrame:
-    """(doc_id, bits, term, part): the BLOCKS strongest terms of each document, with the sign sketch of its term vector.
+    """(doc_id, bits, term): the BLOCKS strongest terms of each document, with the sign sketch of its term vector.
 
     A term weighs by its sentences in the document and its rarity among all n documents; terms of one document have no block."""
 
@@ -152,39 +151,70 @@ def blocks(docs: DataFrame, counts, n: int) -> DataFrame:
                 if kept:
                     lists = lambda values, each: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(each)]).astype(np.int32)), pa.array(values))
                     sizes, which = [len(c) for c in chosen], np.concatenate(chosen)
-                    lane = (ids[kept].view(np.uint64) * _PAIR[0] >> np.uint64(40)).astype(np.int64)
-                    split = np.repeat(lane, sizes) % np.maximum(1, -(-often[which].astype(np.int64) // BLOCK_DOCS))
                     words = np.concatenate(bits).view(np.int64)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[kept]), lists(words, [BITS // 64] * len(kept)), lists(terms[which], sizes), lists(split.astype(np.int32), sizes)], names=["doc_id", "bits", "terms", "parts"]
+                        [pa.array(ids[kept]), lists(words, [BITS // 64] * len(kept)), lists(terms[which], sizes)], names=["doc_id", "bits", "terms"]
                     )
 
-    rows = docs.select("doc_id", "sents").mapInArrow(run, "doc_id long, bits array<long>, terms array<long>, parts array<int>")
-    return rows.select("doc_id", "bits", F.explode(F.arrays_zip("terms", "parts")).alias("t")).select("doc_id", "bits", F.col("t.terms").alias("term"), F.col("t.parts").alias("part"))
+    rows = docs.select("doc_id", "sents").mapInArrow(run, "doc_id long, bits array<long>, terms array<long>")
+    return rows.select("doc_id", "bits", F.explode("terms").alias("term"))
+
+
+def _cosine(one: str, other: str):
+    differ = sum((F.bit_count(F.col(one)[i].bitwiseXOR(F.col(other)[i])) for i in range(BITS // 64)), F.lit(0))
+    return F.round(F.cos(differ * (np.pi / BITS)), 6)
 
 
 def similar_documents(met: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
-    """(a, b, cosine), a < b: documents next to each other in some block whose cosine, by their sketches, is at least min_cosine."""
-    words = [F.col("bits")[i].alias(f"b{i}") for i in range(BITS // 64)]
-    flat = met.select("doc_id", "term", "part", *words, F.xxhash64("doc_id", "term").alias("at"))
-    order = Window.partitionBy("term", "part").orderBy("at", "doc_id")
-    me = F.struct("doc_id", *(f"b{i}" for i in range(BITS // 64)))
-    near = flat.select("*", F.array(*(F.lead(me, i).over(order) for i in range(1, NEXT + 1))).alias("others")).select("*", F.explode("others").alias("o"))
-    differ = sum((F.bit_count(F.col(f"b{i}").bitwiseXOR(F.col(f"o.b{i}"))) for i in range(BITS // 64)), F.lit(0))
-    links = near.filter("o is not null and doc_id != o.doc_id")
-    links = links.select(F.least("doc_id", "o.doc_id").alias("a"), F.greatest("doc_id", "o.doc_id").alias("b"), F.round(F.cos(differ * (np.pi / BITS)), 6).alias("cosine"))
-    return links.filter(F.col("cosine") >= min_cosine).distinct()
+    """(a, b, cosine), a < b: all pairs of documents that share a block and whose cosine, by their sketches, is at least min_cosine."""
+    one, other = met.select("term", F.col("doc_id").alias("a"), F.col("bits").alias("x")), met.select("term", F.col("doc_id").alias("b"), F.col("bits").alias("y"))
+    return one.join(other, "term").filter("a < b").select("a", "b", _cosine("x", "y").alias("cosine")).filter(F.col("cosine") >= min_cosine).distinct()
+
+
+def gathered(met: DataFrame, min_cosine: float) -> DataFrame:
+    """(doc_id, term, w): the documents of each block whose cosine w with its centre is at least min_cosine, the centre's sketch having
+    the sign of most documents in each place. Any two of a block are linked with the product of their w, without forming the pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, 10_000):
+                part = batch.slice(at, 10_000)
+                terms, of = np.unique(part.column(0).to_numpy(), return_inverse=True)
+                words = part.column(1).flatten().to_numpy().reshape(len(of), BITS // 64)
+                order = np.argsort(of, kind="stable")
+                signs = np.unpackbits(np.ascontiguousarray(words[order]).view(np.uint8), axis=1).astype(np.int32) * 2 - 1
+                for t, total in zip(terms.tolist(), np.add.reduceat(signs, np.searchsorted(of[order], np.arange(len(terms))))):
+                    sums[t] = sums[t] + total if t in sums else total.astype(np.int64)
+        for t, total in sums.items():
+            bits = np.packbits(total > 0).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([t]), pa.array([bits.tolist()], pa.list_(pa.int64()))], names=["term", "centre"])
+
+    centres = met.select("term", "bits").repartition(parallelism(met.sparkSession), "term").mapInArrow(run, "term long, centre array<long>")
+    return met.join(centres, "term").select("doc_id", "term", _cosine("bits", "centre").alias("w")).filter(F.col("w") >= min_cosine)
+
+
+def _votes(links: DataFrame, labels: DataFrame, hubs: DataFrame | None) -> DataFrame:
+    """(doc_id, subject, v): what each document's neighbours say, over links (src, dst, w) and over hubs (doc_id, term, w): there the sum
+    over a block's documents goes back to each of them, without its own part."""
+    votes = links.join(labels, links.src == labels.doc_id).select(F.col("dst").alias("doc_id"), "subject", (F.col("w") * F.col("share")).alias("v"))
+    if hubs is None:
+        return votes
+    said = hubs.join(labels, "doc_id").select("doc_id", "term", "subject", "w", (F.col("w") * F.col("share")).alias("v"))
+    sums = said.groupBy("term", "subject").agg(F.sum("v").alias("v"))
+    back = hubs.join(sums, "term").select("doc_id", "subject", (F.col("w") * F.col("v")).alias("v"))
+    return votes.unionByName(back).unionByName(said.select("doc_id", "subject", (-F.col("w") * F.col("v")).alias("v")))
 
 
 def _kept(votes: DataFrame) -> DataFrame:
     """(doc_id, subject, share) of votes (doc_id, subject, v) in partitions by doc_id; shares under KEEP are dropped, the rest adds up to 1."""
     own = Window.partitionBy("doc_id")
-    sums = votes.groupBy("doc_id", "subject").agg(F.sum("v").alias("v"))
+    sums = votes.groupBy("doc_id", "subject").agg(F.sum("v").alias("v")).filter("v > 1e-7")  # less is what rounding leaves of a document's own part
     kept = sums.withColumn("share", F.col("v") / F.sum("v").over(own)).filter(F.col("share") >= KEEP)
     return kept.select("doc_id", "subject", F.round(F.col("share") / F.sum("share").over(own), 6).alias("share"))
 
 
-def propagated(links: DataFrame, seeds: DataFrame, start: DataFrame | None = None) -> DataFrame:
+def propagated(links: DataFrame, seeds: DataFrame, start: DataFrame | None = None, hubs: DataFrame | None = None) -> DataFrame:
     """(doc_id, subject, share): labels at rest. links: (src, dst, w), both ways, in partitions by src. seeds: (doc_id, subject, share), clamped.
 
     A document's shares are the mean of its neighbours', weighted by w. Documents that no path joins to a seed get none. Each round shuffles
@@ -193,7 +223,7 @@ def propagated(links: DataFrame, seeds: DataFrame, start: DataFrame | None = Non
     seeds = cut(seeds.repartition(lanes, "doc_id"))
     labels, clamped = start if start is not None else seeds, seeds.select("doc_id").distinct()
     for turn in range(1, ROUNDS + 1):
-        votes = links.join(labels, links.src == labels.doc_id).select(F.col("dst").alias("doc_id"), "subject", (F.col("w") * F.col("share")).alias("v"))
+        votes = _votes(links, labels, hubs)
         taken = _kept(votes.repartition(lanes, "doc_id"))
         if turn > EAGER:
             step = EAGER / turn
@@ -207,10 +237,10 @@ def propagated(links: DataFrame, seeds: DataFrame, start: DataFrame | None = Non
     raise RuntimeError(f"labels did not rest within {ROUNDS} rounds")
 
 
-def supported(links: DataFrame, labels: DataFrame, seeds: DataFrame) -> DataFrame:
+def supported(links: DataFrame, labels: DataFrame, seeds: DataFrame, hubs: DataFrame | None = None) -> DataFrame:
     """The seeds (doc_id, subject) whose subject has at least a share of SUPPORT among the neighbours' labels; those without neighbours are kept."""
-    votes = links.join(labels, links.src == labels.doc_id).join(seeds.select(F.col("doc_id").alias("dst")).distinct(), "dst", "left_semi")
-    sums = votes.groupBy(F.col("dst").alias("doc_id"), "subject").agg(F.sum(F.col("w") * F.col("share")).alias("v"))
+    votes = _votes(links, labels, hubs).join(seeds.select("doc_id").distinct(), "doc_id", "left_semi")
+    sums = votes.groupBy("doc_id", "subject").agg(F.sum("v").alias("v")).filter("v > 1e-7")
     whole = sums.groupBy("doc_id").agg(F.sum("v").alias("all"))
     judged = seeds.join(whole, "doc_id", "left").join(sums, ["doc_id", "subject"], "left")
     return judged.filter(F.col("all").isNull() | (F.coalesce("v", F.lit(0.0)) >= SUPPORT * F.col("all"))).select("doc_id", "subject")
@@ -263,7 +293,10 @@ def subject_areas(documents: DataFrame, labels: DataFrame, key: str = "doc_id",
     found = rows.filter("chunk < 0")
     docs = cut(found.repartition(lanes, "doc_id").groupBy("doc_id").agg(F.max_by("sents", "version").alias("sents")))
     met = blocks(docs, spark.sparkContext.broadcast(sketch(rows)), docs.count())
-    near = similar_documents(met)
+    met = met.withColumn("n", F.count("*").over(Window.partitionBy("term"))).filter("n > 1")
+    met = materialise(met, "blocks")
+    near = similar_documents(met.filter(F.col("n") <= BLOCK_DOCS))
+    hubs = cut(gathered(met.filter(F.col("n") > BLOCK_DOCS), MIN_COSINE).repartition(lanes, "term"))
     both = F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"))))
     links = cut(near.select(both.alias("e"), F.col("cosine").alias("w")).select("e.src", "e.dst", "w").repartition(lanes, "src"))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "subject").filter("doc_id is not null and subject is not null").distinct()
@@ -274,9 +307,9 @@ def subject_areas(documents: DataFrame, labels: DataFrame, key: str = "doc_id",
     listed = F.array(*(F.lit(x) for x in names)) if names else F.array().cast("array<string>")
     known = known.select("doc_id", F.array_position(listed, F.col("subject")).cast("int").alias("subject"))  # numbers in the order of names
     even = lambda df: df.withColumn("share", 1 / F.count("*").over(Window.partitionBy("doc_id")))
-    first = propagated(links, even(known))
-    trusted = cut(supported(links, first, known))
-    at_rest = propagated(links, even(trusted), first.join(known.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(even(trusted)).repartition(lanes, "doc_id"))
+    first = propagated(links, even(known), hubs=hubs)
+    trusted = cut(supported(links, first, known, hubs))
+    at_rest = propagated(links, even(trusted), first.join(known.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(even(trusted)).repartition(lanes, "doc_id"), hubs)
     sharp = F.pow("share", F.lit(SHARPER))
     sharp = at_rest.select("doc_id", "subject", (sharp / F.sum(sharp).over(Window.partitionBy("doc_id"))).alias("share"))
     sentences = docs.select("doc_id", F.posexplode("sents").alias("pos", "terms")).select("doc_id", (F.col("pos") + 1).alias("sent"), "terms")
