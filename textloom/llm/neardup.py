@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,47 +22,58 @@ from textloom.runtime import cut, materialise, parallelism
 
 WORDS = 3  # of a shingle
 SKETCH_BITS, CHUNKS = 20, 16  # counters of the sketch: 4 MB, whatever the corpus
-BITS = 512  # of a record's bitmap
+BITS = 512  # of a record's bitmap: eight words, whose bit counts fit one word
 FAN = 8  # children of a tree node
 LEAF = 64  # records of a leaf
 DENSE = 2048  # record pairs of a leaf with its partners from which they are compared as one table
-COLUMNS = 512  # of such a table at once
+COLUMNS = 2048  # of such a table at once
+TOGETHER = 1 << 13  # record pairs of tables whose bitmaps are compared at once, about
 SLABS = 16  # of ranks by size, in which a tree's records are ordered, so that leaves have narrow ranges of ranks
 PART_TOKENS = 2_000_000  # prefix shingles of a part, about
 HOT = 50_000  # records of one tree, about: a shingle of more is cut into blocks of records, one tree for each two blocks
 SEEN = 1_000_000  # digests a task remembers to leave out copies early
+WORDS_KEPT, CHUNK_KEPT = 1_000_000, 64  # words with the signs next to them that a task remembers, and the characters of each, at most
 FRONTIER = 1 << 18  # node pairs tested at once
 BROADCAST_ROWS = 1_000_000  # candidates up to which they are sent to all executors
 
 _word = re.compile(r"[^\W_]+")
+_LANES, _ONES = np.uint64(0x00FF00FF00FF00FF), np.uint64(0x0001000100010001)
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
-class Shingles:
-    """text -> sorted distinct 32-bit shingle hashes; equal words hash alike in every task."""
+class Chunks(dict):
+    """What stands between blanks -> the digests of its words in bytes."""
 
     def __init__(self):
         import xxhash
 
-        self.digest, self.words = xxhash.xxh3_64_intdigest, {}
+        self.digest = xxhash.xxh3_64_intdigest
+
+    def __missing__(self, chunk: str) -> bytes:
+        if len(self) > WORDS_KEPT:
+            self.clear()
+        own = b"".join(self.digest(w.encode("utf-8", "surrogatepass")).to_bytes(8, sys.byteorder) for w in _word.findall(chunk))
+        if len(chunk) <= CHUNK_KEPT:
+            self[chunk] = own
+        return own
+
+
+class Shingles:
+    """text -> sorted distinct 32-bit shingle hashes; equal words hash alike in every task. No word reaches over a blank."""
+
+    def __init__(self):
+        self.words = Chunks()
 
     def __call__(self, text: str, seed: int, least: int) -> np.ndarray | None:
-        found = _word.findall(form(text).lower())
-        if len(found) < max(least, WORDS):
+        h = np.frombuffer(b"".join(map(self.words.__getitem__, form(text).lower().split())), dtype=np.uint64)
+        if len(h) < max(least, WORDS):
             return None
-        if len(self.words) > 2_000_000:
-            self.words.clear()
-        known, digest = self.words, self.digest
-        h = np.empty(len(found), dtype=np.uint64)
-        for i, w in enumerate(found):
-            v = known.get(w)
-            if v is None:
-                v = known[w] = digest(w.encode("utf-8", "surrogatepass"))
-            h[i] = v
         s = ((h[:-2] * _A + h[1:-1]) * _B + h[2:] + np.uint64(seed)) * _C
         s ^= s >> np.uint64(31)
         s *= _A
-        return np.unique((s >> np.uint64(32)).astype(np.uint32))
+        out = (s >> np.uint64(32)).astype(np.uint32)
+        out.sort()
+        return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 def shingled(df: DataFrame, group: str, key: str, text: str, min_words: int) -> DataFrame:
@@ -150,7 +162,7 @@ def routed(rows: DataFrame, counts, parts: int, t: float) -> DataFrame:
                 flags[own, (tok * np.uint32(2654435761) >> np.uint32(23)).astype(np.int64)] = True
                 bits = np.packbits(flags, axis=1)
                 common = df[tok >> np.uint32(32 - SKETCH_BITS)]
-                order = np.lexsort((tok, common, own))
+                order = np.argsort(own << 32 | common, kind="stable")  # by record, count and shingle: a record's shingles come sorted
                 pos = np.arange(len(tok)) - np.repeat(np.cumsum(n) - n, n)
                 keep = (pos <= np.repeat(n - np.ceil(t * n - 1e-9).astype(np.int64), n)) & (common[order] > 1)
                 tok, own, pos = tok[order][keep], own[keep], pos[keep]
@@ -158,7 +170,7 @@ def routed(rows: DataFrame, counts, parts: int, t: float) -> DataFrame:
                     continue
                 tok, own, pos = blocked(tok, own, pos, np.array([digests[i] for i in some], dtype=np.int64), df)
                 part = (tok.astype(np.uint64) * _B >> np.uint64(40)).astype(np.int64) % parts
-                order = np.lexsort((pos, part, own))
+                order = np.argsort(own * parts + part, kind="stable")  # by record, part and rank: they come by record and rank
                 tok, own, pos, part = tok[order], own[order], pos[order], part[order]
                 first = np.flatnonzero(np.concatenate([[True], (np.diff(own) != 0) | (np.diff(part) != 0)]))
                 ends = pa.array(np.concatenate([first, [len(tok)]]).astype(np.int32))
@@ -179,15 +191,24 @@ def routed(rows: DataFrame, counts, parts: int, t: float) -> DataFrame:
     return rows.select("digest", "tokens").mapInArrow(run, "part int, digest long, n int, bits binary, toks array<int>, pos array<short>")
 
 
+def _bits_of(maps: np.ndarray) -> np.ndarray:
+    """Of each bitmap of eight words the bits that are set: the counts, a byte a word, are added in lanes of 16 bits."""
+    counts = np.bitwise_count(maps).view(np.uint64)[:, 0]
+    counts = (counts & _LANES) + (counts >> np.uint64(8) & _LANES)
+    return (counts * _ONES >> np.uint64(48)).astype(np.int64)
+
+
 class SignatureTrees:
     """The trees of all shingles of a part, level by level; level 0 are records (with rank pos), in order of shingle, slab of ranks and size,
     level 1 are leaves of LEAF records. Pairs of leaves that may hold similar records are compared as tables of bitmaps."""
 
     def __init__(self, tree: np.ndarray, n: np.ndarray, pos: np.ndarray, row: np.ndarray, bits: np.ndarray, t: float):
         self.t, self.share = t, t / (1 + t)
-        excess = n - np.bitwise_count(bits[row]).sum(axis=1, dtype=np.int64) if len(row) else n
+        excess = n - _bits_of(bits)[row]
         self.levels = [(tree, n, n, pos, excess, row)]
         self.reach = np.floor(np.minimum(n / t, (n - pos) / self.share - n) + 1e-6)  # size of the largest partner that size and rank allow
+        self.least = np.floor(self.share * n).astype(np.int64)  # shingles that a pair must share are at least those of both
+        self.lacking = self.least - excess
         self.bits, self.starts = [bits], []
         while True:
             tree, low, high, pos, excess, row = self.levels[-1]
@@ -209,7 +230,7 @@ class SignatureTrees:
         left = np.flatnonzero(ok)
         x, y = a[left], b[left]
         own = self.bits[level]
-        shared = np.bitwise_count((own[row[x]] & own[row[y]]) if row is not None else (own[x] & own[y])).sum(axis=1, dtype=np.int64)
+        shared = _bits_of((own[row[x]] & own[row[y]]) if row is not None else (own[x] & own[y]))
         ok[left] = shared + np.minimum(excess[x], excess[y]) >= need[left]
         return ok
 
@@ -243,7 +264,8 @@ class SignatureTrees:
                 yield self._leaves(x, y)
 
     def _leaves(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The record pairs that may be similar of leaf pairs: a leaf with its partners as a table, or pair by pair if they are few."""
+        """The record pairs that may be similar of leaf pairs: of a leaf with its partners those of a table that sizes and ranks allow, or pair by
+        pair if they are few. Bitmaps are compared for many tables at once."""
         starts, n = self.starts[0], self.levels[0][1]
         sizes = np.diff(np.append(starts, len(self.levels[0][0])))
         order = np.argsort(x, kind="stable")
@@ -254,36 +276,40 @@ class SignatureTrees:
         few = np.repeat(~many, last - first)
         a, b = self._below(1, x[few], y[few])
         differ = a != b
-        a, b = a[differ], b[differ]
-        left = self.possible(0, a, b)
-        found = [(a[left], b[left])]
+        held, waiting, found = [(a[differ], b[differ])], 0, []
         for i in np.flatnonzero(many):
             others = y[first[i] : last[i]]
             each = sizes[others]
             columns = np.arange(each.sum()) + np.repeat(starts[others] - np.cumsum(each) + each, each)
             rows = np.arange(starts[x[first[i]]], starts[x[first[i]]] + sizes[x[first[i]]])
             columns = columns[(n[columns] <= self.reach[rows].max()) & (self.reach[columns] >= n[rows].min())]
-            found += [self._table(rows, columns[at : at + COLUMNS]) for at in range(0, len(columns), COLUMNS)]
+            for at in range(0, len(columns), COLUMNS):
+                held.append(self._table(rows, columns[at : at + COLUMNS]))
+                waiting += len(held[-1][0])
+                if waiting >= TOGETHER:
+                    found.append(self._checked(held))
+                    held, waiting = [], 0
+        if held:
+            found.append(self._checked(held))
         return tuple(np.concatenate(c) for c in zip(*found))
 
     def _table(self, rows: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The pairs of a row and a later column that may be similar. Three bitmap words at a time share at most 192 bits, which a byte holds."""
-        _, n, _, _, excess, row = self.levels[0]
-        mine, theirs = self.bits[0][row[rows]].T[:, :, None], np.ascontiguousarray(self.bits[0][row[columns]].T)[:, None, :]
-        shape = (len(rows), len(columns))
-        both, bits, some, shared = np.empty(shape, np.uint64), np.empty(shape, np.uint8), np.empty(shape, np.uint8), np.zeros(shape, np.uint16)
-        for at in range(0, len(mine), 3):
-            some[:] = 0
-            for w in range(at, min(at + 3, len(mine))):
-                np.bitwise_and(mine[w], theirs[w], out=both)
-                np.bitwise_count(both, out=bits)
-                np.add(some, bits, out=some)
-            np.add(shared, some, out=shared)
-        part = np.floor(self.share * n[rows]).astype(np.int32), np.floor(self.share * n[columns]).astype(np.int32) - excess[columns].astype(np.int32)
-        at = np.flatnonzero(shared >= part[0][:, None] + part[1][None, :])  # few: much faster than nonzero of two dimensions
-        a, b = rows[at // len(columns)], columns[at % len(columns)]
-        later = a < b
-        a, b = a[later], b[later]
+        """The pairs of a row and a later column whose sizes and ranks let them be similar."""
+        n = self.levels[0][1]
+        near = n[columns] <= self.reach[rows][:, None]
+        near &= self.reach[columns] >= n[rows][:, None]
+        near &= columns > rows[:, None]
+        at = np.flatnonzero(near)  # much faster than nonzero of two dimensions
+        row = at // len(columns)
+        return rows[row], columns[at - row * len(columns)]
+
+    def _checked(self, held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the pairs whose bitmaps, too, let them be similar. Few pass the first look, which knows the excess of one side only."""
+        a, b = (np.concatenate(c) for c in zip(*held))
+        row, bits = self.levels[0][5], self.bits[0]
+        shared = _bits_of(bits.take(row[a], axis=0) & bits.take(row[b], axis=0))
+        left = np.flatnonzero(shared >= self.least[a] + self.lacking[b])
+        a, b = a[left], b[left]
         ok = self.possible(0, a, b)
         return a[ok], b[ok]
 
@@ -304,7 +330,7 @@ def candidates(parts: DataFrame, t: float) -> DataFrame:
         toks = table.column("toks").combine_chunks()
         tok, pos = toks.flatten().to_numpy(), table.column("pos").combine_chunks().flatten().to_numpy().astype(np.int64)
         row = np.repeat(np.arange(len(digest)), np.diff(toks.offsets.to_numpy()))
-        order = np.lexsort((n[row], pos * SLABS // n[row], tok))
+        order = np.argsort(tok.view(np.uint32).astype(np.uint64) << np.uint64(32) | (pos * SLABS // n[row] << 27 | np.minimum(n[row], (1 << 27) - 1)).astype(np.uint64))
         tok, row, pos = tok[order], row[order], pos[order]
         edge = np.concatenate([[True], np.diff(tok) != 0])
         group = np.cumsum(edge) - 1
